@@ -13,7 +13,8 @@ rows costs one head per task and no task meets its members.
 Defined results: null text counts as empty; empty texts are one group; of equal
 texts the row with the most code points, then the smallest id, stays; texts of
 any length are compared whole; an empty table gives an empty table; other
-columns are ignored.
+columns are ignored; repeated rows are copies of each other, and rows that
+share the id of the one that stays count as kept.
 """
 
 from __future__ import annotations
@@ -55,6 +56,10 @@ def build_directory(histogram: dict[int, int], capacity: int = CAPACITY, max_dep
 
 def _pages(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # a head's id names its task, so that a document's id need not be unique
+        next_head = TaskContext.get().partitionId() << 40
         # chains: 64-bit key -> [head id, members, most chars, best id, digest, body]
         chains: dict[int, list[list]] = {}
         for batch in batches:
@@ -67,8 +72,9 @@ def _pages(id_col: str, text_col: str):
                 chain = chains.setdefault(key, [])
                 head = next((h for h in chain if h[5] == body), None)
                 if head is None:
-                    chain.append([doc_id, 1, len(text), doc_id, digest.hexdigest(), body])
-                    head = chain[-1]
+                    head = [next_head, 1, len(text), doc_id, digest.hexdigest(), body]
+                    chain.append(head)
+                    next_head += 1
                 else:
                     head[1] += 1
                     if (-len(text), doc_id) < (-head[2], head[3]):

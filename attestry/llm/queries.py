@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, exactdedup, langid, licenses, packing, simhash
+from attestry.llm import bpe, exactdedup, langid, licenses, packing, ppm, simhash, suffixdedup
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_license_scan": licenses.op4_license_scan,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
+    "op10_ppm_scoring": ppm.op10_ppm_scoring,
 }
 
 ORACLES = {
