@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, exactdedup, langid, licenses, packing, ppm, simhash, suffixdedup
+from attestry.llm import bpe, exactdedup, hnsw, langid, licenses, packing, ppm, simhash, suffixdedup, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_language_id": langid.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_hnsw_neighbours": hnsw.op7_hnsw_neighbours,
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_ppm_scoring": ppm.op10_ppm_scoring,
