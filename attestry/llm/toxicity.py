@@ -3,7 +3,7 @@
 Examples are a sample of labelled rows, at most PER_CLASS of each label, taken
 in the order of a hash of the key. Their terms are weighed by a chi-square test
 of presence against label; the at most MAX_TERMS terms that pass it span the
-TF-IDF vectors. A block-max inverted index finds a text's nearest examples by
+TF-IDF vectors. Terms are words and, since words inflect, their beginnings. A block-max inverted index finds a text's nearest examples by
 exact cosine: the terms' largest weights in a block of examples bound the
 block's scores, blocks are taken in order of their bound, and the search ends
 when the k-th best score reaches the next bound. Votes are weighted by nearness
@@ -32,7 +32,9 @@ from attestry.llm.common import arrow_rows, key_remainder, read_table
 #: Most examples of each label.
 PER_CLASS = 4000
 #: Most terms, least rows that hold one, and the least chi-square of a term.
-MAX_TERMS, MIN_ROWS, MIN_CHI = 4096, 3, 20.0
+MAX_TERMS, MIN_ROWS, MIN_CHI = 4096, 5, 40.0
+#: Bytes of the beginnings that are terms, marked by a star.
+BEGINNINGS = (4, 5, 6)
 #: Neighbours that vote, and examples in a block.
 NEIGHBOURS, BLOCK = 25, 64
 #: Nearness is 1 / (distance + SOFT); the prior votes with so much weight.
@@ -41,10 +43,20 @@ SOFT, PRIOR_WEIGHT = 0.1, 0.5
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_LETTERS).split()
 
 
+def with_beginnings(words: dict[bytes, int]) -> Counter:
+    """Counts of the words and of their beginnings."""
+    out = Counter(words)
+    for word, n in words.items():
+        for size in BEGINNINGS:
+            if len(word) > size:
+                out[word[:size] + b"*"] += n
+    return out
+
+
 class BlockMaxIndex:
     """Postings of examples by term, with each term's largest weight in each block."""
 
@@ -104,6 +116,8 @@ class NearestExamples:
         self.vocabulary, self.n_rows = vocabulary, max(1, len(keys))
         self.idf = np.log((1 + self.n_rows) / (1 + rows_with)) + 1
         self.keys, self.labels = np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64)
+        self.words = {t for t in vocabulary if not t.endswith(b"*")}
+        self.beginnings = [(size, known) for size in BEGINNINGS if (known := {t[:-1] for t in vocabulary if t.endswith(b"*") and len(t) == size + 1})]
         here = np.bincount(self.labels, minlength=2)
         self.stands = np.array([of_class[c] / max(1, here[c]) for c in (0, 1)])
         self.prior = of_class[1] / max(1, sum(of_class))
@@ -131,11 +145,14 @@ class NearestExamples:
         return yes / total, near
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        tokens = terms_of(text)
-        held = self.vocabulary.keys() & set(tokens)
+        words = words_of(text)
+        distinct = set(words)
+        held = self.words & distinct
+        for size, known in self.beginnings:
+            held |= {w for w in distinct if w[:size] in known and len(w) > size}
         if not held:
             return self.without_terms, []
-        raw, near = self.vote(self.vector(Counter(t for t in tokens if t in held)))
+        raw, near = self.vote(self.vector(with_beginnings(Counter(w for w in words if w in held))))
         return float(np.interp(raw, self.points, self.values)), [int(self.keys[i]) for _, i in near[:3]]
 
 
@@ -158,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
+            rows = [with_beginnings(Counter(words_of(t))) for t in batch.column("text").to_pylist()]
             kind = pa.list_(pa.binary())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([list(r) for r in rows], kind), "counts": pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))})
 
@@ -166,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
     n = Counter({r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
     a, b = F.col("yes").cast("double"), F.col("no").cast("double")
     c, d = F.lit(float(n[1])) - a, F.lit(float(n[0])) - b
-    chi = F.try_divide(F.lit(float(n[0] + n[1])) * (a * d - b * c) ** 2, (a + b) * (c + d) * (a + c) * (b + d))
+    gap = F.greatest(F.abs(a * d - b * c) - (n[0] + n[1]) / 2, F.lit(0.0))  # Yates's correction
+    chi = F.try_divide(F.lit(float(n[0] + n[1])) * gap**2, (a + b) * (c + d) * (a + c) * (b + d))
     spread = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
     terms = spread.filter((F.col("yes") + F.col("no") >= MIN_ROWS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "term").limit(MAX_TERMS).collect()
     vocabulary = {bytes(r.term): i for i, r in enumerate(terms)}
