@@ -5,11 +5,12 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else.
 Sorting every suffix is not needed: each window of `length` bytes holds a q-gram
 whose hash is least among the window's q-grams, and equal windows choose equal
 offsets. Those q-grams, the anchors, are the suffixes whose buckets are refined.
-A window is then an anchor and an alignment, the anchor's offset in the window.
+A window is then an anchor and an alignment, the anchor's offset in the window;
+the windows that choose one anchor are a run of alignments.
 
 1. Initial buckets: anchors by q-gram. A bucket of one holds no repeat and goes.
-2. An anchor whose whole surroundings (every window around it) equal another's
-   is settled at once: all its windows repeat. One representative stays.
+2. An anchor whose whole run of windows equals another's is settled at once: all
+   its windows repeat. One representative stays.
 3. The others' buckets are refined: alignments are cut into ranges, and the
    bucket of a range is the identifier (a 128-bit digest) of the bytes that all
    its windows share, which reach from earlier to later offsets than the parent
@@ -80,8 +81,8 @@ class _Rolling:
     def all(self, length: int) -> np.ndarray:
         return self._mixed((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return self._mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
+    def between(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return self._mixed((self.sums[stops] - self.sums[starts]) * self.down[starts])
 
     @staticmethod
     def _mixed(h: np.ndarray) -> np.ndarray:
@@ -99,27 +100,30 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Positions, q-gram hashes and two hashes of the whole surroundings (0 where cut off)."""
+    """Anchors' positions and q-gram hashes, least and most alignment, and two hashes of the run of windows."""
     span, n = length - gram, len(data)
     if n < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.uint64))
-    found, before = [], np.zeros(0, dtype=np.int64)
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64, np.uint64))
+    found = []
     for start in range(0, n - length + 1, CHUNK):
-        low, high = max(0, start - span), min(n, start + CHUNK - 1 + length + span)
+        stop = min(start + CHUNK, n - length + 1)  # of the windows' starts
+        # windows before and after, so that a run is whole wherever a chunk ends
+        low, high = max(0, start - span), min(n, stop + span + length)
         one, two = _Rolling(data[low:high], 0), _Rolling(data[low:high], 1)
         hashes = one.all(gram)
-        windows = hashes[start - low : min(start + CHUNK, n - length + 1) - low + span]
-        order = (windows >> np.uint64(32)).astype(np.uint32)
-        least = _sliding(order, span + 1, np.minimum)
-        padded = np.concatenate([np.zeros(span, np.uint32), least, np.zeros(span, np.uint32)])
-        pos = np.flatnonzero(_sliding(padded, span + 1, np.maximum) == order) + start
-        pos = np.setdiff1d(pos, before, assume_unique=True)
-        before = pos[pos >= start + CHUNK]
-        whole = (pos >= span) & (pos + length <= n)
-        around = np.zeros((2, len(pos)), dtype=np.uint64)
+        # the upper half of the hash, then the place: the least is the leftmost of equals
+        order = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+        chosen = (_sliding(order, span + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+        last = np.append(first[1:], len(chosen)) - 1
+        pos = chosen[first]
+        # a run belongs to the chunk in which it begins
+        mine = (first + low >= start) & (first + low < stop) if start else first + low < stop
+        pos, first, last = pos[mine], first[mine], last[mine]
+        runs = np.zeros((2, len(pos)), dtype=np.uint64)
         for i, rolling in enumerate((one, two)):
-            around[i, whole] = rolling.at(pos[whole] - span - low, length + span)
-        found.append((pos, hashes[pos - low], around[0], around[1]))
+            runs[i] = rolling.between(first, last + length)
+        found.append((pos + low, hashes[pos], pos - last, pos - first, runs[0], runs[1]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -138,27 +142,31 @@ def _anchor_rows(length: int, gram: int, only_hash: bool):
                 held.append((np.full(len(got[0]), doc_id, dtype=np.int64), *got))
             if not held:
                 continue
-            doc, pos, h, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            if only_hash:
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64))})
-            else:
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(doc), "pos": pa.array(pos.astype(np.int32)), "around": pa.array(a.view(np.int64)), "around2": pa.array(b.view(np.int64))})
+            doc, pos, h, least, most, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = {"h": pa.array(h.view(np.int64))}
+            if not only_hash:
+                # a place in a text and its alignments in one number
+                out |= {"doc_id": pa.array(doc), "place": pa.array(pos << 20 | least << 10 | most), "run": pa.array(one.view(np.int64)), "run2": pa.array(two.view(np.int64))}
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _surroundings(length: int, gram: int):
-    """Rows of documents with positions: each anchor's bytes, their offset and its valid alignments."""
-    span = length - gram
+def _bits(column: str, shift: int, width: int):
+    return F.shiftright(column, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _surroundings(length: int):
+    """Rows of documents with places: each anchor's run of windows as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 data = (text or "").encode()
-                for pos in places:
-                    before = min(span, pos)
-                    rows.append((doc_id, pos, before, max(0, pos + length - len(data)), before, data[pos - before : pos + length]))
+                for place in places:
+                    pos, least, most = place >> 20, place >> 10 & 1023, place & 1023
+                    rows.append((doc_id, place, data[pos - most : pos - least + length]))
                 if len(rows) > 20_000:
                     yield packed(rows)
                     rows = []
@@ -166,7 +174,7 @@ def _surroundings(length: int, gram: int):
                 yield packed(rows)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (("doc_id", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("least", pa.int32()), ("most", pa.int32()), ("bytes", pa.binary()))
+        kinds = (("doc_id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()))
         return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
 
     return run
@@ -176,68 +184,85 @@ def _refined(length: int, size: int):
     """Each range of alignments cut into ranges of `size`: identifiers of the shared and of all bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for batch in batches:
             out = []
-            names = ("doc_id", "pos", "before", "least", "most", "bytes", "ranges")
-            for doc_id, pos, before, least, most, data, ranges in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for doc_id, place, data, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "bytes", "ranges")), strict=True):
+                least, most = place >> 10 & 1023, place & 1023
                 for r in ranges:
-                    for lo in range(r["lo"], r["hi"] + 1, size):
-                        hi = min(lo + size - 1, r["hi"])
+                    for lo in range(r >> 10, (r & 1023) + 1, size):
+                        hi = min(lo + size - 1, r & 1023)
                         if hi < least or lo > most:
                             continue
-                        shared = digest(data[before - lo : before - hi + length])
-                        whole = digest(data[before - hi : before - lo + length]) if lo >= least and hi <= most else None
-                        out.append((doc_id, pos, lo, hi, shared, whole))
-            kinds = (("doc_id", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("shared", pa.binary()), ("whole", pa.binary()))
+                        # the bytes from the anchor - lo to the anchor - hi + length; data begins at the anchor - most
+                        shared = xxh3_64_intdigest(data[max(0, most - lo) : most - hi + length]) if lo <= most and hi >= least else 0
+                        whole = xxh3_128_digest(data[most - hi : most - lo + length]) if lo >= least and hi <= most else None
+                        out.append((doc_id, place, lo << 10 | hi, shared - (1 << 63), whole))
+            kinds = (("doc_id", pa.int64()), ("place", pa.int64()), ("range", pa.int32()), ("shared", pa.int64()), ("whole", pa.binary()))
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
     return run
 
 
+def _settled(rows: DataFrame, key: list[str], known: str, keep: list[str]) -> DataFrame:
+    """`keep` and, where `known` holds and the key occurs again, `again`; `one` marks one row of such a key."""
+    twice = rows.filter(known).groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
+    return rows.join(twice, key, "left").select(*keep, F.col("n").isNotNull().alias("again"), F.coalesce(F.col("first.doc_id") == F.col("doc_id"), F.lit(False)).__and__(F.coalesce(F.col("first.place") == F.col("place"), F.lit(False))).alias("one"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): the byte ranges (start, stop) of repeated windows, unmerged, of documents that have any."""
+    """(doc_id, spans): packed byte ranges (start << 12 | bytes), unmerged, of documents that have repeated windows."""
     spark = docs.sparkSession
     arrow_rows(spark)
     span = length - gram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_enough = texts.filter(F.octet_length("text") >= length)
     shared = long_enough.mapInArrow(_anchor_rows(length, gram, True), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    every = long_enough.mapInArrow(_anchor_rows(length, gram, False), "h long, doc_id long, pos int, around long, around2 long")
+    every = long_enough.mapInArrow(_anchor_rows(length, gram, False), "h long, doc_id long, place long, run long, run2 long")
     held = checkpointed(every.join(shared, "h", "left_semi"))
     _released(spark)
 
-    # anchors whose whole surroundings repeat are settled; one of each stays as a partner for others
-    same = ["h", "around", "around2"]
-    whole = F.col("around") != 0
-    twice = held.filter(whole).groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one")).filter("n > 1")
-    tagged = checkpointed(held.join(twice, same, "left"))
-    marks = tagged.filter("n IS NOT NULL").select("doc_id", (F.col("pos") - span).alias("start"), (F.col("pos") + length).alias("stop"))
-    left = tagged.filter("n IS NULL OR (one.doc_id = doc_id AND one.pos = pos)").select("h", "doc_id", "pos", F.col("n").isNull().alias("open"))
-    worth = left.groupBy("h").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open").select("h")
-    places = left.join(worth, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    around = checkpointed(long_enough.join(places, "doc_id").mapInArrow(_surroundings(length, gram), "doc_id long, pos int, before int, least int, most int, bytes binary"))
+    def marked(tagged: DataFrame, lo, hi) -> DataFrame:
+        """One row a document: the bytes of its repeated windows."""
+        start = F.shiftright("place", 20) - hi
+        return tagged.filter("again").groupBy("doc_id").agg(F.collect_list(F.shiftleft(start, 12) + (hi - lo + length)).alias("spans"))
+
+    # anchors whose whole run of windows repeats are settled; one of each stays as a partner for others
+    place_range = (_bits("place", 10, 10), _bits("place", 0, 10))
+    tagged = checkpointed(_settled(held.withColumn("alignments", F.col("place").bitwiseAND(F.lit((1 << 20) - 1))), ["h", "alignments", "run", "run2"], "true", ["h", "doc_id", "place"]))
+    del held
+    marks = [checkpointed(marked(tagged, *place_range))]
+    left = tagged.filter("NOT again OR one").select("h", "doc_id", "place", "again")
+    worth = left.groupBy("h").agg(F.count("*").alias("n"), F.min("again").alias("settled")).filter("n > 1 AND NOT settled").select("h")
+    places = left.join(worth, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    runs = checkpointed(long_enough.join(places, "doc_id").mapInArrow(_surroundings(length), "doc_id long, place long, bytes binary"))
+    del tagged, left, worth, places
     _released(spark)
 
-    ranges = around.select("doc_id", "pos", F.array(F.struct(F.lit(0).alias("lo"), F.lit(span).alias("hi"))).alias("ranges"))
+    ranges = runs.select("doc_id", "place", F.array(F.lit(span)).alias("ranges"))
     for size in RANGES:
-        rows = checkpointed(around.join(ranges, ["doc_id", "pos"]).mapInArrow(_refined(length, size), "doc_id long, pos int, lo int, hi int, shared binary, whole binary"))
-        twice = rows.filter("whole IS NOT NULL").groupBy("lo", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one")).filter("n > 1")
-        tagged = checkpointed(rows.join(twice, ["lo", "whole"], "left"))
-        marks = marks.unionByName(tagged.filter("n IS NOT NULL").select("doc_id", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("stop")))
+        rows = checkpointed(runs.join(ranges, ["doc_id", "place"]).mapInArrow(_refined(length, size), "doc_id long, place long, range int, shared long, whole binary"))
+        tagged = checkpointed(_settled(rows, ["range", "whole"], "whole IS NOT NULL", ["doc_id", "place", "range", "shared"]))
+        marks.append(checkpointed(marked(tagged, _bits("range", 10, 10), _bits("range", 0, 10))))
+        del rows
+        left = tagged.filter("NOT again OR one")
+        worth = left.groupBy("range", "shared").agg(F.count("*").alias("m")).filter("m > 1").select("range", "shared")
+        ranges = left.join(worth, ["range", "shared"], "left_semi").groupBy("doc_id", "place").agg(F.collect_list("range").alias("ranges"))
         if size > 1:
-            left = tagged.filter("n IS NULL OR (one.doc_id = doc_id AND one.pos = pos)")
-            worth = left.groupBy("lo", "shared").agg(F.count("*").alias("m")).filter("m > 1").select("lo", "shared")
-            ranges = left.join(worth, ["lo", "shared"], "left_semi").groupBy("doc_id", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    spans = checkpointed(marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    _released(spark)
-    return spans
+            ranges = checkpointed(ranges)
+        del tagged, left, worth
+        _released(spark)
+    every = marks[0]
+    for more in marks[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def _merged(spans: list[int] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
+    for span in sorted(spans or ()):
+        start, stop = span >> 12, (span >> 12) + (span & 4095)
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], stop)
         else:
