@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from attestry.llm.common import arrow_rows, checkpointed, read_table
 
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Bytes of text whose new chunks are encoded at once.
-GATHERED = 8_000_000
+REMEMBERED = 200_000
+#: Bytes of text whose new chunks are encoded together.
+GATHERED = 3_000_000
+#: A control character that is a token by itself, between chunks that are encoded in one go.
+MARK = b"\x1f"
 
 
 def plan_bins(histogram: dict[int, int], tokens: int, max_docs: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> np.ndarray:
@@ -96,16 +98,17 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = (tokenizer, {})
+        (mark,) = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        _TOKENIZERS[path] = (tokenizer, {}, mark)
     return _TOKENIZERS[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int = 0) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, task, ordinal in its task.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its space-separated chunks in order, and each chunk is encoded
-    once a worker.
+    The tokenizer lower-cases, drops white space and never joins across it, so a
+    text's ids are those of its space-separated chunks in order, and each chunk
+    is encoded once a worker.
     """
     arrow_rows(docs.sparkSession, 500)
 
@@ -113,20 +116,28 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        tokenizer, known = _encoder(tokenizer_path)
+        tokenizer, known, mark = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(tokens + 1, dtype=np.int64)
 
-        def learn(split: list[list[str]]) -> None:
+        def learn(split: list[list[bytes]]) -> None:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list(set().union(*split).difference(known))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-
-        def cut(ids_col: list[int], split: list[list[str]]) -> pa.RecordBatch:
+            new = set().union(*split).difference(known)
+            odd = [c for c in new if MARK in c]
+            plain = list(new.difference(odd))
+            for at in range(0, len(plain), 20_000):
+                part = plain[at : at + 20_000]
+                (found,) = tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)
+                ids = np.array(found.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == mark)
+                whole = ids.tobytes()
+                for chunk, a, b in zip(part, np.append(0, 4 * (cuts + 1)).tolist(), np.append(4 * cuts, len(whole)).tolist(), strict=True):
+                    known[chunk] = whole[a:b]
+            for chunk in odd:
+                known[chunk] = np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+        def cut(ids_col: list[int], split: list[list[bytes]]) -> pa.RecordBatch:
             learn(split)
             rows = []
             for doc_id, chunks in zip(ids_col, split, strict=True):
@@ -143,7 +154,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         held, split, size = [], [], 0
         for batch in batches:
             held += batch.column("doc_id").to_pylist()
-            split += [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
+            split += [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in batch.column("text").to_pylist()]
             size += batch.column("text").nbytes
             if size >= GATHERED:
                 yield cut(held, split)

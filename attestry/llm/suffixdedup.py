@@ -218,7 +218,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     span = length - gram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_enough = texts.filter(F.octet_length("text") >= length)
-    shared = long_enough.mapInArrow(_anchor_rows(length, gram, True), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # a written table, so that the join below deals both sides anew and can split a hot bucket
+    shared = checkpointed(long_enough.mapInArrow(_anchor_rows(length, gram, True), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     every = long_enough.mapInArrow(_anchor_rows(length, gram, False), "h long, doc_id long, place long, run long, run2 long")
     held = checkpointed(every.join(shared, "h", "left_semi"))
     _released(spark)
