@@ -20,6 +20,7 @@ an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from attestry.llm.common import arrow_rows, checkpointed, read_table
 
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Bytes of text whose new chunks are encoded together.
-GATHERED = 3_000_000
+GATHERED = 6_000_000
 #: A control character that is a token by itself, between chunks that are encoded in one go.
 MARK = b"\x1f"
+#: ASCII signs; not the apostrophe, which the tokenizer's pattern takes with letters.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def plan_bins(histogram: dict[int, int], tokens: int, max_docs: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> np.ndarray:
@@ -88,19 +91,96 @@ def plan_bins(histogram: dict[int, int], tokens: int, max_docs: int, max_cost: i
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(own))}
 
 
-def _encoder(path: str):
-    """chunk -> ids as bytes, remembered; and the tokenizer that fills it."""
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+class ChunkIds:
+    """Ids of chunks without spaces, as bytes, remembered.
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        (mark,) = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-        _TOKENIZERS[path] = (tokenizer, {}, mark)
-    return _TOKENIZERS[path]
+    A chunk of Latin letters is one word to the tokenizer's pattern, so those go
+    through its model alone, many at once, and the ids that end words part them.
+    A run of ASCII signs after such a chunk is one word of its own. Every other
+    chunk goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.lean = Tokenizer(self.whole.model)
+        self.lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = _byte_letters()
+        (self.mark,) = self.whole.encode(MARK.decode(), add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {b"": b""}
+
+    def _alone(self, chunk: bytes) -> bytes:
+        return np.array(self.whole.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, core: bytes) -> str | None:
+        """The model's spelling of a chunk of Latin letters, None for other chunks."""
+        if core.isalpha():
+            return core.decode()
+        word = core.decode()
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word):
+            return word.lower().encode().decode("latin-1").translate(self.letters)
+        return None
+
+    def learn(self, chunks: set[bytes]) -> None:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(chunks.difference(known))
+        cores = [chunk.rstrip(SIGNS) for chunk in new]
+        signs = [chunk[len(core) :] for chunk, core in zip(new, cores, strict=True)]
+        if len(self.signs) > REMEMBERED:
+            self.signs = {b"": b""}
+        self.signs.update((s, self._alone(s)) for s in set(signs).difference(self.signs))
+        words = [self._word(core) for core in cores]
+        spelled: dict[str | None, bytes] = {}
+        for part in _parts(list(set(words).difference({None, ""}))):
+            (found,) = self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                whole, stops = ids.tobytes(), (4 * stops).tolist()
+                spelled.update((word, whole[a:b]) for word, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
+        odd = []
+        for chunk, sign, word in zip(new, signs, words, strict=True):
+            ids = spelled.get(word)
+            if ids is None:
+                odd.append(chunk)
+            else:
+                known[chunk] = ids + self.signs[sign]
+        marked = [c for c in odd if MARK in c]
+        for chunk in marked:
+            known[chunk] = self._alone(chunk)
+        for part in _parts(list(set(odd).difference(marked))):
+            (found,) = self.whole.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            cuts, whole = np.flatnonzero(ids == self.mark), ids.tobytes()
+            for chunk, a, b in zip(part, np.append(0, 4 * (cuts + 1)).tolist(), np.append(4 * cuts, len(whole)).tolist(), strict=True):
+                known[chunk] = whole[a:b]
+
+
+def _parts(items: list, size: int = 10_000) -> Iterator[list]:
+    return (items[at : at + size] for at in range(0, len(items), size))
+
+
+_CHUNK_IDS: dict[str, ChunkIds] = {}
+
+
+def _chunk_ids(path: str) -> ChunkIds:
+    if path not in _CHUNK_IDS:
+        _CHUNK_IDS[path] = ChunkIds(path)
+    return _CHUNK_IDS[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int = 0) -> DataFrame:
@@ -116,29 +196,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        tokenizer, known, mark = _encoder(tokenizer_path)
+        memory = _chunk_ids(tokenizer_path)
+        known = memory.known
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(tokens + 1, dtype=np.int64)
 
-        def learn(split: list[list[bytes]]) -> None:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = set().union(*split).difference(known)
-            odd = [c for c in new if MARK in c]
-            plain = list(new.difference(odd))
-            for at in range(0, len(plain), 20_000):
-                part = plain[at : at + 20_000]
-                (found,) = tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(part).decode()], add_special_tokens=False)
-                ids = np.array(found.ids, dtype="<u4")
-                cuts = np.flatnonzero(ids == mark)
-                whole = ids.tobytes()
-                for chunk, a, b in zip(part, np.append(0, 4 * (cuts + 1)).tolist(), np.append(4 * cuts, len(whole)).tolist(), strict=True):
-                    known[chunk] = whole[a:b]
-            for chunk in odd:
-                known[chunk] = np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
         def cut(ids_col: list[int], split: list[list[bytes]]) -> pa.RecordBatch:
-            learn(split)
+            memory.learn(set().union(*split))
             rows = []
             for doc_id, chunks in zip(ids_col, split, strict=True):
                 ids = b"".join(map(known.__getitem__, chunks)) + end
@@ -154,7 +218,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         held, split, size = [], [], 0
         for batch in batches:
             held += batch.column("doc_id").to_pylist()
-            split += [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in batch.column("text").to_pylist()]
+            split += [(t or b"").lower().replace(b"\n", b" ").split(b" ") for t in batch.column("text").to_pylist()]
             size += batch.column("text").nbytes
             if size >= GATHERED:
                 yield cut(held, split)
@@ -162,7 +226,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         if held:
             yield cut(held, split)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
