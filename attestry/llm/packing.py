@@ -187,7 +187,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, task, ordinal in its task.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a
-    text's ids are those of its space-separated chunks in order, and each chunk
+    text's ids are those of its chunks between ASCII white space in order, and each chunk
     is encoded once a worker.
     """
     arrow_rows(docs.sparkSession, 500)
@@ -218,7 +218,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         held, split, size = [], [], 0
         for batch in batches:
             held += batch.column("doc_id").to_pylist()
-            split += [(t or b"").lower().replace(b"\n", b" ").split(b" ") for t in batch.column("text").to_pylist()]
+            split += [(t or b"").lower().split() for t in batch.column("text").to_pylist()]
             size += batch.column("text").nbytes
             if size >= GATHERED:
                 yield cut(held, split)
