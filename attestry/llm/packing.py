@@ -20,6 +20,7 @@ an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -133,32 +134,44 @@ class ChunkIds:
             return word.lower().encode().decode("latin-1").translate(self.letters)
         return None
 
+    def _encode_words(self, words: list[bytes], spelled) -> None:
+        """Remember the ids of words of letters; those whose ids do not part as expected are left out."""
+        for part in _parts(words):
+            (found,) = self.lean.encode_batch_fast([spelled(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part):
+                whole = ids.tobytes()
+                self.known.update(zip(part, [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
     def learn(self, chunks: set[bytes]) -> None:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(chunks.difference(known))
-        cores = [chunk.rstrip(SIGNS) for chunk in new]
-        signs = [chunk[len(core) :] for chunk, core in zip(new, cores, strict=True)]
+        new = chunks.difference(known)
+        plain = [chunk for chunk in new if chunk.isalpha()]
+        rest = [(chunk, chunk.rstrip(SIGNS)) for chunk in new.difference(plain)]
+        ascii_, other, odd = set(plain), {}, []
+        for _, core in rest:
+            if core.isalpha():
+                if core not in known:
+                    ascii_.add(core)
+            elif core and core not in other:
+                other[core] = self._word(core)
+        self._encode_words(list(ascii_), lambda part: b" ".join(part).decode())
+        self._encode_words([core for core, word in other.items() if word and core not in known], lambda part: " ".join(map(other.__getitem__, part)))
         if len(self.signs) > REMEMBERED:
             self.signs = {b"": b""}
-        self.signs.update((s, self._alone(s)) for s in set(signs).difference(self.signs))
-        words = [self._word(core) for core in cores]
-        spelled: dict[str | None, bytes] = {}
-        for part in _parts(list(set(words).difference({None, ""}))):
-            (found,) = self.lean.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                whole, stops = ids.tobytes(), (4 * stops).tolist()
-                spelled.update((word, whole[a:b]) for word, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
-        odd = []
-        for chunk, sign, word in zip(new, signs, words, strict=True):
-            ids = spelled.get(word)
+        for chunk, core in rest:
+            ids = known.get(core) if core.isalpha() or other.get(core) else None
             if ids is None:
                 odd.append(chunk)
-            else:
+            elif len(core) < len(chunk):
+                sign = chunk[len(core) :]
+                if sign not in self.signs:
+                    self.signs[sign] = self._alone(sign)
                 known[chunk] = ids + self.signs[sign]
+        odd += [chunk for chunk in plain if chunk not in known]
         marked = [c for c in odd if MARK in c]
         for chunk in marked:
             known[chunk] = self._alone(chunk)
@@ -170,7 +183,7 @@ class ChunkIds:
                 known[chunk] = whole[a:b]
 
 
-def _parts(items: list, size: int = 10_000) -> Iterator[list]:
+def _parts(items: list, size: int = 2_000) -> Iterator[list]:
     return (items[at : at + size] for at in range(0, len(items), size))
 
 
@@ -196,6 +209,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
+        # millions of small objects without cycles: the collector would only walk them again and again
+        gc.disable()
         memory = _chunk_ids(tokenizer_path)
         known = memory.known
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -225,6 +240,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
                 held, split, size = [], [], 0
         if held:
             yield cut(held, split)
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long")
 
