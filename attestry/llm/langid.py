@@ -82,10 +82,12 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "bucket": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
 
     given = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counted = given.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
+    counted = given.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
+    named = counted["lang"].to_pylist()
+    langs = sorted(set(named))
+    place = {lang: i for i, lang in enumerate(langs)}
     table = np.zeros((len(langs), BUCKETS))
-    table[[langs.index(x) for x in counted["lang"]], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    table[[place[x] for x in named], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     code = codewords(len(langs))
     if not langs:
         return {"langs": [], "code": code, "weights": np.zeros((BUCKETS, 1), np.float32), "trust": code}
