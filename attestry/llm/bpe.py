@@ -16,6 +16,7 @@ ignored, whatever their names; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attestry.llm.common import arrow_rows, read_table
 
 #: Pieces whose ids a worker remembers between batches.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Bytes of text that are gathered before a query runs.
 GATHERED = 12_000_000
 
@@ -48,6 +49,8 @@ WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
 SELECT w, pos, tok FROM live JOIN (SELECT w, max(step) AS step FROM live GROUP BY w) USING (w, step)
 """
 _ORDERED = "SELECT w, list(tok ORDER BY pos) AS ids FROM (" + _ENCODE + ") GROUP BY w ORDER BY w"
+#: Both ways at once: token rows in order, and joined with the vocabulary, their letters in order.
+_ROUND = "SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.letters, '' ORDER BY pos) AS letters FROM (" + _ENCODE + ") JOIN vocabulary v ON v.id = tok GROUP BY w ORDER BY w"
 _DECODE = """
 SELECT w, string_agg(v.letters, '' ORDER BY t.pos) AS letters
 FROM token_rows t JOIN vocabulary v ON v.id = t.tok GROUP BY w ORDER BY w
@@ -67,6 +70,7 @@ class BpeTables:
         import duckdb
 
         self.ranks = ranks
+        self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         found = [
             (ranks[token[:cut]] << 32 | ranks[token[cut:]], rank)
@@ -88,19 +92,32 @@ class BpeTables:
         out: list[list[int] | None] = [[rank] if (rank := self.ranks.get(p)) is not None else ([] if not p else None) for p in pieces]
         left = [i for i, ids in enumerate(out) if ids is None]
         if left:
-            lengths = np.array([len(pieces[i]) for i in left], dtype=np.int64)
-            tok = self.byte_rank[np.frombuffer(b"".join(pieces[i] for i in left), dtype=np.uint8)]
-            ends = np.cumsum(lengths)
-            pos = np.arange(len(tok)) - np.repeat(ends - lengths, lengths)
-            nxt = np.append(tok[1:], np.int32(-1))
-            nxt[ends - 1] = -1
-            start = pa.table({"w": np.repeat(np.arange(len(left), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt, "npos": (pos + 1).astype(np.int32)})
-            self.con.register("start_rows", start)
-            for i, ids in zip(left, self.con.sql(_ORDERED).to_arrow_table()["ids"].to_pylist(), strict=True):
+            for i, ids in zip(left, self._merge([pieces[i] for i in left], _ORDERED)["ids"].to_pylist(), strict=True):
                 out[i] = ids
-            self.con.unregister("start_rows")
         return out
 
+    def _merge(self, pieces: list[bytes], sql: str) -> pa.Table:
+        """The query's rows, one a piece in order, over the token-position rows of pieces that are not empty."""
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        tok = self.byte_rank[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        ends = np.cumsum(lengths)
+        pos = np.arange(len(tok)) - np.repeat(ends - lengths, lengths)
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[ends - 1] = -1
+        start = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt, "npos": (pos + 1).astype(np.int32)})
+        self.con.register("start_rows", start)
+        out = self.con.sql(sql).to_arrow_table()
+        self.con.unregister("start_rows")
+        return out
+
+    def round_trip(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Each piece's ids as little-endian bytes, and what those ids decode to; pieces are not tokens and not empty."""
+        found = self._merge(pieces, _ROUND)
+        ids = found["ids"].combine_chunks()
+        raw = ids.values.to_numpy().astype("<u4").tobytes()
+        stops = (4 * ids.offsets.to_numpy()).tolist()
+        return [raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], [x.encode("latin-1") for x in found["letters"].to_pylist()]
+
     def decode(self, runs: list[list[int]]) -> list[bytes]:
         """Bytes of each run of ids."""
         lengths = np.array([len(r) for r in runs], dtype=np.int64)
@@ -138,14 +155,20 @@ class _Remembered:
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
             self.back.clear()
-        new = [p for p in pieces if p not in self.ids]
-        if not new:
-            return
-        runs = self.tables.encode([p.encode() for p in new])
-        backs = self.tables.decode(runs)
-        for piece, ids, back in zip(new, runs, backs, strict=True):
-            self.ids[piece] = np.array(ids, dtype="<u4").tobytes()
-            self.back[piece] = back
+        new = []
+        for piece in pieces:
+            if piece not in self.ids:
+                rank = self.tables.ranks.get(piece.encode())
+                if rank is None:
+                    new.append(piece)
+                else:
+                    self.ids[piece] = rank.to_bytes(4, "little")
+                    self.back[piece] = self.tables.token_bytes[rank]
+        for at in range(0, len(new), 200_000):
+            part = new[at : at + 200_000]
+            ids, backs = self.tables.round_trip([p.encode() for p in part])
+            self.ids.update(zip(part, ids, strict=True))
+            self.back.update(zip(part, backs, strict=True))
 
 
 _MEMORY: dict[str, _Remembered] = {}
@@ -175,6 +198,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        # millions of small objects without cycles: the collector would only walk them again and again
+        gc.disable()
         find = regex.compile(pattern).findall
         if vocabulary not in _MEMORY:
             _MEMORY[vocabulary] = _Remembered(tables_for(vocabulary))
@@ -195,6 +220,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             if with_ids:
                 table["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(table)
+        gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
