@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import ASCII_SPACE, arrow_rows, checkpointed, read_table
+from attestry.llm.common import ASCII_SPACE, arrow_rows, checkpointed, read_table, shuffle_width
 
 #: Leading key bits that the histogram counts; the directory never gets deeper.
 MAX_DEPTH = 16
@@ -145,7 +145,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # at most 2^MAX_DEPTH rows
     slots = spark.createDataFrame([(p, b) for b, (first, last, _) in enumerate(directory) for p in range(first, last + 1) if p in histogram], "prefix int, bucket int")
     owned = heads.join(F.broadcast(slots), "prefix").select("bucket", "key", "head_id", "body", "members", "best_chars", "best_id")
-    owned = owned.repartition(max(1, len(directory)), "bucket").sortWithinPartitions("key", "head_id")
+    owned = owned.repartition(max(shuffle_width(spark), 2 * len(directory)), "bucket").sortWithinPartitions("key", "head_id")
     settled = owned.mapInArrow(_own, "head_id long, keep_id long, group_size long")
     members = pages.filter("doc_id IS NOT NULL").select("doc_id", "head_id", "text_sha256")
     found = members.join(settled, "head_id")
