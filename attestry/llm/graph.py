@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from attestry.llm.common import checkpointed
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """(x, root) with every root its own parent, by jumping to the parent's parent; a chain halves with each round."""
+    before = None
+    while True:
+        total = parent.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return parent
+        before = total
+        above = parent.select(F.col("x").alias("at"), F.col("root").alias("higher"))
+        parent = checkpointed(parent.join(above, parent["root"] == above["at"], "left").select("x", F.coalesce("higher", "root").alias("root")))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) for every vertex of `links`; component is the least vertex reachable.
 
-    A round takes the least label over a vertex's links (pre-aggregated before
-    its shuffle) and then the label of that label, so a long chain halves with
-    each round. Labels only fall; their sum tells when they stand still. No
-    links give an empty table; repeated links and self-links change nothing.
+    In a round every vertex hooks onto its least neighbour (an aggregate, combined
+    before its shuffle), hooks are followed to their roots, and links are renamed
+    to roots: those inside a tree fall away, equal ones become one. A group of
+    copies is one vertex after a round, so its links are read once. No links give
+    an empty table; repeated links and links to oneself change nothing.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = checkpointed(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x IS NOT NULL AND y IS NOT NULL").distinct())
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "vertex")
-    before = None
+    edges = checkpointed(links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x < y").distinct())
+    labels = None
     while True:
-        labels = checkpointed(labels)
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels.withColumnRenamed("label", "component")
-        before = total
-        heard = both.join(labels, both["x"] == labels["vertex"]).groupBy("y").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, labels["vertex"] == heard["y"], "left").select("vertex", F.least("label", "heard").alias("label"))
-        target = lower.select(F.col("vertex").alias("at"), F.col("label").alias("jump"))
-        labels = lower.join(target, lower["label"] == target["at"], "left").select("vertex", F.least("label", "jump").alias("label"))
+        both = edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        parent = checkpointed(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")))
+        if labels is None:
+            labels = parent.select(F.col("x").alias("vertex"), F.col("x").alias("component"))
+        if not parent.head(1):
+            return labels
+        parent = _roots(parent)
+        labels = checkpointed(labels.join(parent, labels["component"] == parent["x"], "left").select("vertex", F.coalesce("root", "component").alias("component")))
+        left, right = parent.toDF("x", "a"), parent.toDF("y", "b")
+        renamed = edges.join(left, "x").join(right, "y").filter("a <> b")
+        edges = checkpointed(renamed.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
