@@ -31,12 +31,14 @@ from attestry.llm.common import arrow_rows, key_remainder, read_table
 
 #: Most examples of each label.
 PER_CLASS = 4000
-#: Most terms, least rows that hold one, and the least chi-square of a term.
-MAX_TERMS, MIN_ROWS, MIN_CHI = 4096, 5, 40.0
+#: Most terms, least rows that hold one, the least chi-square of a term, and its least share of the rows.
+MAX_TERMS, MIN_ROWS, MIN_CHI, MIN_EFFECT = 4096, 5, 40.0, 0.008
 #: Bytes of the beginnings that are terms, marked by a star.
 BEGINNINGS = (4, 5, 6)
 #: Neighbours that vote, and examples in a block.
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK = 25, 256
+#: Votes of equal vectors that a worker remembers.
+REMEMBERED = 50_000
 #: Nearness is 1 / (distance + SOFT); the prior votes with so much weight.
 SOFT, PRIOR_WEIGHT = 0.1, 0.5
 
@@ -114,6 +116,7 @@ class NearestExamples:
 
     def __init__(self, keys: list[int], labels: list[int], counts: list[Counter], vocabulary: dict[bytes, int], rows_with: np.ndarray, of_class: tuple[int, int]):
         self.vocabulary, self.n_rows = vocabulary, max(1, len(keys))
+        self.voted: dict[tuple, tuple[float, list[int]]] = {}
         self.idf = np.log((1 + self.n_rows) / (1 + rows_with)) + 1
         self.keys, self.labels = np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64)
         self.words = {t for t in vocabulary if not t.endswith(b"*")}
@@ -152,8 +155,14 @@ class NearestExamples:
             held |= {w for w in distinct if w[:size] in known and len(w) > size}
         if not held:
             return self.without_terms, []
-        raw, near = self.vote(self.vector(with_beginnings(Counter(w for w in words if w in held))))
-        return float(np.interp(raw, self.points, self.values)), [int(self.keys[i]) for _, i in near[:3]]
+        vector = self.vector(with_beginnings(Counter(w for w in words if w in held)))
+        key = tuple(sorted(vector.items()))
+        if key not in self.voted:
+            if len(self.voted) > REMEMBERED:
+                self.voted.clear()
+            raw, near = self.vote(vector)
+            self.voted[key] = float(np.interp(raw, self.points, self.values)), [int(self.keys[i]) for _, i in near[:3]]
+        return self.voted[key]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> NearestExamples:
@@ -186,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
     gap = F.greatest(F.abs(a * d - b * c) - (n[0] + n[1]) / 2, F.lit(0.0))  # Yates's correction
     chi = F.try_divide(F.lit(float(n[0] + n[1])) * gap**2, (a + b) * (c + d) * (a + c) * (b + d))
     spread = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    terms = spread.filter((F.col("yes") + F.col("no") >= MIN_ROWS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "term").limit(MAX_TERMS).collect()
+    terms = spread.filter((F.col("yes") + F.col("no") >= MIN_ROWS) & (chi >= max(MIN_CHI, MIN_EFFECT * (n[0] + n[1])))).orderBy(chi.desc(), "term").limit(MAX_TERMS).collect()
     vocabulary = {bytes(r.term): i for i, r in enumerate(terms)}
     rows_with = np.array([r.yes + r.no for r in terms], dtype=float)
     wanted = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<binary>")
