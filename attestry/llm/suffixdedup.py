@@ -207,7 +207,8 @@ def _refined(length: int, size: int):
 
 def _settled(rows: DataFrame, key: list[str], known: str, keep: list[str]) -> DataFrame:
     """`keep` and, where `known` holds and the key occurs again, `again`; `one` marks one row of such a key."""
-    twice = rows.filter(known).groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
+    # a written table, so that the join deals both sides anew and can split a hot key
+    twice = checkpointed(rows.filter(known).groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1"))
     return rows.join(twice, key, "left").select(*keep, F.col("n").isNotNull().alias("again"), F.coalesce(F.col("first.doc_id") == F.col("doc_id"), F.lit(False)).__and__(F.coalesce(F.col("first.place") == F.col("place"), F.lit(False))).alias("one"))
 
 
