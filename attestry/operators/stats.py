@@ -9,14 +9,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and v == v else float("nan"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail by the continued fraction or series of the incomplete gamma function."""
 
