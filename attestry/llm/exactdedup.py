@@ -31,7 +31,7 @@ from attestry.llm.common import ASCII_SPACE, arrow_rows, checkpointed, read_tabl
 #: Leading key bits that the histogram counts; the directory never gets deeper.
 MAX_DEPTH = 16
 #: Heads that a bucket holds before it is split.
-CAPACITY = 8192
+CAPACITY = 2048
 
 _PAGE = "doc_id long, head_id long, prefix int, key long, text_sha256 string, body binary, members long, best_chars long, best_id long"
 
