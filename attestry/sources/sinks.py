@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def contract(df: DataFrame, columns: list[str], fill: bool = True) -> DataFrame:
@@ -46,3 +47,34 @@ def refuse_overwrite(df: DataFrame, columns: list[str]) -> None:
         filled = filled | (F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
     if df.filter(filled).limit(1).collect():
         raise ValueError("labels are there; refusing to overwrite them")
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Rows added to a log of JSON lines; a failed write leaves no part of it visible."""
+    df.write.mode("append").json(path)
+
+
+def append_csv(df: DataFrame, columns: list[str], path: str) -> None:
+    contract(df, columns).write.mode("append").csv(path, header=True, emptyValue="", lineSep="\n")
+
+
+def journal_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream of events to a journal, each exactly once, and stops when what is there now is written.
+
+    The checkpoint is the run's lock: a second query with it fails, and a restart goes on
+    after the last committed batch.
+    """
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def publish_run(rows: DataFrame, expected: int, folder: str) -> bool:
+    """Writes `in_progress` always and `final` only when every expected row is complete; else a final of before goes."""
+    rows.write.mode("overwrite").json(f"{folder}/in_progress")
+    spark = rows.sparkSession
+    done = spark.read.schema(rows.schema).json(f"{folder}/in_progress").count() == expected
+    if done:
+        rows.write.mode("overwrite").json(f"{folder}/final")
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/final")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return done
