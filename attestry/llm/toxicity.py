@@ -1,12 +1,13 @@
 """Toxicity from the nearest labelled examples.
 
 Examples are a sample of labelled rows, at most PER_CLASS of each label, taken
-in the order of a hash of the key. Their terms are weighed by a chi-square test
-of presence against label; the at most MAX_TERMS terms that pass it span the
-TF-IDF vectors. Terms are words and, since words inflect, their beginnings. A block-max inverted index finds a text's nearest examples by
-exact cosine: the terms' largest weights in a block of examples bound the
-block's scores, blocks are taken in order of their bound, and the search ends
-when the k-th best score reaches the next bound. Votes are weighted by nearness
+in the order of a hash of the key. Every term of theirs whose presence depends on
+the label with ordinary significance (chi-square at MIN_CHI, however many pass)
+is in the TF-IDF vectors. Terms are words and, since words inflect, their
+beginnings. A block-max inverted index finds a text's nearest examples by exact
+cosine: the terms' largest weights in a block of examples bound the block's
+scores; the best-bounded blocks are scored first, and then, together, all others
+whose bound reaches the k-th best score. Votes are weighted by nearness
 and by how many labelled rows an example stands for; monotone (isotonic)
 regression on the examples' own leave-one-out votes calibrates them. The nearest
 examples are the evidence.
@@ -19,6 +20,8 @@ repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +34,8 @@ from attestry.llm.common import arrow_rows, key_remainder, read_table
 
 #: Most examples of each label.
 PER_CLASS = 4000
-#: Most terms, least rows that hold one, the least chi-square of a term, and its least share of the rows.
-MAX_TERMS, MIN_ROWS, MIN_CHI, MIN_EFFECT = 4096, 5, 40.0, 0.008
+#: The least chi-square of a term: 5 % of one degree of freedom, for samples of any size.
+MIN_CHI = 3.841
 #: Bytes of the beginnings that are terms, marked by a star.
 BEGINNINGS = (4, 5, 6)
 #: Neighbours that vote, and examples in a block.
@@ -65,32 +68,50 @@ class BlockMaxIndex:
     def __init__(self, rows: list[dict[int, float]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(rows), block
         self.blocks = -(-max(1, self.n) // block)
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                by_term[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], dtype=np.int64) for p in by_term]
-        self.weights = [np.array([w for _, w in p]) for p in by_term]
-        self.bounds = np.zeros((n_terms, self.blocks))
-        self.cuts = np.zeros((n_terms, self.blocks + 1), dtype=np.int64)
-        for t, (ids, weights) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.bounds[t], ids // block, weights)
-            self.cuts[t] = np.searchsorted(ids, np.arange(self.blocks + 1) * block)
+        sizes = [len(row) for row in rows]
+        terms = np.fromiter((t for row in rows for t in row), dtype=np.int64, count=sum(sizes))
+        weights = np.fromiter((w for row in rows for w in row.values()), dtype=float, count=len(terms))
+        ids = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((ids, terms))
+        self.ids, self.weights = ids[order], weights[order]
+        # the postings of a term in a block are those between two cuts, the block's and the next
+        places = terms[order] * self.blocks + self.ids // block
+        self.cuts = np.searchsorted(places, np.arange(n_terms * self.blocks + 1))
+        self.bounds = np.zeros(n_terms * self.blocks)
+        np.maximum.at(self.bounds, places, self.weights)
+        self.bounds = self.bounds.reshape(n_terms, self.blocks)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Dot products with the examples of some blocks; 0 for all others."""
+        if len(blocks) == self.blocks:
+            first, last = self.cuts[terms * self.blocks], self.cuts[(terms + 1) * self.blocks]
+        else:
+            places = (terms[:, None] * self.blocks + blocks).ravel()
+            first, last, weights = self.cuts[places], self.cuts[places + 1], np.repeat(weights, len(blocks))
+        sizes = last - first
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+        return np.bincount(self.ids[at], np.repeat(weights, sizes) * self.weights[at], minlength=self.n)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest dot product above 0, best first, ties to the smaller index."""
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.bounds[terms]
+        terms = np.array(sorted(query), dtype=np.int64)
+        weights = np.array([query[t] for t in terms.tolist()])
+        bound = weights @ self.bounds[terms]
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[bound[blocks] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        for part in (blocks[:2], blocks[2:]):
+            if len(best) == k:
+                part = part[bound[part] >= -best[-1][0] - 1e-12]
+            if not len(part):
                 break
-            scores = np.zeros(self.block)
-            for t in terms:
-                part = slice(self.cuts[t, b], self.cuts[t, b + 1])
-                scores[self.ids[t][part] - b * self.block] += query[t] * self.weights[t][part]
-            new = [(-scores[i], int(b * self.block + i)) for i in np.flatnonzero(scores > 0) if b * self.block + i != without]
-            best = sorted(best + new)[:k]
+            scores = self._scores(terms, weights, np.sort(part))
+            if 0 <= without < self.n:
+                scores[without] = 0
+            least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+            found = np.flatnonzero((scores >= least) & (scores > 0))
+            best = sorted([*best, *zip((-scores[found]).tolist(), found.tolist(), strict=True)])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -116,11 +137,11 @@ class NearestExamples:
 
     def __init__(self, keys: list[int], labels: list[int], counts: list[Counter], vocabulary: dict[bytes, int], rows_with: np.ndarray, of_class: tuple[int, int]):
         self.vocabulary, self.n_rows = vocabulary, max(1, len(keys))
-        self.voted: dict[tuple, tuple[float, list[int]]] = {}
+        self.voted: dict[bytes, tuple[float, list[int]]] = {}
         self.idf = np.log((1 + self.n_rows) / (1 + rows_with)) + 1
         self.keys, self.labels = np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64)
-        self.words = {t for t in vocabulary if not t.endswith(b"*")}
-        self.beginnings = [(size, known) for size in BEGINNINGS if (known := {t[:-1] for t in vocabulary if t.endswith(b"*") and len(t) == size + 1})]
+        self.logs = self.idf.tolist()
+        self.known: dict[bytes, list[int]] = {}
         here = np.bincount(self.labels, minlength=2)
         self.stands = np.array([of_class[c] / max(1, here[c]) for c in (0, 1)])
         self.prior = of_class[1] / max(1, sum(of_class))
@@ -135,9 +156,21 @@ class NearestExamples:
         self.without_terms = float((weight * self.labels).sum() + self.prior) / (weight.sum() + 1) if keys else 0.0
 
     def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        row = {t: (1 + np.log(n)) * self.idf[t] for w, n in counts.items() if (t := self.vocabulary.get(w)) is not None}
-        norm = np.sqrt(sum(x * x for x in row.values()))
-        return {t: float(x / norm) for t, x in row.items()}
+        return self.weighed({t: n for w, n in counts.items() if (t := self.vocabulary.get(w)) is not None})
+
+    def weighed(self, counts: dict[int, int]) -> dict[int, float]:
+        """The unit vector of the counts, in the order of the terms, so that equal counts give equal bits."""
+        row = [(t, (1 + math.log(n)) * self.logs[t]) for t, n in sorted(counts.items())]
+        norm = math.sqrt(sum(x * x for _, x in row))
+        return {t: x / norm for t, x in row}
+
+    def terms_of(self, word: bytes) -> list[int]:
+        """The vocabulary's terms that a word counts for: itself and its beginnings."""
+        if (got := self.known.get(word)) is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            got = self.known[word] = [t for x in with_beginnings({word: 1}) if (t := self.vocabulary.get(x)) is not None]
+        return got
 
     def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         near = self.index.nearest(vector, NEIGHBOURS, without) if vector else []
@@ -148,15 +181,14 @@ class NearestExamples:
         return yes / total, near
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        words = words_of(text)
-        distinct = set(words)
-        held = self.words & distinct
-        for size, known in self.beginnings:
-            held |= {w for w in distinct if w[:size] in known and len(w) > size}
-        if not held:
+        counts: dict[int, int] = {}
+        for word, n in Counter(words_of(text)).items():
+            for t in self.terms_of(word):
+                counts[t] = counts.get(t, 0) + n
+        if not counts:
             return self.without_terms, []
-        vector = self.vector(with_beginnings(Counter(w for w in words if w in held)))
-        key = tuple(sorted(vector.items()))
+        vector = self.weighed(counts)
+        key = hashlib.blake2b(np.array(sorted(counts.items()), dtype=np.int64).tobytes(), digest_size=16).digest()
         if key not in self.voted:
             if len(self.voted) > REMEMBERED:
                 self.voted.clear()
@@ -195,15 +227,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
     gap = F.greatest(F.abs(a * d - b * c) - (n[0] + n[1]) / 2, F.lit(0.0))  # Yates's correction
     chi = F.try_divide(F.lit(float(n[0] + n[1])) * gap**2, (a + b) * (c + d) * (a + c) * (b + d))
     spread = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    terms = spread.filter((F.col("yes") + F.col("no") >= MIN_ROWS) & (chi >= max(MIN_CHI, MIN_EFFECT * (n[0] + n[1])))).orderBy(chi.desc(), "term").limit(MAX_TERMS).collect()
+    terms = spread.filter(chi >= MIN_CHI).orderBy(chi.desc(), "term").collect()  # terms of at most 2 * per_class rows
     vocabulary = {bytes(r.term): i for i, r in enumerate(terms)}
     rows_with = np.array([r.yes + r.no for r in terms], dtype=float)
-    wanted = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<binary>")
-    held = rows.select("doc_id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("held")).collect()
+
+    def of_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[(i, n) for t, n in zip(terms, counts, strict=True) if (i := vocabulary.get(t)) is not None] for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            parts = [pa.array([[x[k] for x in row] for row in held], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *parts], names=["doc_id", "toxic", "terms", "counts"])
+
+    held = rows.mapInArrow(of_vocabulary, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().to_pylist()
     rows.unpersist()
-    held.sort(key=lambda r: r.doc_id)
-    counts = [Counter({bytes(x.terms): x.counts for x in r.held}) for r in held]
-    return NearestExamples([r.doc_id for r in held], [r.toxic for r in held], counts, vocabulary, rows_with, (of_class.get(0, 0), of_class.get(1, 0)))
+    held.sort(key=lambda r: r["doc_id"])
+    names = list(vocabulary)
+    counts = [Counter({names[t]: n for t, n in zip(r["terms"], r["counts"], strict=True)}) for r in held]
+    return NearestExamples([r["doc_id"] for r in held], [r["toxic"] for r in held], counts, vocabulary, rows_with, (of_class.get(0, 0), of_class.get(1, 0)))
 
 
 def score(docs: DataFrame, model: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,6 +144,18 @@ def test_block_max_is_exact_and_toxicity_learns(spark, empty):
     assert {x.score for x in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_hears_rare_words(spark):
+    """Words that each mark a few of many toxic examples are terms."""
+    r = random.Random(4)
+    rare = [f"{a}{b}q" for a in "vwxyz" for b in "klmn"]
+    say = lambda: " ".join(r.choice("one two three four five".split()) for _ in range(8))
+    docs = spark.createDataFrame([(i, say() + (" " + rare[i // 2 % 20] if i % 2 else "")) for i in range(480)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(480) if i % 6], "doc_id long, toxic int"))
+    assert {w.encode() for w in rare} <= set(model.vocabulary)
+    new = by_id(toxicity.score(spark.createDataFrame([(i, f"{say()} {w}") for i, w in enumerate(rare)], "doc_id long, text string"), model))
+    assert all(x.predicted == 1 and x.nearest for x in new.values())
+
+
 def slow_fingerprint(t):
     import xxhash
 
