@@ -1,10 +1,13 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything
-but letters and digits as one space) and mapped to the identifier of a known
-licence sentence. The identifiers, in order, with `_` for each unknown sentence,
-are then matched against ordered rules: a rule names a licence and the sequence
-of identifiers that declares it, contiguous and in order.
+A text is normalised (lower case, runs of anything but letters and digits, comment
+marks among them, as one space) with its cuts marked: full ones at `.!?` before
+white space and at blank lines, and half ones at line ends and at `;` before white
+space. A known licence sentence is found between any two cuts and may run over
+half cuts, but not over full ones, so that wrapped texts are read; longer sentences
+go first. Their identifiers, in order, are then matched against ordered rules: a
+rule names a licence and the sequence of identifiers that declares it, in order
+and with no other known sentence, but any unknown ones, between.
 
 Defined results: null and empty texts recognise nothing (0, two empty strings,
 false); texts of any length are scanned whole in one projection without a
@@ -79,26 +82,32 @@ RULES = [
     ("all-rights-reserved", ("reserved.line",)),
 ]
 #: Every known sentence holds one of these; other texts need not be cut.
-ANCHOR = r"(?i)licen[cs]|rights\s+reserved|permission|free\s+software|redistribution|copyright|unencumbered"
+ANCHOR = r"(?i)licen[cs]|rights[^a-z0-9]+reserved|permission|free\s+software|redistribution|copyright|unencumbered"
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _marked(text: Column) -> Column:
+    """The normalised words between cuts, `H` full and `S` half, each known sentence replaced by `K` and its number."""
+    t = F.regexp_replace(F.lower(text), r"[.!?](?=[ \t\r\n])|\n(?:[^a-z0-9\n]*\n)+", "H")
+    t = F.concat(F.lit("H"), F.regexp_replace(t, r";(?=[ \t\r])|\n", "S"), F.lit("H"))
+    t = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9HS]+", " "), "[ S]*H[ HS]*", " H ")
+    t = F.regexp_replace(t, " ?S[ S]*", " S ")
+    for sentence, i in sorted(zip(SENTENCES, range(len(SENTENCES)), strict=True), key=lambda x: (-len(x[0]), x[1])):
+        t = F.regexp_replace(t, f"(?<=[HS] ){sentence.replace(' ', ' (?:S )?')}(?= [HS])", f"K{i}")
+    return t
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_recognised, sentence_ids, licenses, has_license."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.filter(F.split(F.regexp_replace(text, r"([.!?;])[ \t\r]+", "$1\n"), "\n"), lambda s: F.regexp_like(s, F.lit("[A-Za-z0-9]")))
-    marks = F.when(F.regexp_like(text, F.lit(ANCHOR)), F.transform(sentences, lambda s: F.coalesce(F.try_element_at(known, _normalised(s)), F.lit("_")))).otherwise(F.array().cast("array<string>"))
+    ids = F.array(*[F.lit(i) for i in SENTENCES.values()])
+    found = F.transform(F.regexp_extract_all(_marked(text), F.lit("K([0-9]+)")), lambda k: F.element_at(ids, k.cast("int") + 1))
+    marks = F.when(F.regexp_like(text, F.lit(ANCHOR)), found).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(id_col), marks.alias("marks"))
     line = F.concat(F.lit(" "), F.array_join("marks", " "), F.lit(" "))
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(line, F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in RULES])))
     # a bare grant is the two-clause form only where the names clause does not follow
     found = F.when(F.array_contains(hits, "BSD-3-Clause"), F.array_remove(hits, "BSD-2-Clause")).otherwise(hits)
-    recognised = F.filter("marks", lambda m: m != "_")
-    return out.select(id_col, F.size(recognised).cast("long").alias("n_recognised"), F.array_join(recognised, " ").alias("sentence_ids"), F.array_join(found, ",").alias("licenses"), (F.size(found) > 0).alias("has_license"))
+    return out.select(id_col, F.size("marks").cast("long").alias("n_recognised"), F.array_join("marks", " ").alias("sentence_ids"), F.array_join(found, ",").alias("licenses"), (F.size(found) > 0).alias("has_license"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +116,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for op4's rows."""
+    """DuckDB SQL for op4's rows where no known sentence is wrapped or runs over a `;`, and no rule's sentences have others between."""
     quoted = lambda s: "'" + s + "'"
     known = "MAP {" + ", ".join(f"{quoted(s)}: {quoted(i)}" for s, i in SENTENCES.items()) + "}"
     hits = ", ".join(f"CASE WHEN contains(line, ' {' '.join(ids)} ') THEN {quoted(name)} END" for name, ids in RULES)

@@ -125,6 +125,54 @@ def test_licenses_equal_sql(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_whole_wrapped_licenses(spark):
+    mit = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+    bsd2 = """Copyright (c) 2020, Someone. All rights
+reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+"""
+    bsd3 = bsd2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    gpl2, gpl3 = gpl.format(";", ";", 2), gpl.format(":", ",", 3)
+    apart = "Permission is hereby granted.\n\nReleased under\n\nthe MIT License. It was not. Released under the MIT License by us."
+    given = [mit, bsd2, bsd3, gpl2, gpl3, "/*\n" + "\n".join(f" * {x}".rstrip() for x in gpl2.split("\n")) + "\n */", mit.replace("\n", "\r\n"), apart]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")))
+    assert [got[i].licenses for i in range(len(given))] == ["MIT", "BSD-2-Clause,all-rights-reserved", "BSD-3-Clause,all-rights-reserved", "GPL-2.0", "GPL-3.0", "GPL-2.0", "MIT", ""]
+    assert got[0].sentence_ids == "mit.grant mit.notice" and got[3].sentence_ids == "gpl2.head gpl.warranty"
+
+
 def test_block_max_is_exact_and_toxicity_learns(spark, empty):
     r = random.Random(1)
     rows = [{t: r.random() for t in r.sample(range(12), 3)} for _ in range(300)]
