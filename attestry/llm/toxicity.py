@@ -1,27 +1,27 @@
 """Toxicity from the nearest labelled examples.
 
 Examples are a sample of labelled rows, at most PER_CLASS of each label, taken
-in the order of a hash of the key. Every term of theirs whose presence depends on
-the label with ordinary significance (chi-square at MIN_CHI, however many pass)
-is in the TF-IDF vectors. Terms are words and, since words inflect, their
-beginnings. A block-max inverted index finds a text's nearest examples by exact
-cosine: the terms' largest weights in a block of examples bound the block's
-scores; the best-bounded blocks are scored first, and then, together, all others
-whose bound reaches the k-th best score. Votes are weighted by nearness
-and by how many labelled rows an example stands for; monotone (isotonic)
+in the order of a hash of the key. Their vectors hold every word of theirs: TF-IDF
+weights, scaled by how far the word's presence goes with the label (FLOOR plus
+the absolute correlation, so no word is ever without weight). A block-max inverted
+index finds a text's nearest examples by exact cosine: the words' largest weights
+in a block of examples bound the block's scores; the best-bounded blocks are scored
+first, and then, together, all others whose bound reaches the k-th best score. Like
+examples stand in one block, so that bounds are close. Votes are weighted by
+nearness and by how many labelled rows an example stands for; monotone (isotonic)
 regression on the examples' own leave-one-out votes calibrates them. The nearest
 examples are the evidence.
 
-Defined results: a null or empty text, or one without any of the terms, has no
-neighbours and gets the calibrated share of examples without terms; with no
+Defined results: a null or empty text, or one without any word of the examples, has
+no neighbours and gets the calibrated share of examples without words; with no
 labelled rows every score is 0; ties go to the smaller key; texts count whole;
-repeated rows are scored alike; other columns are ignored.
+repeated rows are scored alike, and of examples that share a key each counts;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,12 +34,10 @@ from attestry.llm.common import arrow_rows, key_remainder, read_table
 
 #: Most examples of each label.
 PER_CLASS = 4000
-#: The least chi-square of a term: 5 % of one degree of freedom, for samples of any size.
-MIN_CHI = 3.841
-#: Bytes of the beginnings that are terms, marked by a star.
-BEGINNINGS = (4, 5, 6)
+#: What a word weighs that says nothing of the label, where one that decides it weighs 1 more.
+FLOOR = 0.05
 #: Neighbours that vote, and examples in a block.
-NEIGHBOURS, BLOCK = 25, 256
+NEIGHBOURS, BLOCK = 25, 128
 #: Votes of equal vectors that a worker remembers.
 REMEMBERED = 50_000
 #: Nearness is 1 / (distance + SOFT); the prior votes with so much weight.
@@ -52,61 +50,50 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_LETTERS).split()
 
 
-def with_beginnings(words: dict[bytes, int]) -> Counter:
-    """Counts of the words and of their beginnings."""
-    out = Counter(words)
-    for word, n in words.items():
-        for size in BEGINNINGS:
-            if len(word) > size:
-                out[word[:size] + b"*"] += n
-    return out
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the half-open ranges, one range after the other, and the ranges' sizes."""
+    sizes = last - first
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes), sizes
 
 
 class BlockMaxIndex:
-    """Postings of examples by term, with each term's largest weight in each block."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(rows), block
-        self.blocks = -(-max(1, self.n) // block)
-        sizes = [len(row) for row in rows]
-        terms = np.fromiter((t for row in rows for t in row), dtype=np.int64, count=sum(sizes))
-        weights = np.fromiter((w for row in rows for w in row.values()), dtype=float, count=len(terms))
-        ids = np.repeat(np.arange(self.n), sizes)
-        order = np.lexsort((ids, terms))
-        self.ids, self.weights = ids[order], weights[order]
-        # the postings of a term in a block are those between two cuts, the block's and the next
-        places = terms[order] * self.blocks + self.ids // block
-        self.cuts = np.searchsorted(places, np.arange(n_terms * self.blocks + 1))
-        self.bounds = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.bounds, places, self.weights)
-        self.bounds = self.bounds.reshape(n_terms, self.blocks)
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Dot products with the examples of some blocks; 0 for all others."""
-        if len(blocks) == self.blocks:
-            first, last = self.cuts[terms * self.blocks], self.cuts[(terms + 1) * self.blocks]
-        else:
-            places = (terms[:, None] * self.blocks + blocks).ravel()
-            first, last, weights = self.cuts[places], self.cuts[places + 1], np.repeat(weights, len(blocks))
-        sizes = last - first
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
-        return np.bincount(self.ids[at], np.repeat(weights, sizes) * self.weights[at], minlength=self.n)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest dot product above 0, best first, ties to the smaller index."""
-        terms = np.array(sorted(query), dtype=np.int64)
-        weights = np.array([query[t] for t in terms.tolist()])
-        bound = weights @ self.bounds[terms]
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
+    """Postings of vectors (rows of terms and weights) by term, with each term's largest weight in each block."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
+        self.n, self.block = n, block
+        self.blocks = -(-max(1, n) // block)
+        order = np.lexsort((rows, terms))
+        self.ids, self.weights, terms = rows[order].astype(np.int32), weights[order], terms[order]
+        self.first = np.searchsorted(terms, np.arange(n_terms + 1))
+        # a term's postings in one block stand together: where they begin, and the largest of them
+        places = terms * self.blocks + self.ids // block
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.zeros(0, np.int64)
+        self.part_first = np.append(starts, len(places))
+        self.part_block = (places[starts] % self.blocks).astype(np.int32)
+        self.part_most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        self.parts = np.searchsorted(places[starts] // self.blocks, np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k vectors of largest dot product above 0 with a query (ascending terms), best first, ties to the smaller row."""
+        parts, sizes = _runs(self.parts[terms], self.parts[terms + 1])
+        block_of, weight = self.part_block[parts], np.repeat(weights, sizes)
+        bound = np.bincount(block_of, weight * self.part_most[parts], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for part in (blocks[:2], blocks[2:]):
+        ahead = max(2, -(-k // self.block))
+        for chosen in (order[:ahead], order[ahead:]):
             if len(best) == k:
-                part = part[bound[part] >= -best[-1][0] - 1e-12]
-            if not len(part):
+                chosen = chosen[bound[chosen] >= -best[-1][0] - 1e-12]
+            if not len(chosen):
                 break
-            scores = self._scores(terms, weights, np.sort(part))
+            mine = np.zeros(self.blocks, dtype=bool)
+            mine[chosen] = True
+            mine = mine[block_of]
+            these = parts[mine]
+            at, sizes = _runs(self.part_first[these], self.part_first[these + 1])
+            scores = np.bincount(self.ids[at], np.repeat(weight[mine], sizes) * self.weights[at], minlength=self.n)
             if 0 <= without < self.n:
                 scores[without] = 0
             least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
@@ -132,67 +119,102 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return points, np.array([v for pool in pools for v in [pool[0] / pool[1]] * 2])
 
 
-class NearestExamples:
-    """Examples, their index and the calibration."""
+def label_weights(rows_with: np.ndarray, toxic_with: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """TF-IDF's idf of each term times FLOOR plus the absolute correlation of its presence with the label."""
+    a, b = toxic_with.astype(float), (rows_with - toxic_with).astype(float)
+    c, d = n_toxic - a, n - n_toxic - b
+    gap = np.maximum(np.abs(a * d - b * c) - n / 2, 0)  # Yates's correction
+    spread = (a + b) * (c + d) * (a + c) * (b + d)
+    correlation = gap / np.sqrt(np.where(spread > 0, spread, np.inf))
+    return (np.log((1 + n) / (1 + rows_with)) + 1) * (FLOOR + correlation)
+
+
+def like_together(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, groups: int = 32) -> np.ndarray:
+    """An order of the vectors in which like ones are neighbours: by the nearest of some of them, some rounds over.
+
+    Only the bounds' closeness rests on it, never a result.
+    """
+    if n <= BLOCK:
+        return np.arange(n)
+    # vectors folded into 256 dimensions
+    flat = np.zeros((n, 256))
+    np.add.at(flat, (rows, (terms * 2654435761 >> 7) % 256), weights)
+    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
+    centres = flat[np.linspace(0, n - 1, groups).astype(int)]
+    for _ in range(6):
+        at = (flat @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, flat)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    # groups in the order of their likeness to the first, so that the blocks they share are like too
+    return np.lexsort((np.arange(n), (centres @ centres[0])[at], at))
 
-    def __init__(self, keys: list[int], labels: list[int], counts: list[Counter], vocabulary: dict[bytes, int], rows_with: np.ndarray, of_class: tuple[int, int]):
-        self.vocabulary, self.n_rows = vocabulary, max(1, len(keys))
-        self.voted: dict[bytes, tuple[float, list[int]]] = {}
-        self.idf = np.log((1 + self.n_rows) / (1 + rows_with)) + 1
-        self.keys, self.labels = np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64)
-        self.logs = self.idf.tolist()
-        self.known: dict[bytes, list[int]] = {}
-        here = np.bincount(self.labels, minlength=2)
+
+class NearestExamples:
+    """Examples, their index and the calibration.
+
+    `words` and `counts` are the examples' distinct words and their counts, one
+    example after the other, `sizes` how many each example has.
+    """
+
+    def __init__(self, keys: np.ndarray, labels: np.ndarray, words: pa.Array, counts: np.ndarray, sizes: np.ndarray, of_class: tuple[int, int]):
+        coded = words.dictionary_encode()
+        terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names = coded.dictionary
+        n, n_terms = len(keys), len(self.names)
+        rows = np.repeat(np.arange(n), sizes)
+        with_ = np.bincount(terms, minlength=n_terms)
+        self.of_term = label_weights(with_, np.bincount(terms, labels[rows], minlength=n_terms), n, int(labels.sum()))
+        weights = (1 + np.log(counts)) * self.of_term[terms]
+        norm = np.sqrt(np.bincount(rows, weights * weights, minlength=n))
+        weights /= norm[rows]
+        place = np.argsort(like_together(rows, terms, weights, n))
+        order = np.argsort(place)
+        self.keys, self.labels, self.filled = keys[order], labels[order], norm[order] > 0
+        self.index = BlockMaxIndex(place[rows], terms, weights, n, n_terms)
+        here = np.bincount(labels, minlength=2)
         self.stands = np.array([of_class[c] / max(1, here[c]) for c in (0, 1)])
         self.prior = of_class[1] / max(1, sum(of_class))
-        vectors = [self.vector(c) for c in counts]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
         self.points, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        if keys:
-            raw = np.array([self.vote(v, without=i)[0] for i, v in enumerate(vectors)])
-            self.points, self.values = isotonic(raw, self.labels.astype(float), self.stands[self.labels])
-        none = np.array([not v for v in vectors], dtype=bool)
-        weight = self.stands[self.labels] * none if keys else np.zeros(0)
-        self.without_terms = float((weight * self.labels).sum() + self.prior) / (weight.sum() + 1) if keys else 0.0
-
-    def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        return self.weighed({t: n for w, n in counts.items() if (t := self.vocabulary.get(w)) is not None})
-
-    def weighed(self, counts: dict[int, int]) -> dict[int, float]:
-        """The unit vector of the counts, in the order of the terms, so that equal counts give equal bits."""
-        row = [(t, (1 + math.log(n)) * self.logs[t]) for t, n in sorted(counts.items())]
-        norm = math.sqrt(sum(x * x for _, x in row))
-        return {t: x / norm for t, x in row}
-
-    def terms_of(self, word: bytes) -> list[int]:
-        """The vocabulary's terms that a word counts for: itself and its beginnings."""
-        if (got := self.known.get(word)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            got = self.known[word] = [t for x in with_beginnings({word: 1}) if (t := self.vocabulary.get(x)) is not None]
-        return got
-
-    def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(vector, NEIGHBOURS, without) if vector else []
+        weight = self.stands[self.labels] * ~self.filled
+        self.without_words = float((weight * self.labels).sum() + self.prior) / (weight.sum() + 1) if n else 0.0
+        self.vocabulary: dict[bytes, int] | None = None
+        self.voted: dict[bytes, tuple[float, list[int]]] = {}
+
+    def calibrate(self, keys: list[int], raw: list[float], labels: list[int]) -> None:
+        """Isotonic values of leave-one-out votes."""
+        y = np.array(labels, dtype=np.int64)
+        if len(keys):
+            self.points, self.values = isotonic(np.array(raw), y.astype(float), self.stands[y])
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and counts of a text."""
+        if self.vocabulary is None:
+            self.vocabulary = {w: i for i, w in enumerate(self.names.to_pylist())}
+        known = self.vocabulary.get
+        found = [(t, n) for w, n in Counter(words_of(text)).items() if (t := known(w)) is not None]
+        return tuple(np.array(sorted(found), dtype=np.int64).reshape(-1, 2).T)
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+        """The weighted share of toxic among the nearest, and the nearest."""
+        weights = (1 + np.log(counts)) * self.of_term[terms]
+        near = self.index.nearest(terms, weights / np.sqrt((weights * weights).sum()), NEIGHBOURS, without) if len(terms) else []
+        near = sorted(((round(s, 12), i) for s, i in near), key=lambda x: (-x[0], self.keys[x[1]]))
         yes, total = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT
         for similarity, i in near:
             weight = self.stands[self.labels[i]] / (1 - min(1.0, similarity) + SOFT)
             yes, total = yes + weight * self.labels[i], total + weight
-        return yes / total, near
+        return float(yes / total), near
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts: dict[int, int] = {}
-        for word, n in Counter(words_of(text)).items():
-            for t in self.terms_of(word):
-                counts[t] = counts.get(t, 0) + n
-        if not counts:
-            return self.without_terms, []
-        vector = self.weighed(counts)
-        key = hashlib.blake2b(np.array(sorted(counts.items()), dtype=np.int64).tobytes(), digest_size=16).digest()
+        terms, counts = self.vector(text)
+        if not len(terms):
+            return self.without_words, []
+        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.voted:
             if len(self.voted) > REMEMBERED:
                 self.voted.clear()
-            raw, near = self.vote(vector)
+            raw, near = self.vote(terms, counts)
             self.voted[key] = float(np.interp(raw, self.points, self.values)), [int(self.keys[i]) for _, i in near[:3]]
         return self.voted[key]
 
@@ -211,38 +233,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
     for c in (0, 1):
         chosen += sorted(((r.place, r.doc_id, r.toxic) for r in drawn if r.toxic == c))[:per_class]
     picked = spark.createDataFrame([(d, y) for _, d, y in chosen], "doc_id long, toxic int")
-    # at most 2 * per_class rows
-    examples = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    # at most 2 * per_class keys; of rows that share one the smallest text is the example
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    examples = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [with_beginnings(Counter(words_of(t))) for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([list(r) for r in rows], kind), "counts": pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))})
-
-    rows = examples.mapInArrow(counted, "doc_id long, toxic int, terms array<binary>, counts array<int>").persist()
-    n = Counter({r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
-    a, b = F.col("yes").cast("double"), F.col("no").cast("double")
-    c, d = F.lit(float(n[1])) - a, F.lit(float(n[0])) - b
-    gap = F.greatest(F.abs(a * d - b * c) - (n[0] + n[1]) / 2, F.lit(0.0))  # Yates's correction
-    chi = F.try_divide(F.lit(float(n[0] + n[1])) * gap**2, (a + b) * (c + d) * (a + c) * (b + d))
-    spread = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    terms = spread.filter(chi >= MIN_CHI).orderBy(chi.desc(), "term").collect()  # terms of at most 2 * per_class rows
-    vocabulary = {bytes(r.term): i for i, r in enumerate(terms)}
-    rows_with = np.array([r.yes + r.no for r in terms], dtype=float)
-
-    def of_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array([list(r) for r in rows], pa.list_(pa.binary())), "counts": pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))})
+
+    held = examples.mapInArrow(counted, "doc_id long, toxic int, words array<binary>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    words, counts = held["words"].combine_chunks(), held["counts"].combine_chunks()
+    model = NearestExamples(held["doc_id"].to_numpy(), held["toxic"].to_numpy().astype(np.int64), words.flatten(), counts.flatten().to_numpy(), np.diff(words.offsets.to_numpy()), (of_class.get(0, 0), of_class.get(1, 0)))
+    del held, words, counts
+    sent = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        at = {key: i for i, key in enumerate(zip(m.keys.tolist(), m.labels.tolist(), strict=True))}
         for batch in batches:
-            held = [[(i, n) for t, n in zip(terms, counts, strict=True) if (i := vocabulary.get(t)) is not None] for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            parts = [pa.array([[x[k] for x in row] for row in held], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *parts], names=["doc_id", "toxic", "terms", "counts"])
-
-    held = rows.mapInArrow(of_vocabulary, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().to_pylist()
-    rows.unpersist()
-    held.sort(key=lambda r: r["doc_id"])
-    names = list(vocabulary)
-    counts = [Counter({names[t]: n for t, n in zip(r["terms"], r["counts"], strict=True)}) for r in held]
-    return NearestExamples([r["doc_id"] for r in held], [r["toxic"] for r in held], counts, vocabulary, rows_with, (of_class.get(0, 0), of_class.get(1, 0)))
+            raw = [m.vote(*m.vector(t), without=at[(d, y)])[0] for d, y, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "raw": pa.array(raw, pa.float64())})
+
+    votes = sorted(examples.mapInArrow(left_out, "doc_id long, toxic int, raw double").collect())  # at most 2 * per_class rows
+    model.calibrate([r.doc_id for r in votes], [r.raw for r in votes], [r.toxic for r in votes])
+    return model
 
 
 def score(docs: DataFrame, model: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

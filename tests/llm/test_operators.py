@@ -173,23 +173,77 @@ GNU General Public License for more details."""
     assert got[0].sentence_ids == "mit.grant mit.notice" and got[3].sentence_ids == "gpl2.head gpl.warranty"
 
 
-def test_block_max_is_exact_and_toxicity_learns(spark, empty):
+def test_block_max_is_exact():
     r = random.Random(1)
-    rows = [{t: r.random() for t in r.sample(range(12), 3)} for _ in range(300)]
-    index = toxicity.BlockMaxIndex(rows, 12, block=16)
-    for _ in range(30):
-        q = {t: r.random() for t in r.sample(range(12), 2)}
-        want = sorted(((sum(q[t] * x.get(t, 0) for t in q), -i) for i, x in enumerate(rows)), reverse=True)[:7]
-        assert [(round(s, 9), i) for s, i in index.nearest(q, 7)] == [(round(s, 9), -i) for s, i in want if s > 0]
-    data = [(i, ("vile " if i % 4 == 0 else "") + " ".join(r.choice("one two three four five".split()) for _ in range(8))) for i in range(400)]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)], "doc_id long, toxic int"))
+    rows = [{t: r.random() for t in sorted(r.sample(range(12), 3))} for _ in range(300)] + [{}]
+    flat = [(i, t, w) for i, row in enumerate(rows) for t, w in row.items()]
+    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat, strict=True)), n=301, n_terms=12, block=16)
+    for without in [-1, *range(30)]:
+        q = {t: r.random() for t in sorted(r.sample(range(12), 2))}
+        want = sorted(((sum(q[t] * x.get(t, 0) for t in q), -i) for i, x in enumerate(rows) if i != without), reverse=True)[:7]
+        got = index.nearest(np.array(list(q)), np.array(list(q.values())), 7, without)
+        assert [(round(s, 9), i) for s, i in got] == [(round(s, 9), -i) for s, i in want if s > 0]
+
+
+def slow_toxicity(examples: list, totals: tuple, given: list) -> list:
+    """Scores and nearest keys by dense vectors, all cosines and the definition of isotonic means."""
+    cut = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    bags = [Counter(cut(t)) for _, t, _ in examples]
+    n, yes = len(examples), sum(y for *_, y in examples)
+    names = sorted({w for bag in bags for w in bag})
+    factor = []
+    for w in names:
+        a, b = (sum(w in bag and y == k for bag, (*_, y) in zip(bags, examples)) for k in (1, 0))
+        c, d = yes - a, n - yes - b
+        spread = (a + b) * (c + d) * (a + c) * (b + d)
+        factor.append((math.log((1 + n) / (1 + a + b)) + 1) * (0.05 + (max(abs(a * d - b * c) - n / 2, 0) / math.sqrt(spread) if spread else 0)))
+
+    def vector(bag):
+        v = np.array([(1 + math.log(bag[w])) * f if w in bag else 0.0 for w, f in zip(names, factor)])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    table = [vector(bag) for bag in bags]
+    stands = [totals[0] / (n - yes), totals[1] / yes]
+    prior = totals[1] / sum(totals)
+
+    def vote(v, without=None):
+        near = sorted((-round(float(v @ x), 12), key, y) for i, (x, (key, _, y)) in enumerate(zip(table, examples)) if i != without and v @ x > 0)[:25]
+        w = [stands[y] / (1 - min(1, -s) + 0.1) for s, _, y in near]
+        return (0.5 * prior + sum(a * y for a, (*_, y) in zip(w, near))) / (0.5 + sum(w)), [key for _, key, _ in near[:3]]
+
+    raw = [vote(v, i)[0] for i, v in enumerate(table)]
+    points = sorted(set(raw))
+    mass = [sum(stands[y] for x, (*_, y) in zip(raw, examples) if x == p) for p in points]
+    sums = [sum(stands[y] * y for x, (*_, y) in zip(raw, examples) if x == p) for p in points]
+    mean = lambda i, j: sum(sums[i : j + 1]) / sum(mass[i : j + 1])
+    fitted = [max(min(mean(i, j) for j in range(k, len(points))) for i in range(k + 1)) for k in range(len(points))]
+    blank = [stands[y] for v, (*_, y) in zip(table, examples) if not v.any()], [stands[y] * y for v, (*_, y) in zip(table, examples) if not v.any()]
+    out = []
+    for t in given:
+        v = vector(Counter(w for w in cut(t) if w in names))
+        value, near = vote(v)
+        out.append((float(np.interp(value, points, fitted)), near) if v.any() else ((sum(blank[1]) + prior) / (sum(blank[0]) + 1), []))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark, empty):
+    r = random.Random(1)
+    say = lambda n: " ".join(r.choice("one two three four five six straße été".split()) for _ in range(n))
+    data = [(i, None if i == 21 else "" if i == 40 else ("Vile " if i % 4 == 0 else "") + say(r.randint(1, 9)) + (" vile" if i % 31 == 0 else "")) for i in range(240)]
+    data += [(240 + i, data[i][1]) for i in range(20)]
+    docs = spark.createDataFrame([(*x, "y", 1) for x in data], "doc_id long, text string, label string, toxic int").repartition(3)
+    labels = [(i, int(i % 4 == 0)) for i in range(230) if i % 5]
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, labels[0], (9999, 1), (None, 1)], "doc_id long, toxic int"))
+    yes = sum(y for _, y in labels) + 1
+    want = slow_toxicity([(i, data[i][1], y) for i, y in labels], (len(labels) + 1 - yes, yes), [t for _, t in data])
     got = by_id(toxicity.score(docs, model))
-    assert all(got[i].predicted == int(i % 4 == 0) for i in got) and all(0 <= x.score <= 1 for x in got.values())
-    odd = by_id(toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "vile")], "doc_id long, text string"), model))
-    assert odd[1].predicted == odd[2].predicted == 0 and odd[3].predicted == 1
+    for (i, _), (score, near) in zip(data, want):
+        assert math.isclose(got[i].score, score, abs_tol=1e-6) and got[i].nearest == near, i
+        assert got[i].predicted == int(got[i].score >= 0.5)
+    assert all(got[i].predicted == 1 for i in range(4, 240, 4) if i != 40)
     none = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {x.score for x in toxicity.score(docs, none).collect()} == {0.0}
+    assert toxicity.score(empty, model).count() == 0
 
 
 def test_toxicity_hears_rare_words(spark):
@@ -199,7 +253,7 @@ def test_toxicity_hears_rare_words(spark):
     say = lambda: " ".join(r.choice("one two three four five".split()) for _ in range(8))
     docs = spark.createDataFrame([(i, say() + (" " + rare[i // 2 % 20] if i % 2 else "")) for i in range(480)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(480) if i % 6], "doc_id long, toxic int"))
-    assert {w.encode() for w in rare} <= set(model.vocabulary)
+    assert {w.encode() for w in rare} <= set(model.names.to_pylist())
     new = by_id(toxicity.score(spark.createDataFrame([(i, f"{say()} {w}") for i, w in enumerate(rare)], "doc_id long, text string"), model))
     assert all(x.predicted == 1 and x.nearest for x in new.values())
 
