@@ -6,7 +6,7 @@ weights, scaled by how far the word's presence goes with the label (FLOOR plus
 the absolute correlation, so no word is ever without weight). A block-max inverted
 index finds a text's nearest examples by exact cosine: the words' largest weights
 in a block of examples bound the block's scores; the best-bounded blocks are scored
-first, and then, together, all others whose bound reaches the k-th best score. Like
+first, and then all whose bound reaches the k-th best score of those. Like
 examples stand in one block, so that bounds are close. Votes are weighted by
 nearness and by how many labelled rows an example stands for; monotone (isotonic)
 regression on the examples' own leave-one-out votes calibrates them. The nearest
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ from attestry.llm.common import arrow_rows, key_remainder, read_table
 PER_CLASS = 4000
 #: What a word weighs that says nothing of the label, where one that decides it weighs 1 more.
 FLOOR = 0.05
-#: Neighbours that vote, and examples in a block.
-NEIGHBOURS, BLOCK = 25, 128
+#: Neighbours that vote, examples in a block, and terms held as a matrix.
+NEIGHBOURS, BLOCK, DENSE = 25, 128, 512
+#: Texts whose nearest examples are found together.
+TOGETHER = 64
+#: Scores so close are equal.
+_TIE = 1e-9
 #: Votes of equal vectors that a worker remembers.
 REMEMBERED = 50_000
 #: Nearness is 1 / (distance + SOFT); the prior votes with so much weight.
@@ -58,48 +63,77 @@ def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Postings of vectors (rows of terms and weights) by term, with each term's largest weight in each block."""
+    """Postings of vectors (rows of terms and weights) by term, with each term's largest weight in each block.
 
-    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK):
-        self.n, self.block = n, block
+    The `dense` terms of most postings are held as a matrix, whose products for a
+    batch of queries are exact partial scores; their largest in a block is its bound.
+    """
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK, dense: int = DENSE):
+        self.n, self.block, self.dense = n, block, dense
         self.blocks = -(-max(1, n) // block)
         order = np.lexsort((rows, terms))
-        self.ids, self.weights, terms = rows[order].astype(np.int32), weights[order], terms[order]
-        self.first = np.searchsorted(terms, np.arange(n_terms + 1))
+        self.ids, self.weights = rows[order].astype(np.int32), weights[order]
+        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.ready = False
+
+    def _lay_out(self) -> None:
+        """What the postings give, made where it is used and not sent."""
+        if self.ready:
+            return
+        sizes = np.diff(self.first)
+        self.row_of = np.full(len(sizes), -1)
+        often = np.argsort(-sizes, kind="stable")[: self.dense]
+        self.row_of[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n))
+        at, n_at = _runs(self.first[often], self.first[often + 1])
+        self.matrix[np.repeat(np.arange(len(often)), n_at), self.ids[at]] = self.weights[at]
         # a term's postings in one block stand together: where they begin, and the largest of them
-        places = terms * self.blocks + self.ids // block
+        places = np.repeat(np.arange(len(sizes)), sizes) * self.blocks + self.ids // self.block
         starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.zeros(0, np.int64)
         self.part_first = np.append(starts, len(places))
         self.part_block = (places[starts] % self.blocks).astype(np.int32)
         self.part_most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
-        self.parts = np.searchsorted(places[starts] // self.blocks, np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k vectors of largest dot product above 0 with a query (ascending terms), best first, ties to the smaller row."""
+        self.parts = np.searchsorted(places[starts], np.arange(len(sizes) + 1) * self.blocks)
+        self.ready = True
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights) the vectors of the k largest dot products above 0 and all that tie, best first."""
+        self._lay_out()
+        left = np.zeros((len(queries), len(self.matrix)))
+        for q, (terms, weights) in enumerate(queries):
+            row = self.row_of[terms]
+            left[q, row[row >= 0]] = weights[row >= 0]
+        heads = left @ self.matrix
+        starts = np.arange(0, self.n, self.block)
+        return [self._one(head, starts, terms[few], weights[few], k, -1 if without is None else without[q]) for q, (head, (terms, weights)) in enumerate(zip(heads, queries, strict=True)) if (few := self.row_of[terms] < 0) is not None]
+
+    def _one(self, head: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        if not self.n:
+            return []
         parts, sizes = _runs(self.parts[terms], self.parts[terms + 1])
         block_of, weight = self.part_block[parts], np.repeat(weights, sizes)
-        bound = np.bincount(block_of, weight * self.part_most[parts], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        ahead = max(2, -(-k // self.block))
-        for chosen in (order[:ahead], order[ahead:]):
-            if len(best) == k:
-                chosen = chosen[bound[chosen] >= -best[-1][0] - 1e-12]
-            if not len(chosen):
-                break
+        bound = np.maximum.reduceat(head, starts) + np.bincount(block_of, weight * self.part_most[parts], minlength=self.blocks)
+
+        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of the chosen blocks and their scores."""
             mine = np.zeros(self.blocks, dtype=bool)
             mine[chosen] = True
-            mine = mine[block_of]
-            these = parts[mine]
-            at, sizes = _runs(self.part_first[these], self.part_first[these + 1])
-            scores = np.bincount(self.ids[at], np.repeat(weight[mine], sizes) * self.weights[at], minlength=self.n)
-            if 0 <= without < self.n:
-                scores[without] = 0
-            least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
-            found = np.flatnonzero((scores >= least) & (scores > 0))
-            best = sorted([*best, *zip((-scores[found]).tolist(), found.tolist(), strict=True)])[:k]
-        return [(-s, i) for s, i in best]
+            held = mine[block_of]
+            at, n_at = _runs(self.part_first[parts[held]], self.part_first[parts[held] + 1])
+            tail = np.bincount(self.ids[at], np.repeat(weight[held], n_at) * self.weights[at], minlength=self.n)
+            rows = np.flatnonzero(np.repeat(mine, self.block)[: self.n])
+            rows = rows[rows != without]
+            return rows, head[rows] + tail[rows]
+
+        def least(scores: np.ndarray) -> float:
+            return max(_TIE, np.partition(scores, len(scores) - k)[len(scores) - k] - _TIE) if len(scores) >= k else _TIE
+
+        ahead = max(2, -(-(k + 1) // self.block))
+        floor = least(scored(np.argsort(-bound, kind="stable")[:ahead])[1]) if self.blocks > ahead else _TIE
+        rows, scores = scored(np.flatnonzero(bound >= floor - _TIE))
+        found = np.flatnonzero(scores >= least(scores))
+        return sorted(((s, i) for s, i in zip(np.round(scores[found], 12).tolist(), rows[found].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,32 +225,38 @@ class NearestExamples:
         """Terms, ascending, and counts of a text."""
         if self.vocabulary is None:
             self.vocabulary = {w: i for i, w in enumerate(self.names.to_pylist())}
-        known = self.vocabulary.get
-        found = [(t, n) for w, n in Counter(words_of(text)).items() if (t := known(w)) is not None]
-        return tuple(np.array(sorted(found), dtype=np.int64).reshape(-1, 2).T)
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """The weighted share of toxic among the nearest, and the nearest."""
-        weights = (1 + np.log(counts)) * self.of_term[terms]
-        near = self.index.nearest(terms, weights / np.sqrt((weights * weights).sum()), NEIGHBOURS, without) if len(terms) else []
-        near = sorted(((round(s, 12), i) for s, i in near), key=lambda x: (-x[0], self.keys[x[1]]))
-        yes, total = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT
-        for similarity, i in near:
-            weight = self.stands[self.labels[i]] / (1 - min(1.0, similarity) + SOFT)
-            yes, total = yes + weight * self.labels[i], total + weight
-        return float(yes / total), near
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        terms, counts = self.vector(text)
-        if not len(terms):
-            return self.without_words, []
-        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
-        if key not in self.voted:
-            if len(self.voted) > REMEMBERED:
-                self.voted.clear()
-            raw, near = self.vote(terms, counts)
-            self.voted[key] = float(np.interp(raw, self.points, self.values)), [int(self.keys[i]) for _, i in near[:3]]
-        return self.voted[key]
+        counts = Counter(words_of(text))
+        terms = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
+        order = np.argsort(terms)
+        order = order[np.searchsorted(terms[order], 0) :]
+        return terms[order], np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[order]
+
+    def votes(self, given: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
+        """For each vector (terms, counts) the weighted share of toxic among the nearest, and the nearest."""
+        queries = []
+        for terms, counts in given:
+            weights = (1 + np.log(counts)) * self.of_term[terms]
+            queries.append((terms, weights / max(np.sqrt((weights * weights).sum()), 1e-300)))
+        out = []
+        for near in self.index.nearest(queries, NEIGHBOURS, without):
+            near = sorted(near, key=lambda x: (-x[0], self.keys[x[1]]))[:NEIGHBOURS]
+            yes, total = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT
+            for similarity, i in near:
+                weight = self.stands[self.labels[i]] / (1 - min(1.0, similarity) + SOFT)
+                yes, total = yes + weight * self.labels[i], total + weight
+            out.append((float(yes / total), [i for _, i in near]))
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Score and nearest keys of each text."""
+        if len(self.voted) > REMEMBERED:
+            self.voted.clear()
+        vectors = [self.vector(t) for t in texts]
+        keys = [hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest() for terms, counts in vectors]
+        new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in self.voted}
+        for key, (terms, _), (raw, near) in zip(new, new.values(), self.votes(list(new.values())), strict=True):
+            self.voted[key] = (float(np.interp(raw, self.points, self.values)), self.keys[near[:3]].tolist()) if len(terms) else (self.without_words, [])
+        return [self.voted[key] for key in keys]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> NearestExamples:
@@ -252,7 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neare
         m = sent.value
         at = {key: i for i, key in enumerate(zip(m.keys.tolist(), m.labels.tolist(), strict=True))}
         for batch in batches:
-            raw = [m.vote(*m.vector(t), without=at[(d, y)])[0] for d, y, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
+            raw = []
+            for some in range(0, len(rows), TOGETHER):
+                part = rows[some : some + TOGETHER]
+                raw += [r for r, _ in m.votes([m.vector(t) for *_, t in part], [at[(d, y)] for d, y, _ in part])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "raw": pa.array(raw, pa.float64())})
 
     votes = sorted(examples.mapInArrow(left_out, "doc_id long, toxic int, raw double").collect())  # at most 2 * per_class rows
@@ -268,7 +312,8 @@ def score(docs: DataFrame, model: NearestExamples, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            got = [m.score(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            got = [x for at in range(0, len(texts), TOGETHER) for x in m.scores(texts[at : at + TOGETHER])]
             scores = np.array([s for s, _ in got], dtype=float)
             yield pa.RecordBatch.from_pydict({id_col: batch.column("doc_id"), "score": pa.array(scores), "predicted": pa.array((scores >= 0.5).astype(np.int32)), "nearest": pa.array([e for _, e in got], pa.list_(pa.int64()))})
 

@@ -177,11 +177,11 @@ def test_block_max_is_exact():
     r = random.Random(1)
     rows = [{t: r.random() for t in sorted(r.sample(range(12), 3))} for _ in range(300)] + [{}]
     flat = [(i, t, w) for i, row in enumerate(rows) for t, w in row.items()]
-    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat, strict=True)), n=301, n_terms=12, block=16)
-    for without in [-1, *range(30)]:
-        q = {t: r.random() for t in sorted(r.sample(range(12), 2))}
+    index = toxicity.BlockMaxIndex(*(np.array(x) for x in zip(*flat, strict=True)), n=301, n_terms=12, block=16, dense=3)
+    queries = [{t: r.random() for t in sorted(r.sample(range(12), 2))} for _ in range(30)]
+    found = index.nearest([(np.array(list(q)), np.array(list(q.values()))) for q in queries], 7, [-1, *range(29)])
+    for without, q, got in zip([-1, *range(29)], queries, found):
         want = sorted(((sum(q[t] * x.get(t, 0) for t in q), -i) for i, x in enumerate(rows) if i != without), reverse=True)[:7]
-        got = index.nearest(np.array(list(q)), np.array(list(q.values())), 7, without)
         assert [(round(s, 9), i) for s, i in got] == [(round(s, 9), -i) for s, i in want if s > 0]
 
 
