@@ -1,28 +1,26 @@
 """LM scoring by prediction by partial matching over bytes.
 
-The model is a byte-context trie. Symbols are the end of a text, the corpus's
-most frequent bytes, and one class for all other bytes, whose members are then
-coded by their own frequencies; so every byte string has a probability. Contexts
-of up to DENSE symbols are held flat, longer ones, up to ORDER, in hash tables.
-Counts come from all training documents, and the model grows with them: the
-tables' capacity in (context, symbol) cells is CELLS times the fourth root of the
-training symbols, for every size alike. Where the corpus has more, the rarest long
-contexts are left out whole and their places are coded in shorter ones. Every
-worker holds the tables, at some 50 bytes a cell.
+The model is a byte-context trie. Symbols are the 256 bytes and the end of a text.
+A cell of the trie is a context of up to ORDER symbols and the symbol after it, with
+its count over all training documents; nothing is left out, at any size. The trie is
+a table by level, never in one place: a level's chances come from those of the next
+shorter contexts by a join on (context, symbol) and sums over the at most SYMBOLS
+cells of each context.
 
 A symbol seen c times in a context of n has weight 2c - 1 of 2n. A symbol unseen
 there costs the context's escape, its distinct symbols of 2n, and is coded in
 the next shorter context with the longer one's symbols excluded; contexts are
 nested, so each level excludes what the level above has seen. Below the empty
-context all symbols are equal. The sums that exclusion needs are worked out once
-for each context, and a text's code length is a sum of look-ups. A text is
+context all symbols are equal. Every (context, symbol) that the scored texts hold
+gets its chance so, and a text's code length is a sum of look-ups: the cells of most
+uses, at most HELD_CELLS, are in every worker, the others are joined. A text is
 modelled as its tokens joined by one space and an end, the same events as those
 of the unigram base score.
 
 Defined results: null text counts as empty, which is the end alone; texts are
-scored whole; repeated rows are scored alike; with no training documents the
-base is that of no counts and the model is uniform; an empty table gives an
-empty table; other columns are ignored.
+scored whole; repeated rows are scored alike; a null key stays null; with no training
+documents the base is that of no counts and the model is uniform; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,62 +31,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.common import arrow_rows, checkpointed, key_remainder, read_table
 
-#: Symbols: the end, the frequent bytes, the class of all others.
-SYMBOLS = 48
-#: Longest context that is held flat, and longest of all.
-DENSE = 3
+#: Bytes and the end, which is symbol 0; bits of a symbol in a cell's number.
+SYMBOLS, BITS = 257, 9
+#: Symbols of the longest context.
 ORDER = 5
-#: Cells of the longer contexts for the fourth root of one training symbol.
-CELLS = 12_000
-#: Most tokens whose counts every worker holds; all other counts are joined.
-HELD_TOKENS = 150_000
+#: Most tokens and most cells that every worker holds; all others are joined.
+HELD_TOKENS, HELD_CELLS = 150_000, 1_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
 
 
-def symbol_map(histogram: np.ndarray, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each byte, and log10 of each byte's share in the class of all others."""
-    order = np.lexsort((np.arange(256), -histogram))
-    frequent = order[: symbols - 2]
-    to_symbol = np.full(256, symbols - 1, dtype=np.uint32)
-    to_symbol[frequent] = np.arange(1, len(frequent) + 1)
-    others = to_symbol == symbols - 1
-    share = np.where(others, (histogram + 0.5) / (histogram + 0.5)[others].sum(), 1.0)
-    return to_symbol, np.log10(share)
-
-
-def context_codes(texts: list[bytes], to_symbol: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER) -> np.ndarray:
-    """For every symbol of each text and its end, its context and itself as one number, the symbol last."""
-    if any(b"\0" in t for t in texts) and len(texts) > 1:
-        return np.concatenate([context_codes([t], to_symbol, symbols, order) for t in texts])
+def cells_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """For every symbol of each text and its end, its context and itself as one number, the symbol in the last bits."""
     # ends stand between the texts, `order` of them, so that contexts do not cross; only the first is coded
     gap = b"\0" * order
-    data = np.frombuffer(gap + gap.join(texts) + b"\0", dtype=np.uint8)
-    s = to_symbol[data].astype(np.uint64)
+    s = np.frombuffer(gap + gap.join(texts) + b"\0", dtype=np.uint8).astype(np.uint64) + np.uint64(1)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begins = order + np.cumsum(lengths + order) - lengths - order
     for i in range(order):
         s[begins - 1 - i] = 0
     s[-1] = 0
     n = len(s) - order
-    code = s[:n].copy()
+    cell = s[:n].copy()
     for i in range(1, order + 1):
-        code *= np.uint64(symbols)
-        code += s[i : i + n]
+        cell <<= np.uint64(BITS)
+        cell |= s[i : i + n]
     if len(texts) > 1 and order > 1:
         keep = np.ones(n, dtype=bool)
         ends = begins[:-1] + lengths[:-1] - order
         for i in range(1, order):
             keep[ends + i] = False
-        code = code[keep]
-    return code
+        cell = cell[keep]
+    return cell
 
 
 class _Slots:
@@ -130,283 +111,229 @@ class _Slots:
         return out
 
 
-class Trie:
-    """The byte-context trie with every escape and exclusion worked out.
-
-    cells: {order: (codes, counts)} for `dense` (all of them) and, ascending,
-    each longer order, where a context's cells are all there or none is, and a
-    context's next shorter one is there if it is.
-    """
-
-    def __init__(self, cells: dict[int, tuple[np.ndarray, np.ndarray]], symbols: int = SYMBOLS, dense: int = DENSE):
-        self.symbols, self.dense = symbols, dense
-        self.flat, self.weight, self.distinct = self._dense(*cells[dense])
-        self.slots: dict[int, tuple[_Slots, _Slots]] = {}
-        upper = None
-        for order in sorted(k for k in cells if k > dense):
-            codes, counts = (np.asarray(x) for x in cells[order])
-            by = np.argsort(codes)
-            codes, weight = codes[by].astype(np.uint64), 2.0 * counts[by] - 1
-            contexts, first = np.unique(codes // np.uint64(symbols), return_index=True)
-            if not len(codes):
-                self.slots[order] = (_Slots(codes, np.zeros((0, 2))), _Slots(contexts, np.zeros((0, 4))))
-                continue
-            distinct = np.diff(np.append(first, len(codes)))
-            whole = np.add.reduceat(weight, first)
-            # the same symbols' weights in the next shorter context, which the longer one excludes
-            short, shorter = codes % np.uint64(symbols**order), contexts % np.uint64(symbols ** (order - 1))
-            if upper is None:
-                excluded = np.round(10.0 ** self.flat[short.astype(np.int64)].astype(np.float64))
-                around, seen = self.weight[shorter.astype(np.int64)], self.distinct[shorter.astype(np.int64)]
-            else:
-                excluded = upper[1][np.searchsorted(upper[0], short)]
-                at = np.searchsorted(upper[2], shorter)
-                around, seen = upper[3][at], upper[4][at]
-            total, escape = whole + self._escapes(distinct, 0), self._escapes(distinct, 0)
-            new = self._escapes(seen, distinct)
-            scale = np.maximum(around - np.add.reduceat(excluded, first) + new, 1)
-            part = lambda n, of: np.where(n > 0, np.log10(np.maximum(n, 1) / of), 0.0)
-            # row: the whole weight, the escape, the shorter context's weight left, its escape then
-            node_rows = np.stack([-np.log10(total), part(escape, total), -np.log10(scale), part(new, scale)], axis=1)
-            chance = np.log10(weight) - np.repeat(np.log10(total), distinct)
-            self.slots[order] = (_Slots(codes, np.stack([np.log10(weight), chance], axis=1)), _Slots(contexts, node_rows))
-            upper = (codes, weight, contexts, whole, distinct)
-
-    def _escapes(self, distinct: np.ndarray, excluded: np.ndarray | int) -> np.ndarray:
-        """Weight of the escape: symbols seen that are not excluded; none where no symbol is left unseen."""
-        return np.where(distinct < self.symbols, distinct - excluded, 0).astype(np.float64)
-
-    def _dense(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat cells: log weight where seen (0 or more), else log chance after the escape (below 0)."""
-        symbols, order = self.symbols, self.dense
-        deep = np.zeros(symbols ** (order + 1))
-        deep[np.asarray(codes, dtype=np.int64)] = counts
-        levels = [deep.reshape(-1, symbols)]
-        for _ in range(order):
-            levels.insert(0, levels[0].reshape(symbols, -1, symbols).sum(axis=0))
-        for table in levels:
-            table *= 2
-            table -= 1
-            np.maximum(table, 0, out=table)
-        fallback = np.full((1, symbols), 1.0 / max(1, symbols - int((levels[0] > 0).sum())))
-        for depth, table in enumerate(levels):
-            # fallback: chance of each symbol unseen in each of this level's contexts, after its escape
-            whole, distinct = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-            if depth == order:
-                seen = table > 0
-                np.maximum(table, 1, out=table)
-                flat = np.log10(table, out=table).astype(np.float32)
-                del table, levels
-                after = np.log10(np.maximum(fallback, np.float32(1e-30)))
-                flat[~seen] = np.minimum(after, np.float32(-1e-7))[~seen]
-                return flat.ravel(), whole.ravel(), distinct.ravel()
-            following = np.empty(levels[depth + 1].shape, dtype=np.float32)
-            for older in range(symbols):  # each context with one older symbol before it
-                part = slice(older * len(table), (older + 1) * len(table))
-                known = levels[depth + 1][part] > 0
-                new = self._escapes(distinct, known.sum(axis=1, keepdims=True))
-                scale = np.maximum(whole - np.where(known, table, 0).sum(axis=1, keepdims=True) + new, 1)
-                following[part] = np.where(table > 0, table / scale, np.where(new > 0, new / scale, 1.0) * fallback)
-            fallback = following
-
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | context) for codes of the longest order."""
-        out = np.zeros(len(codes))
-        left = np.arange(len(codes))
-        # of the next longer context, where it is in the trie: its row
-        child = np.zeros((len(codes), 4), dtype=np.float32)
-        has = np.zeros(len(codes), dtype=bool)
-        for order in sorted(self.slots, reverse=True):
-            cells, nodes = self.slots[order]
-            code = codes[left] % np.uint64(self.symbols ** (order + 1))
-            at = cells.find(code)
-            hit = at >= 0
-            after = has[hit]
-            found = cells.rows[at[hit]]
-            out[left[hit]] += np.where(after, found[:, 0] + child[hit, 2], found[:, 1])
-            miss = ~hit
-            left, code, child, has = left[miss], code[miss], child[miss], has[miss]
-            node = nodes.find(code // np.uint64(self.symbols))
-            row, there = nodes.rows[node], node >= 0
-            out[left] += np.where(has, child[:, 3], np.where(there, row[:, 1], 0))
-            child, has = row, there
-        code = (codes[left] % np.uint64(self.symbols ** (self.dense + 1))).astype(np.int64)
-        value, seen = self.flat[code], self.distinct[code // self.symbols]
-        escapes = self._escapes(seen, 0)
-        whole = -np.log10(np.maximum(self.weight[code // self.symbols] + escapes, 1))
-        escape = np.where(escapes > 0, np.log10(np.maximum(escapes, 1)) + whole, 0)
-        out[left] += value + np.where(value >= 0, np.where(has, child[:, 2], whole), np.where(has, child[:, 3], escape))
-        return out
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts, and byte counts as tokens of a space and the byte's number."""
+    """Token counts, and the ends as a token of a space and a word."""
     words: Counter = Counter()
-    histogram = np.zeros(256, dtype=np.int64)
 
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"token": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            tokens = tokens_of(text)
-            words.update(tokens)
+            words.update(tokens_of(text))
             words[b" end"] += 1
-            histogram += np.bincount(np.frombuffer(b" ".join(tokens), dtype=np.uint8), minlength=256)
         if len(words) > 500_000:
             yield packed()
             words.clear()
-    for byte in np.flatnonzero(histogram):
-        words[b" %d" % byte] += int(histogram[byte])
     yield packed()
 
 
-def train(docs: DataFrame) -> dict:
-    """Token counts (a table), their totals, and the trie, over all of `docs` (column text)."""
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the texts with their counts, in the documents learned from and in all."""
+    cells, learned, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh: dict[bool, list[np.ndarray]] = {True: [], False: []}
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int64)), "n": pa.array(learned), "uses": pa.array(uses)})
+
+    def merged() -> None:
+        nonlocal cells, learned, uses
+        parts, known, used = [cells], [learned], [uses]
+        for is_learned, lists in fresh.items():
+            if lists:
+                new, n = np.unique(np.concatenate(lists), return_counts=True)
+                parts.append(new)
+                known.append(n if is_learned else np.zeros_like(n))
+                used.append(n)
+                lists.clear()
+        both = np.concatenate(parts)
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        cells = both[first]
+        learned, uses = (np.add.reduceat(np.concatenate(x)[order], first) if len(first) else np.zeros(0, np.int64) for x in (known, used))
+
+    size = 0
+    for batch in batches:
+        flags = batch.column("learn").to_pylist()
+        texts = [b" ".join(tokens_of(t)) for t in batch.column("text").to_pylist()]
+        for is_learned in (True, False):
+            some = [t for t, f in zip(texts, flags, strict=True) if bool(f) is is_learned]
+            if some:
+                fresh[is_learned].append(cells_of(some))
+                size += len(fresh[is_learned][-1])
+        if size > 6_000_000:
+            merged()
+            size = 0
+            if len(cells) > 4_000_000:
+                yield packed()
+                cells, learned, uses = cells[:0], learned[:0], uses[:0]
+    merged()
+    yield packed()
+
+
+def chances(cells: DataFrame, order: int = ORDER) -> DataFrame:
+    """(cell, uses, chance) for every row of `cells` (cell, n, uses), the cells of `order` with those of all training texts.
+
+    A level's rows carry weight w, chance f after an escape from here, chance p as
+    the first context asked, and their context's whole weight and distinct symbols.
+    """
+    no_escape = F.col("distinct") >= SYMBOLS
+
+    def with_weights(table: DataFrame) -> DataFrame:
+        here = Window.partitionBy("context")  # at most SYMBOLS rows each
+        seen = F.col("n") > 0
+        w = F.when(seen, 2.0 * F.col("n") - 1).otherwise(0.0)
+        return table.withColumn("context", F.shiftrightunsigned("cell", BITS)).withColumn("w", w).withColumns({"whole": F.sum("w").over(here), "distinct": F.sum(seen.cast("double")).over(here)} | ({"excluded": F.sum(F.when(seen, F.col("up.w")).otherwise(0.0)).over(here)} if "up" in table.columns else {}))
+
+    def with_chance(table: DataFrame, above: Column) -> DataFrame:
+        """p from the weights and f; `above` where the context was never seen."""
+        escape = F.when(no_escape, 0.0).otherwise(F.col("distinct"))
+        total = F.col("whole") + escape
+        p = F.when(F.col("whole") == 0, above).when(F.col("w") > 0, F.col("w") / total).otherwise(escape / total * F.col("f"))
+        return table.withColumn("p", p)
+
+    def level(k: int) -> DataFrame:
+        if k == order:
+            return cells
+        return cells.groupBy(F.col("cell").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("cell")).agg(F.sum("n").alias("n"))
+
+    rows = with_weights(level(0)).withColumn("f", 1.0 / F.greatest(SYMBOLS - F.col("distinct"), F.lit(1.0)))
+    rows = with_chance(rows, F.lit(1.0 / SYMBOLS))
+    for k in range(1, order + 1):
+        up = rows.select(F.col("cell").alias("short"), F.struct("w", "f", "p", "whole", "distinct").alias("up"))
+        below = level(k).withColumn("short", F.col("cell").bitwiseAND(F.lit((1 << BITS * k) - 1)))
+        rows = with_weights(below.join(up, "short"))
+        new = F.when(F.col("up.distinct") >= SYMBOLS, 0.0).otherwise(F.col("up.distinct") - F.col("distinct"))
+        scale = F.greatest(F.col("up.whole") - F.col("excluded") + new, F.lit(1.0))
+        f = F.when(F.col("up.w") > 0, F.col("up.w") / scale).otherwise(F.when(new > 0, new / scale).otherwise(1.0) * F.col("up.f"))
+        rows = with_chance(rows.withColumn("f", f), F.col("up.p"))
+        if k == 2:
+            rows = checkpointed(rows.select("cell", "w", "f", "p", "whole", "distinct"))
+    return rows.select("cell", "uses", F.col("p").alias("chance"))
+
+
+def train(docs: DataFrame, learn: Column | None = None) -> dict:
+    """Token counts and trie cells, tables both, of the `docs` (column text) for which `learn` holds, all by default.
+
+    Cells of the other documents are there too, with no count, so that `score` of the
+    same documents need not ask for them again.
+    """
     arrow_rows(docs.sparkSession)
-    given = docs.select("text")
-    counted = checkpointed(given.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    special = F.substring("token", 1, 1) == F.lit(b" ")
-    histogram, ends = np.zeros(256, dtype=np.int64), 0
-    for r in counted.filter(special).collect():  # at most 257 rows
-        if bytes(r.token) == b" end":
-            ends = int(r.n)
-        else:
-            histogram[int(bytes(r.token))] = r.n
-    words = counted.filter(~special)
-    by_size = {int(r.size): (int(r.tokens), int(r.total)) for r in words.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("tokens"), F.sum("n").alias("total")).collect()}
-    distinct, total = sum(t for t, _ in by_size.values()) + (ends > 0), sum(n for _, n in by_size.values()) + ends
-    least, room = 64, HELD_TOKENS
-    while least > 0 and room >= by_size.get(least - 1, (0, 0))[0]:
+    given = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn") if learn is not None else F.lit(True).alias("learn"))
+    counted = checkpointed(given.filter("learn").select("text").mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    ends = sum(int(r.n) for r in counted.filter(F.col("token") == F.lit(b" end")).collect())
+    words = counted.filter(F.col("token") != F.lit(b" end"))
+    held, least, sizes = _most(words, "n", HELD_TOKENS)
+    cells = checkpointed(given.mapInArrow(_count_cells, "cell long, n long, uses long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")))
+    return {"words": words, "held": dict(zip(held["token"].to_pylist(), held["n"].to_pylist(), strict=True)), "least": least, "ends": ends, "total": sum(n for _, n in sizes.values()) + ends, "distinct": sum(t for t, _ in sizes.values()) + (ends > 0), "cells": cells}
+
+
+def _most(table: DataFrame, count: str, room: int) -> tuple[pa.Table, int, dict[int, tuple[int, int]]]:
+    """Rows of the largest counts, whole powers of two, at most `room` of them; the least power that is there; rows and sums by power."""
+    power = F.floor(F.log2(count))
+    sizes = {int(r["power"]): (int(r["rows"]), int(r["total"])) for r in table.groupBy(power.alias("power")).agg(F.count("*").alias("rows"), F.sum(count).alias("total")).collect()}
+    least = 64
+    while least > 0 and room >= sizes.get(least - 1, (0, 0))[0]:
         least -= 1
-        room -= by_size.get(least, (0, 0))[0]
-    many = words.filter(F.floor(F.log2("n")) >= least).toArrow()  # at most HELD_TOKENS rows
-    held = dict(zip(many["token"].to_pylist(), many["n"].to_pylist(), strict=True))
+        room -= sizes.get(least, (0, 0))[0]
+    return table.filter(power >= least).toArrow(), least, sizes  # at most `room` rows
 
-    to_symbol, share = symbol_map(histogram)
 
-    def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+_BUILT: dict[str, tuple[_Slots, dict[bytes, float]]] = {}
 
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"code": pa.array(codes.astype(np.int64)), "n": pa.array(counts)})
 
-        def merged() -> None:
-            nonlocal codes, counts
-            new, n = np.unique(np.concatenate(fresh), return_counts=True)
-            both = np.concatenate([codes, new])
-            order = np.argsort(both, kind="stable")
-            both, n = both[order], np.concatenate([counts, n])[order]
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            codes, counts = both[first], np.add.reduceat(n, first)
-            fresh.clear()
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", same: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score, score.
 
-        size = 0
-        for batch in batches:
-            if batch.num_rows:
-                fresh.append(context_codes([b" ".join(tokens_of(t)) for t in batch.column("text").to_pylist()], to_symbol))
-                size += len(fresh[-1])
-            if size > 6_000_000:
-                merged()
-                size = 0
-                if len(codes) > 4_000_000:
-                    yield packed()
-                    codes, counts = codes[:0], counts[:0]
-        if fresh:
-            merged()
-        yield packed()
-
-    deep = checkpointed(given.mapInArrow(count_contexts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    flat = deep.groupBy((F.col("code") % SYMBOLS ** (DENSE + 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS^(DENSE + 1) rows
-    cells = {DENSE: (flat["code"].to_numpy(), flat["n"].to_numpy())}
-    longer, sizes, symbols = {}, Counter(), 0
-    for order in range(DENSE + 1, ORDER + 1):
-        table = deep.groupBy((F.col("code") % SYMBOLS ** (order + 1)).alias("code")).agg(F.sum("n").alias("n")) if order < ORDER else deep
-        contexts = table.groupBy(F.expr(f"code div {SYMBOLS}").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
-        longer[order] = (table, contexts)
-        for r in contexts.groupBy(F.floor(F.log2("total")).alias("size")).agg(F.sum("cells").alias("cells"), F.sum("total").alias("symbols")).collect():
-            sizes[int(r["size"])] += int(r["cells"])
-            symbols += int(r["symbols"]) if order == ORDER else 0
-    smallest, space = 63, int(CELLS * symbols**0.25)
-    while smallest > 0 and space >= sizes[smallest - 1]:
-        smallest -= 1
-        space -= sizes[smallest]
-    for order, (table, contexts) in longer.items():
-        kept = table
-        if smallest > 0:
-            kept = table.withColumn("context", F.expr(f"code div {SYMBOLS}")).join(contexts.filter(F.floor(F.log2("total")) >= smallest), "context", "left_semi")
-        got = kept.select("code", F.col("n").cast("double").alias("n")).toArrow()  # no more rows in all than the capacity
-        cells[order] = (got["code"].to_numpy(), got["n"].to_numpy())
-    return {"words": words, "held": held, "least": least, "ends": ends, "total": total, "distinct": distinct, "cells": cells, "to_symbol": to_symbol, "share": share}
-
-
-_BUILT: dict[str, tuple[Trie, dict[bytes, float]]] = {}
-
-
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, n_known, train_tokens, base_score, score."""
+    `same`: the documents are among those that `train` was given.
+    """
     arrow_rows(docs.sparkSession)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cells = model["cells"]
+    if not same:
+        asked = given.select("text", F.lit(False).alias("learn")).mapInArrow(_count_cells, "cell long, n long, uses long")
+        cells = cells.withColumn("uses", F.lit(0).cast("long")).unionByName(asked).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    asked = checkpointed(chances(cells).filter("uses > 0").select("cell", "uses", F.log10("chance").alias("log")))
+    held, least, _ = _most(asked, "uses", HELD_CELLS)
     scale = model["total"] + 0.5 * (model["distinct"] + 1)
-    sent = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("held", "ends", "cells", "to_symbol", "share")})
+    sent = docs.sparkSession.sparkContext.broadcast((model["held"], model["ends"], held["cell"].to_numpy().astype(np.uint64), held["log"].to_numpy()))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        m = sent.value
-        ends, to_symbol, share = (m[k] for k in ("ends", "to_symbol", "share"))
+        counts, ends, numbers, values = sent.value
         if name not in _BUILT:
             # a worker lays out one model's tables, once
             _BUILT.clear()
-            _BUILT[name] = (Trie(m["cells"]), {t: float(np.log10((n + 0.5) / scale)) for t, n in m["held"].items()})
-        trie, logs = _BUILT[name]
-        frequent = bytes(b for b in range(256) if share[b] == 0)
-        end_log = np.log10((ends + 0.5) / scale)
+            _BUILT[name] = (_Slots(numbers, values[:, None]), {t: float(np.log10((n + 0.5) / scale)) for t, n in counts.items()})
+        slots, logs = _BUILT[name]
+        end_log = float(np.log10((ends + 0.5) / scale))
+        kinds = (("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()))
 
-        def lengths(split: list[list[bytes]]) -> Iterator[float]:
-            """log10 P of each text; texts are looked up together, some millions of symbols at once."""
+        def looked_up(split: list[list[bytes]], first: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+            """log10 P of some texts as far as held cells go, and the rows of their other cells; some millions of symbols at once."""
             at = 0
             while at < len(split):
-                joined, size = [], 0
+                joined, size, begin = [], 0, at
                 while at < len(split) and size < 1_000_000:
                     joined.append(b" ".join(split[at]))
                     size += len(joined[-1]) + 1
                     at += 1
-                sums = np.add.reduceat(trie.logs(context_codes(joined, to_symbol)), np.cumsum([0, *(len(j) + 1 for j in joined[:-1])]))
-                for j, total in zip(joined, sums.tolist(), strict=True):
-                    yield total + float(share[np.frombuffer(j.translate(None, frequent), dtype=np.uint8)].sum())
+                cells = cells_of(joined)
+                slot = slots.find(cells)
+                there = slot >= 0
+                sums = np.add.reduceat(np.where(there, slots.rows[slot, 0], 0.0), np.cumsum([0, *(len(j) + 1 for j in joined[:-1])]))
+                of = np.repeat(np.arange(len(joined)), [len(j) + 1 for j in joined])[~there]
+                rest = cells[~there]
+                order = np.lexsort((rest, of))
+                of, rest = of[order], rest[order]
+                start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (rest[1:] != rest[:-1]))) if len(rest) else np.zeros(0, np.int64)
+                n = len(start)
+                # a key of a space, a letter and the cell's number: no token
+                keys = np.empty((n, 10), dtype=np.uint8)
+                keys[:, 0], keys[:, 1] = 32, 99
+                keys[:, 2:] = rest[start].astype(">u8").view(np.uint8).reshape(n, 8)
+                columns = {"row": pa.array(of[start] + (first + begin)), "doc_id": pa.nulls(n, pa.int64()), "key": pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), n, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()), "times": pa.array(np.diff(np.append(start, len(rest)))), "known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()), "bits": pa.nulls(n, pa.float64())}
+                yield sums, pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            out = []
             split = [tokens_of(t) for t in batch.column("text").to_pylist()]
-            for (doc_id, tokens), bits in zip(zip(batch.column("doc_id").to_pylist(), split, strict=True), lengths(split), strict=True):
+            bits = []
+            for sums, rows in looked_up(split, row):
+                bits += sums.tolist()
+                if rows.num_rows:
+                    yield rows
+            out = []
+            for doc_id, tokens, log in zip(batch.column("doc_id").to_pylist(), split, bits, strict=True):
                 known, base = int(ends > 0), end_log
                 for token, n in Counter(tokens).items():
-                    log = logs.get(token)
-                    if log is None:
+                    value = logs.get(token)
+                    if value is None:
                         out.append((row, None, token, n, None, None, None))
                     else:
                         known += n
-                        base += n * log
+                        base += n * value
                 # a space and the row's number: no token, so it joins nothing and goes to no common place
-                out.append((row, doc_id, b" %d" % row, len(tokens) + 1, known, float(base), bits))
+                out.append((row, doc_id, b" %d" % row, len(tokens) + 1, known, base, log))
                 row += 1
-            kinds = (("row", pa.int64()), ("doc_id", pa.int64()), ("token", pa.binary()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()))
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = given.mapInArrow(run, "row long, doc_id long, token binary, tf long, known long, base double, bits double")
-    rare = model["words"].filter(F.floor(F.log2("n")) < model["least"])
-    joined = parts.join(rare, "token", "left")
+    parts = given.mapInArrow(run, "row long, doc_id long, key binary, times long, known long, base double, bits double")
+    rare_words = model["words"].filter(F.floor(F.log2("n")) < model["least"]).select(F.col("token").alias("key"), "n", F.lit(None).cast("double").alias("log"))
+    rare_cells = asked.filter(F.floor(F.log2("uses")) < least).select(F.concat(F.lit(b" c"), F.unhex(F.lpad(F.hex("cell"), 16, "0"))).alias("key"), F.lit(None).cast("long").alias("n"), "log")
+    joined = parts.join(rare_words.unionByName(rare_cells), "key", "left")
+    is_row, is_cell = F.col("bits").isNotNull(), F.col("log").isNotNull()
     n = F.coalesce("n", F.lit(0))
-    is_row = F.col("doc_id").isNotNull()
+    word = ~is_row & ~is_cell
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias(id_col),
-        F.sum(F.when(is_row, F.col("tf"))).alias("n_tokens"),
-        F.sum(F.when(is_row, F.col("known")).otherwise(F.when(n > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        F.sum(F.when(is_row, F.col("base")).otherwise(F.col("tf") * F.log10((n + 0.5) / F.lit(float(scale))))).alias("base_score"),
-        F.sum("bits").alias("score"),
+        F.sum(F.when(is_row, F.col("times"))).alias("n_tokens"),
+        F.sum(F.when(is_row, F.col("known")).when(word & (n > 0), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(is_row, F.col("base")).when(word, F.col("times") * F.log10((n + 0.5) / F.lit(float(scale))))).alias("base_score"),
+        F.sum(F.when(is_row, F.col("bits")).when(is_cell, F.col("times") * F.col("log"))).alias("score"),
     )
     return sums.select(id_col, "n_tokens", "n_known", F.lit(int(model["total"])).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -414,6 +341,5 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all `documents`, learned from those whose key's remainder by 5 is not 1."""
     docs = read_table(spark, sf_dir, "documents")
-    model = train(docs.filter(key_remainder("doc_id", 5) != 1))
-    out = score(docs, model)
+    out = score(docs, train(docs, key_remainder("doc_id", 5) != 1), same=True)
     return out.select("doc_id", (key_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -363,23 +363,67 @@ def test_exact_groups_equal_sql(spark, docs, empty):
     assert directory[0][0] == 0 and directory[-1][1] == 65535 and all(b[0] == a[1] + 1 for a, b in itertools.pairwise(directory))
 
 
-def test_ppm(spark, docs, empty):
-    rng = np.random.default_rng(0)
-    for symbols, dense, order in ((5, 1, 3), (4, 2, 4)):
-        full = rng.integers(0, symbols ** (order + 1), size=150).astype(np.uint64)
-        cells = {k: np.unique(full % np.uint64(symbols ** (k + 1)), return_counts=True) for k in range(dense, order + 1)}
-        chances = 10 ** ppm.Trie(cells, symbols, dense).logs(np.arange(symbols ** (order + 1), dtype=np.uint64)).reshape(-1, symbols)
-        assert np.allclose(chances.sum(axis=1), 1, atol=1e-5)
-    got = by_id(ppm.score(docs, ppm.train(docs)))
-    counts, ts = Counter(), [ppm.tokens_of(t) for t in texts()]
-    for t in ts:
-        counts.update(t)
-    total, distinct = sum(counts.values()) + len(ts), len(counts) + 1
+def slow_ppm(learned: list[bytes], text: bytes, order: int = 5) -> float:
+    """log10 P of a text: one symbol at a time, contexts longest first, with sets of excluded symbols."""
+    seen: dict[tuple, Counter] = {}
+    for t in learned:
+        s = [0] * order + [b + 1 for b in t] + [0]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    out, s = 0.0, [0] * order + [b + 1 for b in text] + [0]
+    for i in range(order, len(s)):
+        gone: set = set()
+        for k in range(order, -1, -1):
+            here = seen.get(tuple(s[i - k : i]))
+            if not here:
+                continue
+            weights = {x: 2 * n - 1 for x, n in here.items() if x not in gone}
+            escape = 0 if len(here) == 257 else len(weights)
+            total = max(1, sum(weights.values()) + escape)
+            if s[i] in weights:
+                out += math.log10(weights[s[i]] / total)
+                break
+            if escape:
+                out += math.log10(escape / total)
+            gone = set(here)
+        else:
+            out -= math.log10(257 - len(gone))
+    return out
+
+
+@pytest.mark.parametrize("room", [10**6, 7])
+def test_ppm(spark, docs, empty, monkeypatch, room):
+    """Equal to the slow way, with all cells and tokens in the workers or nearly all joined."""
+    monkeypatch.setattr(ppm, "HELD_CELLS", room)
+    monkeypatch.setattr(ppm, "HELD_TOKENS", room)
+    learn = docs["doc_id"] % 3 != 1
+    ts = [ppm.tokens_of(t) for t in texts()]
+    learned = [t for i, t in enumerate(ts) if i % 3 != 1]
+    counts = Counter(w for t in learned for w in t)
+    total, distinct = sum(counts.values()) + len(learned), len(counts) + 1
     log = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    model = ppm.train(docs, learn)
+    got, apart = by_id(ppm.score(docs, model, same=True)), by_id(ppm.score(docs, ppm.train(docs.filter(learn))))
     for i, t in enumerate(ts):
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t) + 1, len(t) + 1, total)
-        assert math.isclose(got[i].base_score, log(len(ts)) + sum(log(counts[w]) for w in t), rel_tol=1e-9) and got[i].score < 0
-    assert ppm.score(empty, ppm.train(docs)).count() == 0 and ppm.score(docs, ppm.train(empty)).count() == docs.count()
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t) + 1, 1 + sum(w in counts for w in t), total)
+        assert math.isclose(got[i].base_score, log(len(learned)) + sum(log(counts[w]) for w in t), rel_tol=1e-9)
+        assert tuple(got[i])[1:4] == tuple(apart[i])[1:4] and math.isclose(got[i].score, apart[i].score, rel_tol=1e-6)
+        if len(t) < 500:
+            assert math.isclose(got[i].score, slow_ppm([b" ".join(x) for x in learned], b" ".join(t)), rel_tol=1e-5), i
+
+
+def test_ppm_defined_results(spark, docs, empty):
+    model = ppm.train(docs)
+    odd = spark.createDataFrame([(None, "a the of"), (1, "a the of"), (1, "\0 \x01"), (2, None)], "doc_id long, text string")
+    got = ppm.score(odd, model).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 1), (False, 3), (False, 4), (True, 4)]
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1
+    assert ppm.score(empty, model).count() == 0
+    none = by_id(ppm.score(docs, ppm.train(empty)))
+    for i, t in enumerate(texts()):
+        joined = b" ".join(ppm.tokens_of(t))
+        assert math.isclose(none[i].score, -(len(joined) + 1) * math.log10(257), rel_tol=1e-6) and none[i].n_known == 0
 
 
 def test_pipeline_stages(spark, docs, empty):
