@@ -30,6 +30,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Names that a table hardly has: the key of a row, and whether its identifier is shared.
+ROW_KEY, SHARED, _OF = "key of the row", "identifier is shared", "shared identifier"
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with ROW_KEY, a long, and SHARED.
+
+    The key is the identifier, or, where that is null or more than one row's, a hash
+    of identifier and text: rows of one key have equal identifiers and texts.
+    """
+    key = F.col(id_col).cast("long")
+    shared = checkpointed(docs.groupBy(key.alias(_OF)).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(_OF).isNull()).select(_OF))
+    if not shared.head(1):
+        return docs.withColumn(ROW_KEY, key).withColumn(SHARED, F.lit(False))
+    marked = docs.join(shared.select(_OF, F.lit(True).alias(SHARED)), key.eqNullSafe(F.col(_OF)), "left").drop(_OF)
+    flag = F.coalesce(F.col(SHARED), F.lit(False))
+    return marked.withColumn(SHARED, flag).withColumn(ROW_KEY, F.when(flag, F.xxhash64(key, F.col(text_col))).otherwise(key))
+
+
+def one_row_a_key(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `keyed` rows, one of each key; only rows with shared identifiers are grouped."""
+    alone = rows.filter(~F.col(SHARED)).select(columns)
+    some = rows.filter(F.col(SHARED)).groupBy(ROW_KEY).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("r"))
+    return alone.unionByName(some.select("r.*"))
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -13,8 +13,8 @@ rows costs one head per task and no task meets its members.
 Defined results: null text counts as empty; empty texts are one group; of equal
 texts the row with the most code points, then the smallest id, stays; texts of
 any length are compared whole; an empty table gives an empty table; other
-columns are ignored; repeated rows are copies of each other, and rows that
-share the id of the one that stays count as kept.
+columns are ignored; repeated rows are copies of each other; a null id comes after
+all others; rows that share the id of the one that stays count as kept.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import ASCII_SPACE, arrow_rows, checkpointed, read_table, shuffle_width
+from attestry.llm.common import ASCII_SPACE, ROW_KEY, arrow_rows, checkpointed, keyed, one_row_a_key, read_table, shuffle_width
 
 #: Leading key bits that the histogram counts; the directory never gets deeper.
 MAX_DEPTH = 16
@@ -54,6 +54,11 @@ def build_directory(histogram: dict[int, int], capacity: int = CAPACITY, max_dep
     return sorted(done)
 
 
+def _before(chars: int, doc_id: int | None, best_chars: int, best_id: int | None) -> bool:
+    """Whether a row stays rather than the best so far: more code points, then the smaller id, null last."""
+    return (-chars, doc_id is None, doc_id or 0) < (-best_chars, best_id is None, best_id or 0)
+
+
 def _pages(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,7 +82,7 @@ def _pages(id_col: str, text_col: str):
                     next_head += 1
                 else:
                     head[1] += 1
-                    if (-len(text), doc_id) < (-head[2], head[3]):
+                    if _before(len(text), doc_id, head[2], head[3]):
                         head[2], head[3] = len(text), doc_id
                 ids.append(doc_id)
                 heads.append(head[0])
@@ -110,7 +115,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chain = [body, 0, -1, 0, []]
                 chains.append(chain)
             chain[1] += members
-            if (-chars, best) < (-chain[2], chain[3]):
+            if _before(chars, best, chain[2], chain[3]):
                 chain[2], chain[3] = chars, best
             chain[4].append(head_id)
         return [(head_id, c[3], c[1]) for c in chains for head_id in c[4]]
@@ -139,7 +144,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     arrow_rows(spark)
     pages = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pages("doc_id", "text"), _PAGE))
-    heads = pages.filter("doc_id IS NULL")
+    heads = pages.filter("members IS NOT NULL")
     histogram = {r.prefix: r.n for r in heads.groupBy("prefix").agg(F.count("*").alias("n")).collect()}
     directory = build_directory(histogram)
     # at most 2^MAX_DEPTH rows
@@ -147,9 +152,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owned = heads.join(F.broadcast(slots), "prefix").select("bucket", "key", "head_id", "body", "members", "best_chars", "best_id")
     owned = owned.repartition(max(shuffle_width(spark), 2 * len(directory)), "bucket").sortWithinPartitions("key", "head_id")
     settled = owned.mapInArrow(_own, "head_id long, keep_id long, group_size long")
-    members = pages.filter("doc_id IS NOT NULL").select("doc_id", "head_id", "text_sha256")
+    members = pages.filter("members IS NULL").select("doc_id", "head_id", "text_sha256")
     found = members.join(settled, "head_id")
-    return found.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", (F.col("keep_id") == F.col("doc_id")).alias("kept"), "text_sha256")
+    return found.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +163,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts one document stays."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: of equal texts exactly one row stays, whatever the identifiers.
+
+    Defined results: null and empty texts are one group; rows with null or shared
+    identifiers are told apart by their texts; of wholly equal rows one stays; very
+    long texts are compared whole; an empty table stays empty; all columns, of
+    whatever names, keep their values.
+    """
+    rows = keyed(docs)
+    kept = exact_groups(rows.select(F.col(ROW_KEY).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(ROW_KEY))
+    return one_row_a_key(rows.join(kept, ROW_KEY, "left_semi"), docs.columns)
 
 
 #: DuckDB SQL for op9's rows.

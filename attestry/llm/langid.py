@@ -34,6 +34,8 @@ MARGIN_SCALE = 12.0
 SHARPNESS = 8.0
 #: Gap of loss to the second language below which a text is ambiguous.
 AMBIGUOUS_GAP = 0.05
+#: An ambiguous text is rejected below so many times the score of chance.
+NO_BETTER = 1.5
 #: Codewords are exhaustive up to so many languages, random and longer beyond.
 EXHAUSTIVE = 5
 
@@ -97,6 +99,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     up, down = (code == 1).astype(float), (code == -1).astype(float)
     mean = lambda side: (side.T @ chance) / np.maximum(side.sum(axis=0), 1)[:, None]
     weights = np.log(mean(up) / mean(down)).T if len(langs) > 1 else np.ones((BUCKETS, 1))
+    weights[table.sum(axis=0) == 0] = 0  # what no language has says nothing
     # how clearly each bit sets each language apart, on the training counts themselves
     clear = np.maximum(code * (chance @ weights), 1e-6)
     return {"langs": langs, "code": code, "weights": weights.astype(np.float32), "trust": clear / clear.sum(axis=1, keepdims=True)}
@@ -114,11 +117,15 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
     return best, chance[np.arange(len(best)), best], gap < AMBIGUOUS_GAP
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score and ambiguous added (columns of those names are replaced)."""
+def predict(docs: DataFrame, model: dict, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score", "ambiguous", "rejected")) -> DataFrame:
+    """`docs` with the language, score, ambiguity and rejection added under `names` (columns of those names are replaced).
+
+    Rejected are texts without a letter, and ambiguous ones whose best language scores
+    less than NO_BETTER times what chance gives: no bit's classifier knows them.
+    """
     arrow_rows(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "ambiguous")
+    kept = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -129,17 +136,18 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             known = [bool(m["langs"]) and t is not None and letter(t) is not None for t in texts]
             langs, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            rejected = np.ones(len(texts), bool)
             at = np.flatnonzero(known)
             if len(at):
                 margins = np.stack([m["weights"][trigram_buckets(texts[i])].mean(axis=0, dtype=np.float64) for i in at]) * MARGIN_SCALE
                 best, chance, close = decode(margins, m)
                 for i, k in zip(at, best, strict=True):
                     langs[i] = m["langs"][k]
-                scores[at], unsure[at] = chance, close
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores), pa.array(unsure)], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+                scores[at], unsure[at], rejected[at] = chance, close, close & (chance * len(m["langs"]) < NO_BETTER)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores), pa.array(unsure), pa.array(rejected)], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return kept.mapInArrow(run, f"{fields}, " + ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "boolean", "boolean"), strict=True)))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +158,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+#: Names that a table hardly has, so that its own columns stay.
+_HIDDEN = ("language of the text", "score of the language", "language is ambiguous", "language is rejected")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognised language (`und`) go."""
-    return predict(docs, fit(docs)).filter("lang_pred <> 'und'").select(docs.columns)
+    """Pipeline stage: documents that the decoder rejects go; the others stay as they are.
+
+    Defined results: null, empty and letterless texts go; where no row has a language
+    there is nothing to learn from and all rows stay; an empty table stays empty;
+    columns of any name, `score` and `lang_pred` among them, keep their values; very
+    long texts count whole; repeated rows go or stay together, null keys like others.
+    """
+    model = fit(docs)
+    if not model["langs"]:
+        return docs
+    return predict(docs, model, names=_HIDDEN).filter(~F.col(_HIDDEN[3])).select(docs.columns)

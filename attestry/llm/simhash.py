@@ -15,8 +15,9 @@ minimum labels over links and nothing is collected.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are
 linked like any other; fewer words than a shingle are one shingle; texts of any
-length count whole; repeated rows share a component; an empty table gives an
-empty table; other columns are ignored.
+length count whole; repeated rows share a component, as do rows that share an id and a
+fingerprint; a null id is nobody's smallest; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,25 +30,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import arrow_rows, checkpointed, read_table
+from attestry.llm.common import ROW_KEY, arrow_rows, checkpointed, keyed, one_row_a_key, read_table
 from attestry.llm.graph import components
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of one text."""
+#: Bands and least values in a band: a pair at similarity 0.8 shares one with a chance of 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Most rows that are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+_MULTIPLIERS = np.random.default_rng(20240611).integers(0, 1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> bytes:
+    """XXH64 of every shingle, eight bytes each; fewer words are one shingle, none have none."""
     import xxhash
 
     digest = xxhash.xxh64_digest
     split = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not split:
-        return 0
     joined = b" ".join(split)
     if len(split) <= words:
-        hashes = digest(joined, seed)
-    else:
-        ends = list(itertools.accumulate(len(w) + 1 for w in split))
-        starts = itertools.chain((0,), ends)
-        hashes = b"".join([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :], strict=False)])
+        return digest(joined, seed) if split else b""
+    ends = list(itertools.accumulate(len(w) + 1 for w in split))
+    starts = itertools.chain((0,), ends)
+    return b"".join([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :], strict=False)])
+
+
+def majority(hashes: bytes) -> int:
+    """The bits set in over half of the hashes."""
     n = len(hashes) // 8
     # rows of bits are summed in blocks, so that a very long text stays small
     raw, ones = np.frombuffer(hashes, dtype=np.uint8), np.zeros(64, dtype=np.int64)
@@ -56,6 +66,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     arrow_rows(docs.sparkSession)
@@ -88,40 +103,147 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of distinct fingerprints (rep, fp) that differ in `distance` bits or fewer."""
+    """Pairs (a, b), a < b, of distinct fingerprints (fp) that differ in `distance` bits or fewer."""
     segments = layout(fps.count(), distance)
 
     def value(shift: int, width: int):
         return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
 
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), value(s, w).alias("value")) for i, (s, w, _) in enumerate(segments)])).alias("e")
-    table = fps.select(F.col("rep").alias("rep_b"), F.col("fp").alias("fp_b"), entry).select("rep_b", "fp_b", F.col("e.segment").alias("segment"), F.col("e.value").alias("value"))
+    table = fps.select(F.col("fp").alias("fp_b"), entry).select("fp_b", F.col("e.segment").alias("segment"), F.col("e.value").alias("value"))
 
     def around(i: int, shift: int, width: int, radius: int):
         masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius)])
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("segment"), value(shift, width).bitwiseXOR(m).alias("value")))
 
     balls = F.flatten(F.array(*[around(i, *segment) for i, segment in enumerate(segments)]))
-    probes = fps.select("rep", "fp", F.explode(balls).alias("p")).select("rep", "fp", F.col("p.segment").alias("segment"), F.col("p.value").alias("value"))
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= distance) & (F.col("rep") < F.col("rep_b"))
-    return probes.join(table, ["segment", "value"]).filter(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+    probes = fps.select("fp", F.explode(balls).alias("p")).select("fp", F.col("p.segment").alias("segment"), F.col("p.value").alias("value"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= distance) & (F.col("fp") < F.col("fp_b"))
+    return probes.join(table, ["segment", "value"]).filter(near).select(F.col("fp").alias("a"), F.col("fp_b").alias("b"))
+
+
+def _least_of(members: DataFrame, joined: DataFrame, member: str) -> DataFrame:
+    """(member, component_id): the least id (column rep) of each component, single members by themselves."""
+    named = members.join(joined, members[member] == joined["vertex"], "left").select(member, "rep", F.coalesce("component", member).alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.select(member, "component").join(least, "component").select(member, "component_id")
 
 
 def near_groups(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     prints = checkpointed(fingerprints(docs, words=words, seed=seed))
     reps = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = components(links(reps, distance))
-    named = reps.join(joined, reps["rep"] == joined["vertex"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = _least_of(reps, components(links(reps, distance)), "fp")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band: a mix of the least values of `rows` permutations of the distinct shingles."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[None, at : at + 4096] * _MULTIPLIERS[: bands * rows, None]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    key = np.zeros(bands, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): components of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates are the links of the fingerprints and, since a fingerprint of 64 bits
+    moves by some 10 bits at a similarity of 0.8, texts that share a band of least
+    shingle values. Every candidate is verified on the whole texts. A bucket compares
+    its members with one of them, another in every round, but those already in its
+    component, until a round adds no link. Texts of equal words are one vertex.
+    """
+    arrow_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            hashes = [shingle_hashes(t, words, seed) for t in texts]
+            bodies = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            bands = [band_keys(np.unique(np.frombuffer(h, dtype="<u8")), BANDS, BAND_ROWS).view(np.int64) for h in hashes]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "body": pa.array(bodies, pa.binary()), "fp": pa.array(fps), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = checkpointed(given.mapInArrow(run, "doc_id long, body binary, fp long, bands array<long>"))
+    # one vertex for texts of equal words, named by its least document
+    nodes = checkpointed(prints.groupBy("body").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    by_print = checkpointed(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    keys = F.concat(F.array(F.struct(F.lit(-1).alias("band"), F.col("fp").alias("key"))), F.transform("bands", lambda k, i: F.struct(i.alias("band"), k.alias("key"))))
+    entries = nodes.select("rep", F.explode(keys).alias("e")).select("rep", "e.band", "e.key")
+    many = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
+    buckets = checkpointed(entries.join(many, ["band", "key"], "left_semi"))
+    ends = checkpointed(links(by_print.select("fp"), distance))
+    side = lambda end: by_print.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+    by_links = ends.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    wanted = buckets.select("rep").unionByName(by_links.select(F.col("a").alias("rep"))).unionByName(by_links.select(F.col("b").alias("rep"))).distinct()
+    wanted = checkpointed(wanted)
+    # broadcast only where the number of candidates is small
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = checkpointed(given.join(some, given["doc_id"] == some["rep"]).select("rep", "text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+        second = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held: dict[str, frozenset] = {}
+
+                def shingles(text: str) -> frozenset:
+                    if text not in held:
+                        if len(held) > 64:
+                            held.clear()
+                        raw = shingle_hashes(text, words, seed)
+                        held[text] = frozenset(raw[i : i + 8] for i in range(0, len(raw), 8))
+                    return held[text]
+
+                keep = []
+                for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                    one, two = shingles(x or ""), shingles(y or "")
+                    both = len(one & two)
+                    keep.append(both >= similarity * (len(one) + len(two) - both))
+                yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    found = checkpointed(verified(by_links.select(*ordered("a", "b")).distinct()))
+    tried, number = by_links.select(*ordered("a", "b")), 0
+    while True:
+        labels = components(found)
+        of = buckets.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        centre = of.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "band", F.lit(number))).alias("c"))
+        pairs = of.join(centre, ["band", "key"]).filter(F.col("c.component") != F.col("component")).select(*ordered(F.col("rep"), F.col("c.rep"))).distinct()
+        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = checkpointed(verified(pairs))
+        if not new.head(1):
+            return prints.select("doc_id", "body").join(nodes.select("body", "rep"), "body").join(_least_of(nodes.select("rep").withColumn("vertex_rep", F.col("rep")), labels, "vertex_rep"), F.col("rep") == F.col("vertex_rep")).select("doc_id", "component_id")
+        found, tried, number = found.unionByName(new), tried.unionByName(pairs), number + 1
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all of `documents`."""
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate component the document of smallest id stays."""
-    kept = near_groups(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: of texts linked by shingles of five words at a similarity of 0.8 or more, the one of the smallest key stays.
+
+    Defined results: null and empty texts are one group, as are texts of equal words;
+    rows with null or shared identifiers are told apart by their texts, and of
+    wholly equal rows one stays; very long texts count whole; an empty table stays
+    empty; all columns, of whatever names, keep their values.
+    """
+    rows = keyed(docs)
+    groups = similar_groups(rows.select(F.col(ROW_KEY).alias("doc_id"), "text"))
+    kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias(ROW_KEY))
+    return one_row_a_key(rows.join(kept, ROW_KEY, "left_semi"), docs.columns)

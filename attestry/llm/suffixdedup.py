@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import arrow_rows, checkpointed, read_table
+from attestry.llm.common import ROW_KEY, arrow_rows, checkpointed, keyed, read_table
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -212,8 +212,12 @@ def _settled(rows: DataFrame, key: list[str], known: str, keep: list[str]) -> Da
     return rows.join(twice, key, "left").select(*keep, F.col("n").isNotNull().alias("again"), F.coalesce(F.col("first.doc_id") == F.col("doc_id"), F.lit(False)).__and__(F.coalesce(F.col("first.place") == F.col("place"), F.lit(False))).alias("one"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): packed byte ranges (start << 12 | bytes), unmerged, of documents that have repeated windows."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, but_first: bool = False) -> DataFrame:
+    """(doc_id, spans): packed byte ranges (start << 12 | bytes), unmerged, of documents that have repeated windows.
+
+    Rows of one doc_id have to be wholly equal, as those of `keyed` are. With
+    `but_first`, a window's first occurrence, by doc_id and place, is no range.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
     span = length - gram
@@ -228,7 +232,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def marked(tagged: DataFrame, lo, hi) -> DataFrame:
         """One row a document: the bytes of its repeated windows."""
         start = F.shiftright("place", 20) - hi
-        return tagged.filter("again").groupBy("doc_id").agg(F.collect_list(F.shiftleft(start, 12) + (hi - lo + length)).alias("spans"))
+        return tagged.filter("again AND NOT one" if but_first else "again").groupBy("doc_id").agg(F.collect_list(F.shiftleft(start, 12) + (hi - lo + length)).alias("spans"))
 
     # anchors whose whole run of windows repeats are settled; one of each stays as a partner for others
     place_range = (_bits("place", 10, 10), _bits("place", 0, 10))
@@ -292,22 +296,26 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | columns)
 
 
-def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What goes of every document of `documents`, and the digest of what stays."""
-    docs = read_table(spark, sf_dir, "documents")
-    spans = repeated_ranges(docs)
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
 #: Not a name that a table has.
 _SPANS = "repeated spans"
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, but_first: bool = False) -> DataFrame:
+    """`docs` and their repeated ranges; rows with null or shared identifiers are told apart by their texts."""
+    rows = keyed(docs)
+    spans = repeated_ranges(rows.select(F.col(ROW_KEY).alias("doc_id"), "text"), length, but_first=but_first)
+    return rows.join(spans.select(F.col("doc_id").alias(ROW_KEY), F.col("spans").alias(_SPANS)), ROW_KEY, "left").select(*docs.columns, _SPANS)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document of `documents`, and the digest of what stays."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_spans(docs).withColumnRenamed(_SPANS, "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, but_first: bool = False) -> DataFrame:
     """`docs` with the repeated bytes cut from `text`; bytes of a character cut in two go with it."""
-    spans = repeated_ranges(docs, length).select("doc_id", F.col("spans").alias(_SPANS))
     columns = docs.columns
-    kept = docs.join(spans, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,10 +323,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return kept.select(*columns, _SPANS).mapInArrow(run, fields)
+    return with_spans(docs, length, but_first).mapInArrow(run, fields)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated passages are cut from every text; n_chars, where it is there, follows."""
-    out = without_repeats(docs)
+    """Pipeline stage: of every repeated passage the first occurrence stays, the others are cut from their texts.
+
+    First is the smallest key, then the earliest place. Defined results: every row
+    stays; null texts stay null, texts without a repeat as they are; of wholly equal
+    rows each is cut like the other; n_chars, where it is there, follows the text; all other
+    columns, of whatever names, keep their values; an empty table stays empty.
+    """
+    out = without_repeats(docs, but_first=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestry.llm import bpe, exactdedup, graph, hnsw, langid, licenses, packing, ppm, simhash, suffixdedup, toxicity
 
@@ -292,9 +293,39 @@ def test_every_layout_finds_every_link(spark, monkeypatch, n):
     plan = simhash.layout(n, 4)
     assert sum(x + 1 for _, _, x in plan) >= 5 and sum(w for _, w, _ in plan) == 64
     monkeypatch.setattr(simhash, "layout", lambda *_: plan)
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "rep long, fp long")
-    want = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4}
-    assert {tuple(x) for x in simhash.links(df).collect()} == want
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert {tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()} == want
+
+
+def shingles(t, n=5):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar(a, b):
+    both = len(shingles(a) & shingles(b))
+    return both >= 0.8 * (len(shingles(a) | shingles(b)))
+
+
+def test_similar_groups(spark):
+    """Components by Jaccard similarity 0.8 of five-word shingles: chains, bare misses, a large group of near copies."""
+    r = random.Random(8)
+    say = lambda n: [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(n)]
+    ts = [None, "", " \n", "one two", "one  TWO", "one two three"]
+    for _ in range(12):
+        base = say(r.randint(20, 200))
+        ts.append(" ".join(base))
+        for _ in range(4):
+            base = list(base)
+            for at in r.sample(range(len(base)), r.randint(1, max(1, len(base) // 40))):
+                base[at] = say(1)[0]
+            ts.append(" ".join(base))
+    many = say(300)
+    ts += [" ".join(many[:i] + ["changed"] + many[i:]) for i in range(0, 300, 7)]
+    root = union(len(ts), [(a, b) for a, b in itertools.combinations(range(len(ts)), 2) if similar(ts[a], ts[b])])
+    docs = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(docs).collect()} == dict(enumerate(root))
 
 
 def test_components(spark):
@@ -427,11 +458,59 @@ def test_ppm_defined_results(spark, docs, empty):
 
 
 def test_pipeline_stages(spark, docs, empty):
+    """Each stage's rows, in full, against plain Python; then all in a row over odd tables."""
     from corpus_pipeline import STAGES
 
-    for start in (docs, empty):
+    stages = dict(STAGES)
+    assert [name for name, _ in STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "suffix_dedup", "best_fit_packing"]
+    given = [tuple(x) for x in docs.collect()]
+    given += [(None, "shared words", "en", "s", 12, 0.5, 1, "y", 3), (None, "other words", "en", "s", 11, 0.5, 1, "y", 3), (7, "the same id", "en", "s", 11, 0.25, 1, "z", 4), given[8], given[8]]
+    odd = spark.createDataFrame(given, docs.schema).repartition(3)
+
+    def rows(df):
+        assert df.columns == docs.columns
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    taught = [(*x[:2], "de" if "ß" in (x[1] or "") else "en", *x[3:]) for x in given] + [(500 + i, t, "fr", "s", 9, 0.5, 1, "y", 1) for i, t in enumerate(["le niño et la maison", "la maison du jardin"] * 3)]
+    taught.append((600, "qqq0zzz " * 9, None, "s", 9, 0.5, 1, "y", 1))
+    lettered = [x for x in taught if x[1] and any(c.isalpha() for c in x[1]) and "qqq" not in x[1]]
+    assert rows(stages["language_id"](spark, spark.createDataFrame(taught, docs.schema), "")) == sorted(lettered, key=repr)
+    assert rows(stages["language_id"](spark, odd.withColumn("lang", F.lit(None).cast("string")), "")) == sorted(((*x[:2], None, *x[3:]) for x in given), key=repr)
+
+    best: dict = {}
+    for x in given:
+        body = (x[1] or "").encode().translate(None, b" \t\n\x0b\x0c\r")
+        best.setdefault(body, []).append(x)
+    kept = rows(stages["exact_dedup"](spark, odd, ""))
+    assert len(kept) == len(best)
+    for same in best.values():
+        (mine,) = [x for x in kept if x in same]
+        assert len(mine[1] or "") == max(len(x[1] or "") for x in same)
+
+    alone = spark.createDataFrame(kept, docs.schema).repartition(2)
+    root = union(len(kept), [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if similar(kept[a][1], kept[b][1])])
+    near = rows(stages["simhash_near_dedup"](spark, alone, ""))
+    assert len(near) == len(set(root)) and sorted(root[kept.index(x)] for x in near) == sorted(set(root))
+
+    ids = Counter(x[0] for x in near)
+    before = [x for x in near if ids[x[0]] == 1 and x[0] is not None]
+    cut = {x[0]: x for x in rows(stages["suffix_dedup"](spark, spark.createDataFrame(before, docs.schema), ""))}
+    seen: set = set()
+    for x in sorted(before):
+        t = (x[1] or "").encode()
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 199):
+            if t[p : p + 200] in seen:
+                gone[p : p + 200] = True
+            seen.add(t[p : p + 200])
+        want = bytes(v for v, g in zip(t, gone) if not g).decode(errors="ignore")
+        assert cut[x[0]] == (x[0], x[1] and want, *x[2:4], None if x[1] is None else len(want), *x[5:])
+    both = [(1, "a" * 50 + texts()[15]), (1, texts()[15]), (2, "b" + texts()[15][:250] + "c"), (None, "d" + texts()[15])]
+    assert sorted(len(x.text) < 400 for x in stages["suffix_dedup"](spark, spark.createDataFrame(both, "doc_id long, text string"), "").collect()).count(False) == 1
+
+    for start in (odd, empty):
         now = start
         for name, stage in STAGES[:-1]:
             now = stage(spark, now, "")
             assert now.columns == start.columns, name
-        assert STAGES[-1][1](spark, now, "").count() >= now.count()
+        assert stages["best_fit_packing"](spark, now, "").count() >= now.count()
