@@ -111,7 +111,8 @@ class ChunkIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Lower-cased strings that are tokens by themselves wherever they stand.
+        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.lean = Tokenizer(self.whole.model)
         self.lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
@@ -122,6 +123,9 @@ class ChunkIds:
         self.known: dict[bytes, bytes] = {}
         self.signs: dict[bytes, bytes] = {b"": b""}
 
+    def has_added(self, lowered: bytes) -> bool:
+        return any(a in lowered for a in self.added)
+
     def _alone(self, chunk: bytes) -> bytes:
         return np.array(self.whole.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -201,7 +205,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
 
     The tokenizer lower-cases, drops white space and never joins across it, so a
     text's ids are those of its chunks between ASCII white space in order, and each chunk
-    is encoded once a worker.
+    is encoded once a worker. A text with one of the tokenizer's added tokens, whatever
+    its case, is encoded in one piece, so that those are found as the tokenizer finds them.
     """
     arrow_rows(docs.sparkSession, 500)
 
@@ -216,11 +221,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(tokens + 1, dtype=np.int64)
 
-        def cut(ids_col: list[int], split: list[list[bytes]]) -> pa.RecordBatch:
-            memory.learn(set().union(*split))
+        def cut(ids_col: list[int], split: list[list[bytes] | bytes]) -> pa.RecordBatch:
+            memory.learn(set().union(*(chunks for chunks in split if isinstance(chunks, list))))
             rows = []
             for doc_id, chunks in zip(ids_col, split, strict=True):
-                ids = b"".join(map(known.__getitem__, chunks)) + end
+                ids = (b"".join(map(known.__getitem__, chunks)) if isinstance(chunks, list) else memory._alone(chunks)) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[at : at + 4 * tokens]
                     length = len(part) // 4
@@ -233,7 +238,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, tokens: int, end_id: int =
         held, split, size = [], [], 0
         for batch in batches:
             held += batch.column("doc_id").to_pylist()
-            split += [(t or b"").lower().split() for t in batch.column("text").to_pylist()]
+            for t in batch.column("text").to_pylist():
+                lowered = (t or b"").lower()
+                split.append(t if memory.has_added(lowered) else lowered.split())
             size += batch.column("text").nbytes
             if size >= GATHERED:
                 yield cut(held, split)

@@ -100,10 +100,12 @@ def test_packing(spark, docs, empty):
 
     path = p.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    got = packing.pack_documents(docs, path, tokens=256).collect()
+    marked = ["hello<|endoftext|>x", " <|startoftext|> <|EndOfText|>\n<|endoftext|> y", "<|endoftext|", "Ünïcode ≥ straße's<|endoftext|><|endoftext|>"]
+    assert tok.encode(marked[0], add_special_tokens=False).ids == [3306, 49407, 343]
+    more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(marked)], "doc_id long, text string")
+    got = packing.pack_documents(docs.select("doc_id", "text").unionByName(more), path, tokens=256).collect()
     want = {}
-    for i, t in enumerate(texts()):
+    for i, t in [*enumerate(texts()), *enumerate(marked, 900)]:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         want |= {(i, k): (s, len(ids[s : s + 256]), zlib.crc32(np.array(ids[s : s + 256], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 256))}
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
