@@ -8,6 +8,12 @@ vocabulary and puts a run together by an ordered aggregate. Both act on the
 distinct pieces only: a text's ids are its pieces' ids in order, and a text's
 bytes are its pieces' bytes in order.
 
+A piece over LONG bytes takes the same way with more in a step: its pairs of minimum
+rank are contracted all at once, from the left, as far as none makes a pair of a
+lower rank, which would be next. Its steps are then about as many as the ranks that
+it merges, and a query is cut off after so many that its rows stay in memory; the
+next goes on from there (100,000 random letters: 2,330 steps, half a minute).
+
 Defined results: a null text counts as empty; an empty text has no ids and the
 digest of no bytes; repeated rows give repeated results; other columns are
 ignored, whatever their names; an empty table gives an empty table.
@@ -30,6 +36,8 @@ from attestry.llm.common import arrow_rows, read_table
 REMEMBERED = 250_000
 #: Bytes of text that are gathered before a query runs.
 GATHERED = 12_000_000
+#: Bytes of pieces in one query, the least of a long piece, and rows that a query over long pieces makes.
+QUERIED, LONG, MADE = 800_000, 300, 1_500_000
 
 _ENCODE = """
 WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
@@ -48,9 +56,34 @@ WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
     WHERE a.pos <> b.lpos)
 SELECT w, pos, tok FROM live JOIN (SELECT w, max(step) AS step FROM live GROUP BY w) USING (w, step)
 """
-_ORDERED = "SELECT w, list(tok ORDER BY pos) AS ids FROM (" + _ENCODE + ") GROUP BY w ORDER BY w"
 #: Both ways at once: token rows in order, and joined with the vocabulary, their letters in order.
 _ROUND = "SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.letters, '' ORDER BY pos) AS letters FROM (" + _ENCODE + ") JOIN vocabulary v ON v.id = tok GROUP BY w ORDER BY w"
+#: Steps over long pieces: all pairs of minimum rank, every other one of a run of twins, up to the first after which a lower rank is next.
+_CONTRACT = """
+WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
+    SELECT w, pos, tok, nxt, npos, 0 FROM start_rows
+  UNION ALL
+    SELECT w, pos, tok, coalesce(lead(tok) OVER o, -1)::INT, coalesce(lead(pos) OVER o, -1)::INT, step + 1 FROM (
+      WITH hits AS (
+        SELECT l.w, l.pos, l.npos, m.rank, l.tok = l.nxt AS twin FROM live l JOIN merges m ON m.pair = (l.tok::BIGINT << 32) | l.nxt
+        QUALIFY m.rank = min(m.rank) OVER (PARTITION BY l.w)),
+      runs AS (
+        SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth, sum((before IS DISTINCT FROM pos)::INT) OVER (PARTITION BY w ORDER BY pos) AS run
+        FROM (SELECT *, lag(npos) OVER (PARTITION BY w ORDER BY pos) AS before FROM hits)),
+      stops AS (SELECT w, min(pos) AS stop FROM (
+          SELECT h.w, h.pos FROM hits h JOIN live r ON r.w = h.w AND r.pos = h.npos JOIN lower_next d ON d.rank = h.rank AND NOT d.is_left AND d.partner = r.nxt
+        UNION ALL
+          SELECT h.w, h.pos FROM hits h JOIN live x ON x.w = h.w AND x.npos = h.pos JOIN lower_next d ON d.rank = h.rank AND d.is_left AND d.partner = x.tok) GROUP BY w),
+      picks AS (
+        SELECT w, pos AS lpos, npos AS rpos, rank FROM runs LEFT JOIN stops USING (w)
+        WHERE nth = 1 OR (rank NOT IN (SELECT rank FROM one_by_one) AND (stop IS NULL OR pos <= stop))
+        QUALIFY NOT twin OR row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1)
+      SELECT l.w, l.pos, coalesce(p.rank, l.tok)::INT AS tok, l.step
+      FROM live l LEFT JOIN picks p ON p.w = l.w AND p.lpos = l.pos
+      WHERE l.step < {steps} AND l.w IN (SELECT w FROM picks) AND NOT EXISTS (SELECT 1 FROM picks q WHERE q.w = l.w AND q.rpos = l.pos))
+    WINDOW o AS (PARTITION BY w ORDER BY pos))
+SELECT w, pos, tok, nxt, npos, step FROM live JOIN (SELECT w, max(step) AS step FROM live GROUP BY w) USING (w, step) ORDER BY w, pos
+"""
 _DECODE = """
 SELECT w, string_agg(v.letters, '' ORDER BY t.pos) AS letters
 FROM token_rows t JOIN vocabulary v ON v.id = t.tok GROUP BY w ORDER BY w
@@ -78,11 +111,17 @@ class BpeTables:
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         ]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        # merged tokens after which a pair of a lower rank may come: (rank, whether the partner is on the left, partner)
+        lower = {(part, side, other) for pair, rank in found for part, side, other in ((pair >> 32, False, pair & 0xFFFFFFFF), (pair & 0xFFFFFFFF, True, pair >> 32)) if rank < part}
+        one_by_one = {rank for pair, rank in found if (rank, False, pair >> 32) in lower or (rank, False, rank) in lower or (rank, True, rank) in lower}
+        # rows are bounded, so nothing needs a folder of the machine
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs = pa.table({"pair": pa.array([p for p, _ in found], pa.int64()), "rank": pa.array([r for _, r in found], pa.int64())})
         # a byte is held as the character of its code point, since string_agg takes no blobs
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "letters": pa.array([t.decode("latin-1") for t in ranks])})
-        for name, table in (("merges", pairs), ("vocabulary", words)):
+        nexts = pa.table({"rank": pa.array([x for x, _, _ in lower], pa.int32()), "is_left": pa.array([x for _, x, _ in lower], pa.bool_()), "partner": pa.array([x for _, _, x in lower], pa.int32())})
+        singly = pa.table({"rank": pa.array(sorted(one_by_one), pa.int32())})
+        for name, table in (("merges", pairs), ("vocabulary", words), ("lower_next", nexts), ("one_by_one", singly)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
@@ -91,32 +130,56 @@ class BpeTables:
         """Ids of each piece; a piece that is itself a token is that token."""
         out: list[list[int] | None] = [[rank] if (rank := self.ranks.get(p)) is not None else ([] if not p else None) for p in pieces]
         left = [i for i, ids in enumerate(out) if ids is None]
-        if left:
-            for i, ids in zip(left, self._merge([pieces[i] for i in left], _ORDERED)["ids"].to_pylist(), strict=True):
-                out[i] = ids
+        for i, (raw, _) in zip(left, self.round_trip([pieces[i] for i in left]), strict=True):
+            out[i] = np.frombuffer(raw, dtype="<u4").tolist()
         return out
 
-    def _merge(self, pieces: list[bytes], sql: str) -> pa.Table:
-        """The query's rows, one a piece in order, over the token-position rows of pieces that are not empty."""
+    def _rows(self, pieces: list[bytes]) -> pa.Table:
+        """Token-position rows of pieces that are not empty."""
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         tok = self.byte_rank[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         ends = np.cumsum(lengths)
         pos = np.arange(len(tok)) - np.repeat(ends - lengths, lengths)
         nxt = np.append(tok[1:], np.int32(-1))
         nxt[ends - 1] = -1
-        start = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt, "npos": (pos + 1).astype(np.int32)})
-        self.con.register("start_rows", start)
+        return pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt, "npos": (pos + 1).astype(np.int32)})
+
+    def _over(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
+        self.con.register(name, rows)
         out = self.con.sql(sql).to_arrow_table()
-        self.con.unregister("start_rows")
+        self.con.unregister(name)
         return out
 
-    def round_trip(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """Each piece's ids as little-endian bytes, and what those ids decode to; pieces are not tokens and not empty."""
-        found = self._merge(pieces, _ROUND)
-        ids = found["ids"].combine_chunks()
-        raw = ids.values.to_numpy().astype("<u4").tobytes()
-        stops = (4 * ids.offsets.to_numpy()).tolist()
-        return [raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], [x.encode("latin-1") for x in found["letters"].to_pylist()]
+    def _encode_long(self, piece: bytes) -> list[int]:
+        """Ids of one piece of any length."""
+        rows = self._rows([piece])
+        while True:
+            steps = max(8, MADE // rows.num_rows)
+            rows = self._over("start_rows", rows, _CONTRACT.format(steps=steps))
+            if rows["step"][0].as_py() < steps:
+                return rows["tok"].to_pylist()
+            rows = rows.drop_columns(["step"])
+
+    def round_trip(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each piece's ids as little-endian bytes, and what those ids decode to; pieces are not empty."""
+        out: list[tuple[bytes, bytes] | None] = [None] * len(pieces)
+        for i, piece in enumerate(pieces):
+            if len(piece) > LONG:
+                ids = self._encode_long(piece)
+                out[i] = (np.array(ids, dtype="<u4").tobytes(), self.decode([ids])[0])
+        short, size, part = [i for i, done in enumerate(out) if done is None], 0, []
+        for at, i in enumerate(short):
+            part.append(i)
+            size += len(pieces[i])
+            if size >= QUERIED or at == len(short) - 1:
+                found = self._over("start_rows", self._rows([pieces[k] for k in part]), _ROUND)
+                ids = found["ids"].combine_chunks()
+                raw = ids.values.to_numpy().astype("<u4").tobytes()
+                stops = (4 * ids.offsets.to_numpy()).tolist()
+                for k, a, b, x in zip(part, stops[:-1], stops[1:], found["letters"].to_pylist(), strict=True):
+                    out[k] = (raw[a:b], x.encode("latin-1"))
+                part, size = [], 0
+        return out
 
     def decode(self, runs: list[list[int]]) -> list[bytes]:
         """Bytes of each run of ids."""
@@ -124,9 +187,7 @@ class BpeTables:
         tok = np.fromiter((t for r in runs for t in r), dtype=np.int32, count=int(lengths.sum()))
         pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = pa.table({"w": np.repeat(np.arange(len(runs), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": tok})
-        self.con.register("token_rows", rows)
-        found = self.con.sql(_DECODE).to_arrow_table()
-        self.con.unregister("token_rows")
+        found = self._over("token_rows", rows, _DECODE)
         out = [b""] * len(runs)
         for w, letters in zip(found["w"].to_pylist(), found["letters"].to_pylist(), strict=True):
             out[w] = letters.encode("latin-1")
@@ -164,11 +225,9 @@ class _Remembered:
                 else:
                     self.ids[piece] = rank.to_bytes(4, "little")
                     self.back[piece] = self.tables.token_bytes[rank]
-        for at in range(0, len(new), 200_000):
-            part = new[at : at + 200_000]
-            ids, backs = self.tables.round_trip([p.encode() for p in part])
-            self.ids.update(zip(part, ids, strict=True))
-            self.back.update(zip(part, backs, strict=True))
+        for piece, (ids, back) in zip(new, self.tables.round_trip([p.encode() for p in new]), strict=True):
+            self.ids[piece] = ids
+            self.back[piece] = back
 
 
 _MEMORY: dict[str, _Remembered] = {}

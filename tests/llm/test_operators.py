@@ -63,6 +63,24 @@ def test_bpe_equals_tiktoken(spark, docs, empty):
     assert bpe.encode_documents(empty, path, p.PATTERN).count() == 0
 
 
+def test_long_pieces_equal_tiktoken():
+    """Pieces beyond LONG, by themselves and together: random, repeated, twins, other alphabets, 100,000 letters."""
+    import public_tokenizers as p
+    import tiktoken
+
+    path = p.path("byte_bpe_50k.tiktoken")
+    tables = bpe.BpeTables(bpe.load_ranks(path))
+    enc = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=tables.ranks, special_tokens={})
+    r = random.Random(6)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pieces = [say("abcdefghijklmnopqrstuvwxyz", n) for n in (299, 300, 301, 900, 3000)] + ["a" * n for n in (301, 1000, 4097)] + ["ab" * 700, "aab" * 500, say("ab", 2000), say("aeiounrst", 4000), say("äöüß", 400), say("日本語中文", 300), "thequickbrownfox" * 6250]
+    vocabulary = [t.decode() for t in tables.ranks if t.isalpha()]
+    pieces += ["".join(r.choice(vocabulary) for _ in range(200)) for _ in range(8)]
+    assert len(pieces[14]) == 100_000
+    assert tables.encode([t.encode() for t in pieces]) == [enc.encode_ordinary(t) for t in pieces]
+    assert tables.round_trip([t.encode() for t in pieces])[3][1] == pieces[3].encode()
+
+
 def test_language_codes_and_defined_results(spark, docs, empty):
     for n in (2, 4, 5, 9):
         code = langid.codewords(n)
