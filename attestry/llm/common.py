@@ -33,16 +33,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder.
+class Scratch:
+    """Tables that a loop writes to the shared folder to cut its lineage, and drops once its result is written.
 
-    For loops: a checkpoint keeps the planner's estimate of its size, and that of a
-    join is a product, so that in a loop of joins it grows to numbers of millions of
-    digits. A table's size is what it is.
+    A checkpoint keeps the planner's estimate of its size, and that of a join is a
+    product, so that in a loop of joins it grows to numbers of millions of digits. A
+    table's size is what it is.
     """
-    path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The table of `df`, the only one that stays."""
+        spark, before = df.sparkSession, len(self.paths)
+        out = self.written(df)
+        for path in self.paths[:before]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = self.paths[before:]
+        return out
 
 
 #: Names that a table hardly has: the key of a row, and whether its identifier is shared.

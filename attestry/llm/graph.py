@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import written
+from attestry.llm.common import Scratch
 
 
-def _roots(parent: DataFrame) -> DataFrame:
+def _roots(parent: DataFrame, tables: Scratch) -> DataFrame:
     """(x, root) with every root its own parent, by jumping to the parent's parent; a chain halves with each round."""
     before = None
     while True:
@@ -17,7 +17,7 @@ def _roots(parent: DataFrame) -> DataFrame:
             return parent
         before = total
         above = parent.select(F.col("x").alias("at"), F.col("root").alias("higher"))
-        parent = written(parent.join(above, parent["root"] == above["at"], "left").select("x", F.coalesce("higher", "root").alias("root")))
+        parent = tables.written(parent.join(above, parent["root"] == above["at"], "left").select("x", F.coalesce("higher", "root").alias("root")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,17 +29,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     copies is one vertex after a round, so its links are read once. No links give
     an empty table; repeated links and links to oneself change nothing.
     """
-    edges = written(links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x < y").distinct())
+    tables = Scratch()
+    edges = tables.written(links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x < y").distinct())
     labels = None
     while True:
         both = edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        parent = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")))
+        parent = tables.written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")))
         if labels is None:
             labels = parent.select(F.col("x").alias("vertex"), F.col("x").alias("component"))
         if not parent.head(1):
-            return labels
-        parent = _roots(parent)
-        labels = written(labels.join(parent, labels["component"] == parent["x"], "left").select("vertex", F.coalesce("root", "component").alias("component")))
+            return tables.result(labels)
+        parent = _roots(parent, tables)
+        labels = tables.written(labels.join(parent, labels["component"] == parent["x"], "left").select("vertex", F.coalesce("root", "component").alias("component")))
         left, right = parent.toDF("x", "a"), parent.toDF("y", "b")
         renamed = edges.join(left, "x").join(right, "y").filter("a <> b")
-        edges = written(renamed.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+        edges = tables.written(renamed.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import ROW_KEY, arrow_rows, checkpointed, keyed, one_row_a_key, read_table, written
+from attestry.llm.common import ROW_KEY, Scratch, arrow_rows, checkpointed, keyed, one_row_a_key, read_table
 from attestry.llm.graph import components
 
 
@@ -156,10 +156,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
     Candidates are the links of the fingerprints and, since a fingerprint of 64 bits
     moves by some 10 bits at a similarity of 0.8, texts that share a band of least
     shingle values. Every candidate is verified on the whole texts. A bucket compares
-    its members with one of them, another in every round, but those already in its
-    component, until a round adds no link. Texts of equal words are one vertex.
+    its members with one of them, another in every round and the same in all buckets
+    that hold it, but those already in its component, until a round adds no link. Texts of equal words are one vertex.
     """
     arrow_rows(docs.sparkSession)
+    tables = Scratch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -173,22 +174,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "body": pa.array(bodies, pa.binary()), "fp": pa.array(fps), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(given.mapInArrow(run, "doc_id long, body binary, fp long, bands array<long>"))
+    prints = tables.written(given.mapInArrow(run, "doc_id long, body binary, fp long, bands array<long>"))
     # one vertex for texts of equal words, named by its least document
-    nodes = written(prints.groupBy("body").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    by_print = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    nodes = tables.written(prints.groupBy("body").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    by_print = tables.written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
     keys = F.concat(F.array(F.struct(F.lit(-1).alias("band"), F.col("fp").alias("key"))), F.transform("bands", lambda k, i: F.struct(i.alias("band"), k.alias("key"))))
     entries = nodes.select("rep", F.explode(keys).alias("e")).select("rep", "e.band", "e.key")
     many = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    buckets = written(entries.join(many, ["band", "key"], "left_semi"))
-    ends = written(links(by_print.select("fp"), distance))
+    buckets = tables.written(entries.join(many, ["band", "key"], "left_semi"))
+    ends = tables.written(links(by_print.select("fp"), distance))
     side = lambda end: by_print.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
     by_links = ends.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     wanted = buckets.select("rep").unionByName(by_links.select(F.col("a").alias("rep"))).unionByName(by_links.select(F.col("b").alias("rep"))).distinct()
-    wanted = written(wanted)
+    wanted = tables.written(wanted)
     # broadcast only where the number of candidates is small
     some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(given.join(some, given["doc_id"] == some["rep"]).select("rep", "text"))
+    texts = tables.written(given.join(some, given["doc_id"] == some["rep"]).select("rep", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -216,18 +217,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
         return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried, number = written(by_links.select(*ordered("a", "b")).distinct()), 0
-    found = written(verified(tried))
+    tried, number = tables.written(by_links.select(*ordered("a", "b")).distinct()), 0
+    found = tables.written(verified(tried))
     while True:
         labels = components(found)
         of = buckets.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        centre = of.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "band", F.lit(number))).alias("c"))
+        centre = of.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(number))).alias("c"))
         pairs = of.join(centre, ["band", "key"]).filter(F.col("c.component") != F.col("component")).select(*ordered(F.col("rep"), F.col("c.rep"))).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = written(verified(pairs))
+        pairs = tables.written(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = tables.written(verified(pairs))
         if not new.head(1):
-            return prints.select("doc_id", "body").join(nodes.select("body", "rep"), "body").join(_least_of(nodes.select("rep").withColumn("vertex_rep", F.col("rep")), labels, "vertex_rep"), F.col("rep") == F.col("vertex_rep")).select("doc_id", "component_id")
-        found, tried, number = written(found.unionByName(new)), written(tried.unionByName(pairs)), number + 1
+            named = nodes.select("body", "rep", F.col("rep").alias("vertex_rep"))
+            least = _least_of(named.select("rep", "vertex_rep"), labels, "vertex_rep")
+            of_body = named.join(least, "vertex_rep").select("body", "component_id")
+            return tables.result(prints.select("doc_id", "body").join(of_body, "body").select("doc_id", "component_id"))
+        found, tried, number = tables.written(found.unionByName(new)), tables.written(tried.unionByName(pairs)), number + 1
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
