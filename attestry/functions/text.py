@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lines that are site furniture.
@@ -67,28 +67,55 @@ def text_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(unix, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 
-def is_asset(line: Column) -> Column:
-    low = F.lower(line)
-    return low.startswith("![") | F.regexp_like(low, F.lit(r"\.(png|jpe?g|gif|webp|svg|avif)(\)|\?|$)"))
+# Shapes of lines that carry no claim.
+ASSET_START = "!["
+ASSET_NAME = r"\.(png|jpe?g|gif|webp|svg|avif)(\)|\?|$)"
+EDGE_SIGNS = r"^[\[\]()#*:_\-. ]+|[\[\]()#*:_\-. ]+$"
+EMAIL_LINE = r"(?U)^[\w.+-]+@[\w.-]+\.[a-z]{2,}$"
+TELEPHONE_LINE = r"(?U)^[\d\s().+-]{7,}$"
+LINK_STARTS = ["tel:", "mailto:"]
+MENU_PREFIX = r"(?i)^(social media|other links|rental links)\s+\[\.\.\.\]\s*"
+SHORTEST_LINK = 80
 
 
-def is_boilerplate(line: Column) -> Column:
-    core = F.regexp_replace(F.lower(line), r"^[\[\]()#*:_\-. ]+|[\[\]()#*:_\-. ]+$", "")
+def is_asset(low: Column) -> Column:
+    """Of a lower-cased line."""
+    return low.startswith(ASSET_START) | F.regexp_like(low, F.lit(ASSET_NAME))
+
+
+def core_of(low: Column) -> Column:
+    """A lower-cased line without signs at its ends."""
+    return F.regexp_replace(low, EDGE_SIGNS, "")
+
+
+def is_boilerplate(core: Column) -> Column:
+    """Of a line's core."""
+    starts = F.lit(False)
+    for word in LINK_STARTS:
+        starts = starts | core.startswith(word)
     return (
         core.isin("", *BOILERPLATE_EXACT, *NAVIGATION)
         | (F.contains(core, F.lit("{{")) & F.contains(core, F.lit("}}")))
         | ((F.length(core) <= 3) & ~F.regexp_like(core, F.lit(r"\p{L}")))
         | any_of(core, BOILERPLATE_CONTAINS)
-        | core.startswith("tel:")
-        | core.startswith("mailto:")
-        | F.regexp_like(core, F.lit(r"(?U)^[\w.+-]+@[\w.-]+\.[a-z]{2,}$"))
-        | F.regexp_like(core, F.lit(r"(?U)^[\d\s().+-]{7,}$"))
+        | starts
+        | F.regexp_like(core, F.lit(EMAIL_LINE))
+        | F.regexp_like(core, F.lit(TELEPHONE_LINE))
     )
 
 
-def first_seen(lines: Column) -> Column:
-    """Lines whose letters and digits, lower-cased, were not seen before; lines without any all stay."""
-    keys = F.transform(lines, lambda x: F.lower(F.regexp_replace(x, r"(?U)\W+", "")))
+def line_keys(lines: Column) -> Column:
+    """Letters and digits of each line, lower-cased."""
+    return F.transform(lines, lambda x: F.lower(F.regexp_replace(x, r"(?U)\W+", "")))
+
+
+def first_seen(lines: Column, keys: Column | None = None) -> Column:
+    """Lines whose letters and digits, lower-cased, were not seen before; lines without any all stay.
+
+    `keys` are the lines' keys as a column of their own: an expression would be worked
+    out again for every line.
+    """
+    keys = line_keys(lines) if keys is None else keys
     pairs = F.arrays_zip(lines.alias("line"), keys.alias("key"))
     kept = F.filter(pairs, lambda p, i: (p["key"] == "") | (F.array_position(keys, p["key"]) == i + 1))
     return F.transform(kept, lambda p: p["line"])
@@ -96,24 +123,40 @@ def first_seen(lines: Column) -> Column:
 
 def within_budget(lines: Column, budget: int = BUDGET) -> Column:
     """Lines, signal lines first, up to the first that would overrun the budget of characters."""
-    signal = lambda x: x.startswith("#") | any_of(F.lower(x), SIGNAL_TERMS)
-    ordered = F.concat(F.filter(lines, signal), F.filter(lines, lambda x: ~signal(x)))
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(False).alias("over"))
+    lowered = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    marked = F.transform(lowered, lambda p: F.struct(p["line"].alias("line"), (p["line"].startswith("#") | any_of(p["low"], SIGNAL_TERMS)).alias("signal")))
+    # false sorts before true, and a stable order needs the place
+    ordered = F.transform(F.array_sort(F.transform(marked, lambda p, i: F.struct((~p["signal"]).alias("after"), i.alias("place"), p["line"].alias("line")))), lambda p: p["line"])
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("over"))
 
     def step(acc: Column, x: Column) -> Column:
-        used = acc["used"] + F.length(x) + 1
-        over = acc["over"] | (used > budget)
-        return F.struct(F.when(over, acc["used"]).otherwise(used).alias("used"), (acc["kept"] + F.when(over, 0).otherwise(1)).alias("kept"), over.alias("over"))
+        over = acc["over"] | (acc["used"] + F.length(x) + 1 > budget)
+        return F.struct(F.when(over, acc["used"]).otherwise(acc["used"] + F.length(x) + 1).alias("used"), F.when(over, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), over.alias("over"))
 
     whole = F.length(F.array_join(lines, "\n")) <= budget
-    return F.when(whole, lines).otherwise(F.slice(ordered, F.lit(1), F.aggregate(ordered, start, step)["kept"]))
+    return F.when(whole, lines).otherwise(F.aggregate(ordered, start, step)["kept"])
 
 
 def signal_lines(c: Column) -> Column:
     """A page's lines that can carry claims."""
-    prefixed = F.transform(text_lines(c), lambda x: F.trim(F.regexp_replace(x, r"(?i)^(social media|other links|rental links)\s+\[\.\.\.\]\s*", "")))
-    link = lambda x: x.startswith("[") & F.contains(x, F.lit("](")) & (F.length(x) < 80)
-    return F.filter(prefixed, lambda x: ~is_asset(x) & ~is_boilerplate(x) & ~link(x))
+    prefixed = F.transform(text_lines(c), lambda x: F.trim(F.regexp_replace(x, MENU_PREFIX, "")))
+    lowered = F.transform(prefixed, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    cored = F.transform(lowered, lambda p: F.struct(p["line"].alias("line"), p["low"].alias("low"), core_of(p["low"]).alias("core")))
+    link = lambda x: x.startswith("[") & F.contains(x, F.lit("](")) & (F.length(x) < SHORTEST_LINK)
+    kept = F.filter(cored, lambda p: ~is_asset(p["low"]) & ~is_boilerplate(p["core"]) & ~link(p["line"]))
+    return F.transform(kept, lambda p: p["line"])
+
+
+def evidence_lines(pages: DataFrame, html: str, budget: int = BUDGET) -> DataFrame:
+    """`pages` with `lines`, the visible lines of the column `html` that can carry claims, once each, within the budget.
+
+    Lines and keys are columns of their own, so that each is worked out once.
+    """
+    rest = [c for c in pages.columns if c != "lines"]
+    lines = pages.select(*rest, signal_lines(html_text(F.col(html))).alias("lines"))
+    keyed = lines.select("*", line_keys(F.col("lines")).alias("keys of lines"))
+    once = keyed.select(*rest, first_seen(F.col("lines"), F.col("keys of lines")).alias("lines"))
+    return once.select(*rest, within_budget(F.col("lines"), budget).alias("lines"))
 
 
 def page_kind(url: Column) -> Column:
@@ -195,7 +238,3 @@ def message(parts: list[tuple[str, Column]], optional: list[tuple[str, Column]])
     lines += [F.when(cleaned(c) != "", F.concat(F.lit(f"{label}: "), cleaned(c))) for label, c in optional]
     text = F.concat_ws("\n", *lines)
     return F.when(F.length(text) > LONGEST_MESSAGE, F.concat(F.substring(text, 1, LONGEST_MESSAGE), F.lit("\n[truncated]"))).otherwise(text)
-
-
-def escape_like(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in words)

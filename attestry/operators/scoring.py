@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,23 @@ def bootstrap(df: DataFrame, values: list[str], key: str, resamples: int, seed:
     A row's draws depend on its key, the resample and the seed alone, so rows never
     meet: every task adds up its own and only sums are shuffled.
     """
-    draws = df.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "resample", key)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, cumulative, term = F.lit(0), 0.0, 0.36787944117144233
+    lanes = 4  # draws that one digest gives
+    # a row becomes thousands of draws, so few rows have to be spread over all cores first
+    spread = df.select(key, *values).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    draws = spread.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // lanes))).alias("_part"))
+    digests = draws.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(str(seed)), "_part", key)))
+
+    # a draw is eight hexadecimal digits, of a number of 32 bits; digits compare as the numbers do
+    bounds, cumulative, term = [], 0.0, math.exp(-1)
     for k in range(1, 9):
         cumulative += term
         term /= k
-        weight = weight + (u >= cumulative).cast("int")
-    sums = draws.withColumn("_w", weight).groupBy("resample").agg(F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
-    return sums.select("resample", *[(F.col(v) / F.col("w")).alias(v) for v in values])
+        bounds.append(f"{math.ceil(cumulative * 2**32):08x}")
+    uniform = digests.select("_part", *values, *[F.substring("_digest", 1 + 8 * lane, 8).alias(f"_u{lane}") for lane in range(lanes)])
+    weighed = uniform.select("_part", *values, *[sum(((F.col(f"_u{lane}") >= b).cast("int") for b in bounds), F.lit(0)).alias(f"_w{lane}") for lane in range(lanes)])
+    sums = weighed.groupBy("_part").agg(*[F.struct(F.sum(f"_w{lane}").alias("w"), *[F.sum(F.col(f"_w{lane}") * F.col(v)).alias(v) for v in values]).alias(f"_l{lane}") for lane in range(lanes)])
+    each = sums.select("_part", F.posexplode(F.array(*[f"_l{lane}" for lane in range(lanes)])).alias("_lane", "_s"))
+    return each.select((F.col("_part") * lanes + F.col("_lane")).alias("resample"), *[(F.col(f"_s.{v}") / F.col("_s.w")).alias(v) for v in values]).filter(F.col("resample") < resamples)
 
 
 def interval(resamples: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -34,8 +34,8 @@ def query(sql: str | None = None):
 @query()
 def page_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of every web page: visible lines, without furniture, deduplicated, within the budget."""
-    pages = table(spark, d, "pages").select("page_id", "url", text.signal_lines(text.html_text(F.col("html"))).alias("lines"))
-    shaped = pages.select("page_id", F.array(F.struct("url", text.within_budget(text.first_seen(F.col("lines"))).alias("lines"))).alias("pages"))
+    pages = text.evidence_lines(table(spark, d, "pages").select("page_id", "url", "html"), "html")
+    shaped = pages.select("page_id", F.array(F.struct("url", "lines")).alias("pages"))
     used, words = text.evidence(F.col("pages"))
     return shaped.select("page_id", used.alias("website_pages_used"), words.alias("website_evidence"))
 
@@ -430,12 +430,12 @@ def selective_curve(spark, d):
 
 
 _BOOT_W = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253])
-_BOOT = f"WITH {SCORED}, u AS (SELECT resample, correct, confidence, ('0x' || substr(md5('20260705:' || resample || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored CROSS JOIN (SELECT unnest(range(200)) AS resample)), b AS (SELECT resample, sum(({_BOOT_W}) * correct::INT)::DOUBLE / sum({_BOOT_W}) AS hit, sum(({_BOOT_W}) * (correct::INT - (confidence >= 0.5)::INT))::DOUBLE / sum({_BOOT_W}) AS gap FROM u GROUP BY 1) "
+_BOOT = f"WITH {SCORED}, u AS (SELECT resample, correct, confidence, ('0x' || substr(md5('20260705:' || (resample // 4) || ':' || doc_id), 1 + 8 * (resample % 4)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored CROSS JOIN (SELECT unnest(range(10000)) AS resample)), b AS (SELECT resample, sum(({_BOOT_W}) * correct::INT)::DOUBLE / sum({_BOOT_W}) AS hit, sum(({_BOOT_W}) * (correct::INT - (confidence >= 0.5)::INT))::DOUBLE / sum({_BOOT_W}) AS gap FROM u GROUP BY 1) "
 
 
 def _resamples(spark, d):
     rows = scored(spark, d).select("doc_id", F.col("correct").cast("int").alias("hit"), (F.col("correct").cast("int") - (F.col("confidence") >= 0.5).cast("int")).alias("gap"))
-    return scoring.bootstrap(rows, ["hit", "gap"], "doc_id", 200, 20260705)
+    return scoring.bootstrap(rows, ["hit", "gap"], "doc_id", 10_000, 20260705)
 
 
 @query(_BOOT + "SELECT avg(hit) AS mean, quantile_cont(hit, 0.025) AS low, quantile_cont(hit, 0.975) AS high FROM b")
@@ -508,9 +508,9 @@ def smoke_select(spark, d):
     return sampling.length_spread(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 10, "parent")
 
 
-@query("SELECT company, src, row_number() OVER (ORDER BY rn, src <> 'live', company) AS place FROM (SELECT c_custkey AS company, CASE WHEN c_custkey % 2 = 0 THEN 'live' ELSE 'dead' END AS src, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey < 40)")
+@query("SELECT company, src, row_number() OVER (ORDER BY rn, src <> 'live', company) AS place FROM (SELECT c_custkey AS company, CASE WHEN c_custkey % 2 = 0 THEN 'live' ELSE 'dead' END AS src, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS rn FROM customer)")
 def source_interleave(spark, d):
-    rows = table(spark, d, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("company"), F.when(F.col("c_custkey") % 2 == 0, "live").otherwise("dead").alias("src"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("company"), F.when(F.col("c_custkey") % 2 == 0, "live").otherwise("dead").alias("src"))
     return sampling.interleave(rows, "src", "company", "live").withColumn("place", F.col("place").cast("long"))
 
 
