@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,8 +28,14 @@ def csv_contract(spark: SparkSession, path: str, columns: list[str], key: str) -
     bad = rows.groupBy(key).agg(F.count("*").alias("n")).filter((F.trim(key) == "") | (F.col("n") > 1)).limit(1).collect()
     if bad:
         raise ValueError(f"blank or repeated {key}: {bad[0][key]!r}")
-    first = F.monotonically_increasing_id()
-    return rows.select(*columns, (first + 2).alias("source_row_number"))
+    # a multi-line file is one partition, so that the id counts its records; of several files each is counted from its own header
+    return _numbered(rows).select(*columns, "source_row_number")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    ids = rows.withColumns({"_id": F.monotonically_increasing_id(), "_file": F.input_file_name()})
+    first = ids.groupBy("_file").agg(F.min("_id").alias("_first"))  # one row a file
+    return ids.join(F.broadcast(first), "_file").withColumn("source_row_number", F.col("_id") - F.col("_first") + 2)
 
 
 def typed(df: DataFrame, stamps: list[str] = (), numbers: list[str] = ()) -> DataFrame:
@@ -63,10 +71,36 @@ def json_strict(spark: SparkSession, path: str, schema: str, last_may_break: boo
 
 
 def journal_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Committed events only: a last line without its newline does not count even if it parses."""
+    """Committed events only: a last line without its newline does not count even if it parses; a committed line that is no object fails."""
     whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.slice(F.split("value", "\n"), F.lit(1), F.size(F.split("value", "\n")) - 1)).alias("line_no", "value"))
-    return lines.filter("value <> ''").select("line_no", F.from_json("value", schema).alias("o")).select("line_no", "o.*")
+    lines = whole.select(F.posexplode(F.slice(F.split("value", "\n"), F.lit(1), F.size(F.split("value", "\n")) - 1)).alias("line_no", "value")).filter("value <> ''")
+    good = F.coalesce(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"), F.lit(False))
+    damaged = F.raise_error(F.concat(F.lit("damaged journal line "), (F.col("line_no") + 1).cast("string")))
+    checked = lines.withColumn("value", F.when(good, F.col("value")).otherwise(damaged))
+    return checked.select("line_no", F.from_json("value", schema).alias("o")).select("line_no", "o.*")
+
+
+def heal_journal(spark: SparkSession, path: str) -> int:
+    """Cuts an uncommitted tail off a journal file and tells its length in characters; committed lines stay as they are."""
+    text = spark.read.text(path, wholetext=True).first()
+    value = text.value if text else ""
+    tail = len(value) - (value.rfind("\n") + 1)
+    if tail:
+        replace_file(spark, path, value[: len(value) - tail])
+    return tail
+
+
+def replace_file(spark: SparkSession, path: str, content: str) -> None:
+    """A file's new content, in place at once: written beside it, then renamed over it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    store = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf) if "://" in path else jvm.org.apache.hadoop.fs.FileContext.getLocalFSFileContext(conf)
+    out = beside.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    store.rename(beside, target, renames)
 
 
 def header_and_rows(spark: SparkSession, path: str, header: str, row: str) -> tuple[DataFrame, DataFrame]:
@@ -92,3 +126,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 def snapshot_dates(df: DataFrame, key: str, ok: Column, stamp: str, line: str) -> DataFrame:
     """Date of each key's last successful fetch."""
     return df.filter(ok).groupBy(key).agg(F.max_by(F.substring(F.col(stamp).cast("string"), 1, 10), line).alias("snapshot_date"))
+
+
+def archive_dates(df: DataFrame, key: str, stamp: str, line: str) -> DataFrame:
+    """Date of each key's first row, from a 14-digit time; a blank one fails."""
+    first = df.groupBy(key).agg(F.min_by(F.coalesce(F.col(stamp).cast("string"), F.lit("")), line).alias("_stamp"))
+    blank = F.raise_error(F.concat(F.lit("no snapshot time: "), F.col(key).cast("string")))
+    good = F.when(F.trim("_stamp") == "", blank).otherwise(F.col("_stamp"))
+    return first.select(key, F.regexp_replace(good, r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3").alias("snapshot_date"))

@@ -67,13 +67,28 @@ def journal_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def replace_folder(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what was there: written beside it in full, then renamed, so that a failed write leaves the old rows."""
+    spark, beside, old = rows.sparkSession, f"{path}.new", f"{path}.old"
+    rows.write.mode("overwrite").json(beside)
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(place(old), True)
+    if store.exists(place(path)):
+        store.rename(place(path), place(old))
+    if not store.rename(place(beside), place(path)):
+        raise OSError(f"{beside} could not be renamed")
+    store.delete(place(old), True)
+
+
 def publish_run(rows: DataFrame, expected: int, folder: str) -> bool:
     """Writes `in_progress` always and `final` only when every expected row is complete; else a final of before goes."""
-    rows.write.mode("overwrite").json(f"{folder}/in_progress")
+    replace_folder(rows, f"{folder}/in_progress")
     spark = rows.sparkSession
-    done = spark.read.schema(rows.schema).json(f"{folder}/in_progress").count() == expected
+    written = spark.read.schema(rows.schema).json(f"{folder}/in_progress")
+    done = written.count() == expected
     if done:
-        rows.write.mode("overwrite").json(f"{folder}/final")
+        replace_folder(written, f"{folder}/final")
     else:
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/final")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
