@@ -36,6 +36,10 @@ from attestry.llm.graph import components
 
 #: Bands and least values in a band: a pair at similarity 0.8 shares one with a chance of 0.9996.
 BANDS, BAND_ROWS = 20, 5
+#: Rounds in which a text is compared with one of its buckets' centres only.
+FIRST_ROUNDS = 3
+#: Rounds end when less than one in so many comparisons is a link.
+FEW = 1000
 #: Most rows that are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -157,7 +161,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
     moves by some 10 bits at a similarity of 0.8, texts that share a band of least
     shingle values. Every candidate is verified on the whole texts. A bucket compares
     its members with one of them, another in every round and the same in all buckets
-    that hold it, but those already in its component, until a round adds no link. Texts of equal words are one vertex.
+    that hold it, but those already in its component, until less than one comparison in FEW is a link; in
+    the first rounds a text is compared with one centre of all its buckets' only. Texts of equal words are one vertex.
     """
     arrow_rows(docs.sparkSession)
     tables = Scratch()
@@ -219,19 +224,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried, number = tables.written(by_links.select(*ordered("a", "b")).distinct()), 0
     found = tables.written(verified(tried))
+    labels = components(found)
     while True:
-        labels = components(found)
         of = buckets.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         centre = of.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(number))).alias("c"))
-        pairs = of.join(centre, ["band", "key"]).filter(F.col("c.component") != F.col("component")).select(*ordered(F.col("rep"), F.col("c.rep"))).distinct()
-        pairs = tables.written(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = of.join(centre, ["band", "key"]).filter(F.col("c.component") != F.col("component")).select("rep", F.col("c.rep").alias("with")).distinct()
+        pairs = pairs.select("rep", "with", *ordered("rep", "with")).join(tried, ["a", "b"], "left_anti")
+        if number < FIRST_ROUNDS:
+            # most members of a group need no more than one comparison
+            pairs = pairs.groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.xxhash64("with", F.lit(number))).alias("p")).select("p.a", "p.b")
+        pairs = tables.written(pairs.select("a", "b").distinct())
         new = tables.written(verified(pairs))
-        if not new.head(1):
-            named = nodes.select("body", "rep", F.col("rep").alias("vertex_rep"))
-            least = _least_of(named.select("rep", "vertex_rep"), labels, "vertex_rep")
-            of_body = named.join(least, "vertex_rep").select("body", "component_id")
-            return tables.result(prints.select("doc_id", "body").join(of_body, "body").select("doc_id", "component_id"))
-        found, tried, number = tables.written(found.unionByName(new)), tables.written(tried.unionByName(pairs)), number + 1
+        links_added, compared = new.count(), pairs.count()
+        if links_added:
+            found = tables.written(found.unionByName(new))
+            labels = components(found)
+        if number >= FIRST_ROUNDS and (not links_added or links_added * FEW < compared):
+            break
+        tried, number = tables.written(tried.unionByName(pairs)), number + 1
+    named = nodes.select("body", "rep", F.col("rep").alias("vertex_rep"))
+    least = _least_of(named.select("rep", "vertex_rep"), labels, "vertex_rep")
+    of_body = named.join(least, "vertex_rep").select("body", "component_id")
+    return tables.result(prints.select("doc_id", "body").join(of_body, "body").select("doc_id", "component_id"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
