@@ -20,12 +20,16 @@ STAGES = [
     ("best_fit_packing", pack_stage),
 ]
 
-#: SQL has neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the classifier nor the tokenizer; tests hold the first four stages against plain Python and the packing against the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, in order."""
+    """All stages over `documents`, in order.
+
+    Defined results are those of the stages: null and empty texts, repeated rows and
+    null or shared identifiers are treated as each says; an empty table gives none.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
