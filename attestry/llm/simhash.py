@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.common import ROW_KEY, Scratch, arrow_rows, checkpointed, keyed, one_row_a_key, read_table
@@ -36,10 +36,12 @@ from attestry.llm.graph import components
 
 #: Bands and least values in a band: a pair at similarity 0.8 shares one with a chance of 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Rounds in which a text is compared with one of its buckets' centres only.
-FIRST_ROUNDS = 3
-#: Rounds end when less than one in so many comparisons is a link.
-FEW = 1000
+#: Rounds against centres before the pass over what they leave; a matter of cost, not of result.
+STAR_ROUNDS = 4
+#: Words of 64 parity bits in a text's sketch.
+SKETCH_WORDS = 16
+#: Members of a bucket that one task of the last pass holds against its other texts.
+BLOCK = 4096
 #: Most rows that are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -154,15 +156,36 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def parities(distinct: np.ndarray, width: int = SKETCH_WORDS) -> np.ndarray:
+    """The parity of the number of distinct shingles in each of 64 * `width` classes, as `width` words.
+
+    Bits that differ between two sketches count no more than shingles that one text has and the other has not.
+    """
+    mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
+    odd = np.bincount(((mixed >> np.uint64(32)) % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for texts below the similarity: J(A, B) >= s means |A - B| + |B - A| <= (|A| + |B|) (1 - s) / (1 + s)."""
+    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    # a thousandth of a shingle for rounding, which is on the side of more candidates
+    return differ <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity)) + 0.001
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, component_id): components of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
     Candidates are the links of the fingerprints and, since a fingerprint of 64 bits
     moves by some 10 bits at a similarity of 0.8, texts that share a band of least
-    shingle values. Every candidate is verified on the whole texts. A bucket compares
-    its members with one of them, another in every round and the same in all buckets
-    that hold it, but those already in its component, until less than one comparison in FEW is a link; in
-    the first rounds a text is compared with one centre of all its buckets' only. Texts of equal words are one vertex.
+    shingle values. Every candidate is verified on the whole texts, unless it joins what
+    is joined already or the sketches of parities prove it to be below the similarity.
+    First a bucket compares its members with one of them, another in every round and the
+    same in all buckets that hold it, so that a group of near copies becomes one component
+    at the cost of its members. Then one pass takes every candidate that is left: in each
+    bucket the texts outside its largest component against all texts of other components,
+    in blocks, the sketches compared in the join. No candidate is left out. Texts of equal
+    words are one vertex.
     """
     arrow_rows(docs.sparkSession)
     tables = Scratch()
@@ -175,13 +198,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
             hashes = [shingle_hashes(t, words, seed) for t in texts]
             bodies = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
             fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            bands = [band_keys(np.unique(np.frombuffer(h, dtype="<u8")), BANDS, BAND_ROWS).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "body": pa.array(bodies, pa.binary()), "fp": pa.array(fps), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            sets = [np.unique(np.frombuffer(h, dtype="<u8")) for h in hashes]
+            bands = [band_keys(x, BANDS, BAND_ROWS).view(np.int64) for x in sets]
+            sketches = [parities(x).view(np.int64) for x in sets]
+            columns = {"doc_id": batch.column("doc_id"), "body": pa.array(bodies, pa.binary()), "fp": pa.array(fps), "bands": pa.array(bands, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(columns | {"sketch": pa.array(sketches, pa.list_(pa.int64())), "size": pa.array([len(x) for x in sets], pa.int64())})
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = tables.written(given.mapInArrow(run, "doc_id long, body binary, fp long, bands array<long>"))
+    prints = tables.written(given.mapInArrow(run, "doc_id long, body binary, fp long, bands array<long>, sketch array<long>, size long"))
     # one vertex for texts of equal words, named by its least document
-    nodes = tables.written(prints.groupBy("body").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = tables.written(prints.groupBy("body").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "bands", "sketch", "size")]))
     by_print = tables.written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
     keys = F.concat(F.array(F.struct(F.lit(-1).alias("band"), F.col("fp").alias("key"))), F.transform("bands", lambda k, i: F.struct(i.alias("band"), k.alias("key"))))
     entries = nodes.select("rep", F.explode(keys).alias("e")).select("rep", "e.band", "e.key")
@@ -195,6 +221,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
     # broadcast only where the number of candidates is small
     some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = tables.written(given.join(some, given["doc_id"] == some["rep"]).select("rep", "text"))
+    sketched = tables.written(nodes.join(some, "rep", "left_semi").select("rep", "sketch", "size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -221,27 +248,43 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, dis
 
         return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried, number = tables.written(by_links.select(*ordered("a", "b")).distinct()), 0
-    found = tables.written(verified(tried))
+    def member(labels: DataFrame, name: str) -> DataFrame:
+        """(rep, name): a candidate's component, sketch and size."""
+        of = sketched.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
+        return of.select("rep", F.struct("rep", F.coalesce("component", "rep").alias("component"), "sketch", "size").alias(name))
+
+    ordered = (F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    apart = (F.col("x.component") != F.col("y.component")) & _may_be_similar("x", "y", similarity)
+    found = tried = tables.written(by_links.limit(0))
     labels = components(found)
-    while True:
-        of = buckets.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        centre = of.groupBy("band", "key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(number))).alias("c"))
-        pairs = of.join(centre, ["band", "key"]).filter(F.col("c.component") != F.col("component")).select("rep", F.col("c.rep").alias("with")).distinct()
-        pairs = pairs.select("rep", "with", *ordered("rep", "with")).join(tried, ["a", "b"], "left_anti")
-        if number < FIRST_ROUNDS:
-            # most members of a group need no more than one comparison
-            pairs = pairs.groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.xxhash64("with", F.lit(number))).alias("p")).select("p.a", "p.b")
-        pairs = tables.written(pairs.select("a", "b").distinct())
+    for number in range(STAR_ROUNDS):
+        of = buckets.join(member(labels, "x"), "rep")
+        centre = buckets.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(number))).alias("rep")).join(member(labels, "y"), "rep").drop("rep")
+        pairs = of.join(centre, ["band", "key"]).filter(apart).select(F.col("x.rep").alias("rep"), *ordered).join(tried, ["a", "b"], "left_anti")
+        # a text is compared with one centre of all its buckets' in a round
+        pairs = tables.written(pairs.groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b").distinct())
         new = tables.written(verified(pairs))
-        links_added, compared = new.count(), pairs.count()
-        if links_added:
-            found = tables.written(found.unionByName(new))
-            labels = components(found)
-        if number >= FIRST_ROUNDS and (not links_added or links_added * FEW < compared):
+        tried = tables.written(tried.unionByName(pairs))
+        if not new.head(1):
             break
-        tried, number = tables.written(tried.unionByName(pairs)), number + 1
+        found = tables.written(found.unionByName(new))
+        labels = components(found)
+
+    # what is left: texts outside the largest component of their bucket, against all of other components
+    of = tables.written(buckets.join(member(labels, "x").select("rep", F.col("x.component").alias("component")), "rep"))
+    parts = of.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    split = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    in_split = tables.written(of.join(split, ["band", "key"]).select("rep", "band", "key", (F.col("component") != F.col("largest")).alias("outside"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    held = in_split.join(member(labels, "y"), "rep").select("band", "key", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "y", F.col("outside").alias("y_outside"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    outside = in_split.filter("outside").join(member(labels, "x"), "rep").select("band", "key", block, "x")
+    once = ~F.col("y_outside") | (F.col("x.rep") < F.col("y.rep"))
+    rest = outside.join(held, ["band", "key", "block"]).filter(apart & once).select(*ordered)
+    by_print_links = by_links.join(member(labels, "x").withColumnRenamed("rep", "a"), "a").join(member(labels, "y").withColumnRenamed("rep", "b"), "b").filter(apart).select(*ordered)
+    rest = tables.written(rest.unionByName(by_print_links).distinct().join(tried, ["a", "b"], "left_anti"))
+    new = tables.written(verified(rest))
+    if new.head(1):
+        labels = components(tables.written(found.unionByName(new)))
     named = nodes.select("body", "rep", F.col("rep").alias("vertex_rep"))
     least = _least_of(named.select("rep", "vertex_rep"), labels, "vertex_rep")
     of_body = named.join(least, "vertex_rep").select("body", "component_id")

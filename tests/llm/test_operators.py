@@ -328,8 +328,11 @@ def similar(a, b):
     return both >= 0.8 * (len(shingles(a) | shingles(b)))
 
 
-def test_similar_groups(spark):
-    """Components by Jaccard similarity 0.8 of five-word shingles: chains, bare misses, a large group of near copies."""
+@pytest.mark.parametrize("rounds", [0, simhash.STAR_ROUNDS])
+def test_similar_groups(spark, monkeypatch, rounds):
+    """Components by Jaccard similarity 0.8 of five-word shingles: chains, bare misses, a large group of near copies; the last pass alone finds as much."""
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
     r = random.Random(8)
     say = lambda n: [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(n)]
     ts = [None, "", " \n", "one two", "one  TWO", "one two three"]
@@ -477,6 +480,17 @@ def test_ppm_defined_results(spark, docs, empty):
         assert math.isclose(none[i].score, -(len(joined) + 1) * math.log10(257), rel_tol=1e-6) and none[i].n_known == 0
 
 
+def test_parities():
+    """Bits that differ are no more than shingles of one text only, whatever the sizes."""
+    r = np.random.default_rng(5)
+    for n in (0, 1, 30, 600, 5000):
+        one = r.integers(0, 1 << 63, size=n, dtype=np.uint64)
+        for gone, new in ((0, 0), (n // 9, 0), (n // 9, n // 9), (n, 7)):
+            two = np.concatenate([one[gone:], r.integers(0, 1 << 63, size=new, dtype=np.uint64)])
+            differ = sum(int(x ^ y).bit_count() for x, y in zip(simhash.parities(np.unique(one)), simhash.parities(np.unique(two)), strict=True))
+            assert differ <= len(set(one.tolist()) ^ set(two.tolist())) and differ % 2 == (gone + new) % 2
+
+
 def test_pipeline_stages(spark, docs, empty):
     """Each stage's rows, in full, against plain Python; then all in a row over odd tables."""
     from corpus_pipeline import STAGES
