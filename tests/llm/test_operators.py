@@ -548,3 +548,40 @@ def test_pipeline_stages(spark, docs, empty):
             now = stage(spark, now, "")
             assert now.columns == start.columns, name
         assert stages["best_fit_packing"](spark, now, "").count() >= now.count()
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def remainder(doc_id, by):
+    return zlib.crc32(str(doc_id).encode()) % by
+
+
+def test_queries_learn_from_their_own_rows_only(spark, tmp_path):
+    """Held-out labels, languages and texts, changed, move nothing that is learned; held-out answers are right."""
+    from attestry.llm.common import key_remainder
+    from attestry.llm.queries import QUERIES
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    changed = str(tmp_path / "languages")
+    docs.withColumn("lang", F.when(key_remainder("doc_id", 3) == 1, "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("other")).write.parquet(f"{changed}/documents.parquet")
+    labels.withColumn("toxic", F.when(key_remainder("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast(labels.schema["toxic"].dataType)).write.parquet(f"{changed}/labels.parquet")
+    n = docs.count()
+    for name, by, out in (("op2_language_id", 3, 1), ("op5_toxicity", 5, 0)):
+        rows = by_id(QUERIES[name](spark, DATA))
+        assert len(rows) == n and rows == by_id(QUERIES[name](spark, changed))
+        assert all(x.held_out == (remainder(i, by) == out) and 0 <= x.score <= 1 for i, x in rows.items())
+        if by == 3:
+            asked = [(rows[x.doc_id].lang_pred, x.lang) for x in docs.collect() if rows[x.doc_id].held_out and x.lang and any(c.isalpha() for c in x.text or "")]
+            assert sum(a == b for a, b in asked) >= 0.95 * len(asked) > 0
+        else:
+            assert all(x.predicted == (x.score >= 0.5) for x in rows.values())
+
+    others = str(tmp_path / "texts")
+    docs.withColumn("text", F.when(key_remainder("doc_id", 5) == 1, "never seen words").otherwise(F.col("text"))).write.parquet(f"{others}/documents.parquet")
+    before, after = (by_id(QUERIES["op10_ppm_scoring"](spark, d)) for d in (DATA, others))
+    assert len(before) == n and all(x.held_out == (remainder(i, 5) == 1) for i, x in before.items())
+    for i, x in before.items():
+        if not x.held_out:
+            assert (x.n_tokens, x.n_known, x.train_tokens) == (after[i].n_tokens, after[i].n_known, after[i].train_tokens)
+            assert math.isclose(x.base_score, after[i].base_score, rel_tol=1e-9) and math.isclose(x.score, after[i].score, rel_tol=1e-9, abs_tol=1e-9)
