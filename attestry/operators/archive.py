@@ -144,3 +144,23 @@ def cell_cost(stages: DataFrame, cell: str, first: str, second: str, has_bank: s
     """Cost of each cell: the second stage's, and the first's where it is not banked."""
     paid = F.when(F.col(has_bank), 0.0).otherwise(F.col(first))
     return stages.groupBy(cell).agg(F.count("*").alias("n"), F.sum(second).alias("second_usd"), F.sum(paid).alias("first_usd"), (F.sum(second) + F.sum(paid)).alias("usd"))
+
+
+def probed(df: DataFrame, probes: DataFrame, key: str, column: str, force: bool = False) -> DataFrame:
+    """`df` with `column` from `probes` where it holds neither true nor false (or everywhere, if forced); rows without a probe stay."""
+    fresh = probes.select(F.col(key), F.col(column).alias("_fresh"))
+    settled = F.lit(False) if force else F.lower(F.trim(F.coalesce(F.col(column), F.lit("")))).isin("true", "false")
+    return df.join(fresh, key, "left").withColumn(column, F.when(settled, F.col(column)).otherwise(F.coalesce("_fresh", column))).drop("_fresh")
+
+
+def job_progress(jobs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Rows done, spend of the job's own stage and whether all is done; jobs (job, stage, rows_total), predictions (job, stage, row, usd)."""
+    done = predictions.groupBy("job").agg(F.countDistinct("row").alias("rows_done"))
+    spent = predictions.groupBy("job", "stage").agg(F.sum("usd").alias("spend_usd"))
+    out = jobs.join(done, "job", "left").join(spent, ["job", "stage"], "left").withColumns({"rows_done": F.coalesce("rows_done", F.lit(0)), "spend_usd": F.coalesce("spend_usd", F.lit(0.0))})
+    return out.withColumn("complete", F.col("rows_done") == F.col("rows_total"))
+
+
+def first_pending(rows: DataFrame, done: DataFrame, key: str, line: str, n: int) -> DataFrame:
+    """The first n rows in input order that are not done."""
+    return rows.join(done.select(key).distinct(), key, "left_anti").orderBy(line).limit(n)

@@ -143,3 +143,28 @@ def snapshot_dates(spark, d):
     rows = e.select("user_id", "event_id", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("fetched"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
     live = files.snapshot_dates(rows, "user_id", F.lit(True), "fetched", "event_id").withColumnRenamed("snapshot_date", "live_date")
     return live.join(files.archive_dates(rows, "user_id", "stamp", "event_id").withColumnRenamed("snapshot_date", "archive_date"), "user_id")
+
+
+@query("WITH r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' True ' WHEN 1 THEN '' WHEN 2 THEN 'unknown' END AS alive FROM customer), p AS (SELECT o_custkey AS c_custkey, CASE WHEN count(*) > 12 THEN 'true' ELSE 'false' END AS fresh FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN lower(trim(coalesce(alive, ''))) IN ('true', 'false') THEN alive ELSE coalesce(fresh, alive) END AS alive FROM r LEFT JOIN p USING (c_custkey)")
+def probed_column(spark, d):
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k, F.when(k % 4 == 0, " True ").when(k % 4 == 1, "").when(k % 4 == 2, "unknown").alias("alive"))
+    probes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(F.count("*") > 12, "true").otherwise("false").alias("alive"))
+    return R.probed(rows, probes, "c_custkey", "alive")
+
+
+_JOBS = "jobs AS (SELECT c_custkey AS job, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS stage, c_custkey % 20 AS rows_total FROM customer), done AS (SELECT o_custkey AS job, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS stage, o_orderdate AS row_id, o_orderkey % 100 / 8.0::DOUBLE AS usd FROM orders)"
+
+
+@query(f"WITH {_JOBS}, n AS (SELECT job, count(DISTINCT row_id) AS rows_done FROM done GROUP BY job), s AS (SELECT job, stage, sum(usd) AS spend_usd FROM done GROUP BY job, stage) SELECT job, stage, rows_total, coalesce(rows_done, 0) AS rows_done, coalesce(spend_usd, 0.0::DOUBLE) AS spend_usd, coalesce(rows_done, 0) = rows_total AS complete FROM jobs LEFT JOIN n USING (job) LEFT JOIN s USING (job, stage)")
+def job_progress(spark, d):
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    jobs = table(spark, d, "customer").select(c.alias("job"), F.when(c % 2 == 0, "a").otherwise("b").alias("stage"), (c % 20).alias("rows_total"))
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.when(o % 3 == 0, "a").otherwise("b").alias("stage"), F.col("o_orderdate").alias("row"), ((o % 100) / F.lit(8.0)).alias("usd"))
+    return R.job_progress(jobs, done)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) ORDER BY o_orderkey LIMIT 500")
+def first_pending(spark, d):
+    done = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    return R.first_pending(table(spark, d, "orders").select("o_orderkey", "o_custkey"), done, "o_custkey", "o_orderkey", 500).select("o_orderkey", "o_custkey")
