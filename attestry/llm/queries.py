@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, exactdedup, hnsw, langid, licenses, packing, ppm, simhash, suffixdedup, toxicity
+from attestry.llm import bpe, exactdedup, hnsw, impacts, langid, licenses, packing, ppm, simhash, suffixdedup, threshold, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_ppm_scoring": ppm.op10_ppm_scoring,
+    "op11_impact_search": impacts.op11_impact_search,
+    "op13_threshold_topk": threshold.op13_threshold_topk,
 }
 
 ORACLES = {
     "op4_license_scan": licenses.oracle_sql(),
     "op9_exact_dedup": exactdedup.OP9_SQL,
+    "op11_impact_search": impacts.OP11_SQL,
+    "op13_threshold_topk": threshold.OP13_SQL,
 }
