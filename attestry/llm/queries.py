@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, exactdedup, hnsw, impacts, langid, licenses, packing, ppm, simhash, suffixdedup, threshold, toxicity
+from attestry.llm import alignment, bpe, exactdedup, hnsw, impacts, langid, licenses, packing, ppm, simhash, suffixdedup, threshold, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_ppm_scoring": ppm.op10_ppm_scoring,
     "op11_impact_search": impacts.op11_impact_search,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_threshold_topk": threshold.op13_threshold_topk,
 }
 
