@@ -12,8 +12,8 @@ no vector is shuffled. A task sends k rows a query at most; these are merged by
 groups of tasks and then by query.
 
 Whole numbers are held in doubles where no sum of products can reach 2^53, which is
-exact, and in Python's integers beyond; a score that a long cannot hold is returned as
-the nearest long.
+exact, and in Python's integers beyond; a score that a long cannot hold counts as the
+nearest long.
 
 Defined results: null vectors, those with null or non-finite components, those
 without an id and those of another dimension than most take no part; zero vectors do.
@@ -57,6 +57,11 @@ def _as_long(score) -> int:
     return min(max(int(score), int(_LONG.min)), int(_LONG.max))
 
 
+def _held(score: np.ndarray) -> np.ndarray:
+    """Scores that a long can hold."""
+    return np.array([_as_long(s) for s in score], dtype=object) if score.dtype == object else score
+
+
 class _Best:
     """The best k of a query so far, best first: scores and ids."""
 
@@ -107,8 +112,9 @@ class SortedLists:
             met[new] = True
             n_met += len(new)
             if len(new):
-                self._offer(new, points[new] @ query, own, best)
+                self._offer(new, _held(points[new] @ query), own, best)
             bound = (values[up, n - stop] * query[up]).sum() + (values[down, stop - 1] * query[down]).sum()
+            bound = bound if query.dtype != object else _as_long(bound)
             if bound < best.least():  # at equality one not met may have a smaller id
                 break
             depth, stretch = stop, stretch * 2
@@ -177,6 +183,8 @@ def _found(given: DataFrame, asked: list[tuple[int, np.ndarray]], d: int, k: int
                 held, size = [], 0
         if size:
             search(held)
+        if not asked:
+            return
         sizes = [len(b.id) for b in best]
         yield pa.RecordBatch.from_pydict({
             "query": pa.array(np.repeat(np.arange(len(asked)), sizes), pa.int64()), "query_id": pa.array(np.repeat(np.array([own for own, _ in asked], dtype=np.int64), sizes), pa.int64()),
