@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.ranks import placed
+
 
 def union_sources(*sources: tuple[str, DataFrame]) -> DataFrame:
     """Rows of all sources, each with the source's name and its place among the sources."""
@@ -50,7 +52,7 @@ def example_rows(df: DataFrame, smallest: tuple[str, int], longest: tuple[str, i
 def listing(df: DataFrame, key: str) -> DataFrame:
     """Keys with their counts and places, most frequent first, ties by key."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(key))).cast("long"))  # one row a key
+    return placed(counts, F.desc("n"), F.asc(key)).withColumn("place", F.col("place") + 1)
 
 
 def leaderboard(df: DataFrame, group: str, correct: str, least: int = 1) -> DataFrame:

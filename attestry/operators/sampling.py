@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.ranks import in_turn, placed
+
 
 def hash_rank(seed: str, key: str):
     return F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
@@ -31,15 +33,13 @@ def quota_sample(df: DataFrame, stratum: str, size: str, key: str, quotas: dict[
 
 def length_spread(df: DataFrame, size: str, key: str, count: int, parent: str) -> DataFrame:
     """`count` rows at equal steps of the order by size, half steps to the even place."""
-    total = df.agg(F.count("*").alias("_n"))
-    w = Window.orderBy(size, hash_rank(parent, key))
-    ranked = df.withColumn("_at", F.row_number().over(w) - 1)
-    steps = df.sparkSession.range(count).crossJoin(F.broadcast(total))
+    ranked = placed(df.withColumn("_hash", hash_rank(parent, key)), size, "_hash", name="_at").drop("_hash")
+    total = ranked.agg(F.count("*").alias("_n"))
+    steps = df.sparkSession.range(count).crossJoin(F.broadcast(total))  # one row
     at = F.rint(F.col("id") * (F.col("_n") - 1) / max(1, count - 1)) if count > 1 else F.floor(F.col("_n") / 2)
-    return ranked.join(F.broadcast(steps.select(at.cast("int").alias("_at")).distinct()), "_at").drop("_at")
+    return ranked.join(F.broadcast(steps.select(at.cast("long").alias("_at")).distinct()), "_at").drop("_at")  # as many rows as asked for
 
 
 def interleave(df: DataFrame, source: str, key: str, first: str) -> DataFrame:
-    """Rows of two sources in turn, each in the order of its key."""
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(key))
-    return df.withColumn("_rn", rn).withColumn("place", F.row_number().over(Window.orderBy("_rn", F.col(source) != first, key))).drop("_rn")
+    """Rows of a few sources in turn, each in the order of its key."""
+    return in_turn(df, source, key, first)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators.ranks import placed, summed_to
+
 
 def accuracy(df: DataFrame, gold: str, pred: str, *by: str) -> DataFrame:
     hit = (F.col(gold) == F.coalesce(F.col(pred), F.lit("__missing__"))).cast("double")
@@ -45,12 +47,19 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int =
 
 def selective_curve(df: DataFrame, confidence: str, correct: str, key: str, steps: int = 10) -> DataFrame:
     """Accuracy of the most confident share of rows, for each step of coverage; ties by key."""
-    total = df.agg(F.count("*").alias("total"))
-    w = Window.orderBy(F.desc(confidence), F.col(key))
-    ranked = df.select(F.row_number().over(w).alias("rank"), F.avg(F.col(correct).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("accuracy"))
-    grid = df.sparkSession.range(1, steps + 1).select((F.col("id") / steps).alias("coverage")).crossJoin(F.broadcast(total))
-    wanted = grid.withColumn("k", F.greatest(F.lit(1), F.rint(F.col("coverage") * F.col("total")).cast("int")))
-    return ranked.join(F.broadcast(wanted), F.col("rank") == F.col("k")).select("coverage", F.col("k").cast("long").alias("k"), "accuracy")
+    ranked = placed(df.select(confidence, correct, key), F.desc(confidence), F.col(key))
+    n = ranked.count()
+    grid = df.sparkSession.range(1, steps + 1).select((F.col("id") / steps).alias("coverage"))
+    wanted = grid.withColumn("k", F.greatest(F.lit(1), F.rint(F.col("coverage") * n)).cast("long")).filter(F.col("k") <= n)
+    return summed_to(ranked, "place", F.col(correct).cast("double"), wanted, "k").select("coverage", "k", (F.col("total") / F.col("k")).alias("accuracy"))
+
+
+def spread_summary(df: DataFrame, value: str, least: float) -> DataFrame:
+    """Count, minimum, mean, the upper of the middle values and the share under a threshold."""
+    ranked = placed(df.select(value, F.rand(7).alias("_tie")), value, "_tie")  # so that equal values are no single range
+    middle = ranked.join(F.broadcast(ranked.agg(F.floor(F.count("*") / 2).alias("_half"))), F.col("place") == F.col("_half")).select(F.col(value).alias("upper_median"))  # one row
+    rest = df.agg(F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.avg((F.col(value) < least).cast("double")).alias("below_share"))
+    return rest.join(F.broadcast(middle), F.lit(True), "left").select("n", "least", "mean", "upper_median", "below_share")
 
 
 def bootstrap(df: DataFrame, values: list[str], key: str, resamples: int, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from attestry import contracts as C
 from attestry.functions import dates, numbers, text
 from attestry.operators import aggregates as A
 from attestry.operators import dedupe, joins, sampling, scoring, stats
-from attestry.plans.tables import COMPANIES, SCORED, companies, journal, scored, table
+from attestry.plans.tables import COMPANIES, REPLAYED, SCORED, companies, journal, scored, table
 from attestry.sources import sinks
 from attestry.streaming import journal as J
 from attestry.streaming import limits
@@ -450,11 +450,7 @@ def paired_bootstrap(spark, d):
 
 @query(f"WITH {SCORED} SELECT count(*) AS n, min(confidence) AS least, avg(confidence) AS mean, list_sort(list(confidence))[(count(*) // 2 + 1)::INT] AS upper_median, avg((confidence < 0.9)::INT::DOUBLE) AS below_share FROM scored")
 def valid_mass_summary(spark, d):
-    s = scored(spark, d)
-    w = Window.orderBy("confidence")
-    median = s.select(F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy()).alias("m"), "confidence").filter("r = m div 2 + 1").select(F.col("confidence").alias("upper_median"))
-    rest = s.agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.avg("confidence").alias("mean"), F.avg((F.col("confidence") < 0.9).cast("double")).alias("below_share"))
-    return rest.crossJoin(F.broadcast(median)).select("n", "least", "mean", "upper_median", "below_share")
+    return scoring.spread_summary(scored(spark, d), "confidence", 0.9)
 
 
 @query("SELECT vec_id, -(p * log2(p) + (1 - p) * log2(1 - p)) AS entropy_bits, abs(2 * p - 1) AS margin, greatest(p, 1 - p) AS top1 FROM (SELECT vec_id, 1 / (1 + exp(-embedding[1]::DOUBLE)) AS p FROM embeddings)")
@@ -517,12 +513,21 @@ def source_interleave(spark, d):
 # journal and limits
 
 
-@query()
+@query(f"WITH {REPLAYED} SELECT company, pass_a_line, completed_line, error_line, error_retriable, n_retries, n_illegal FROM replayed")
 def journal_replay(spark, d):
     return J.replay(journal(spark, d))
 
 
-@query()
+@query(f"WITH {REPLAYED} SELECT fault, count(*) AS n, min(line_no) AS first_line FROM (SELECT line_no, CASE WHEN company IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) THEN fault ELSE 'unknown company' END AS fault FROM steps WHERE place > 0) WHERE fault IS NOT NULL GROUP BY fault")
+def journal_faults(spark, d):
+    return J.faults(journal(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("company")).filter("company % 10 <> 3"))
+
+
+@query(f"""
+WITH {REPLAYED}, m AS (SELECT r.* FROM customer LEFT JOIN replayed r ON company = c_custkey)
+SELECT count(*) AS total, count(*) FILTER (pass_a_line IS NULL) AS untouched, count(*) FILTER (pass_a_line IS NOT NULL AND completed_line IS NULL) AS pass_a_only, count(completed_line) AS complete,
+  count(*) FILTER (completed_line IS NULL AND error_line IS NOT NULL AND error_retriable) AS retryable, count(*) FILTER (completed_line IS NULL AND error_line IS NOT NULL AND NOT error_retriable) AS terminal FROM m
+""")
 def run_status(spark, d):
     return J.run_status(J.replay(journal(spark, d)), table(spark, d, "customer").select(F.col("c_custkey").alias("company")))
 
@@ -563,9 +568,13 @@ def budget_gate(spark, d):
     return limits.budget_stop(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", "value", 500.0, "user_id").select("event_id", "user_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+e AS (SELECT user_id, place, value AS mean FROM v WHERE place = 1 UNION ALL SELECT user_id, v.place, mean + 0.2::DOUBLE * (value - mean) FROM e JOIN v USING (user_id) WHERE v.place = e.place + 1)
+SELECT user_id, max(place) AS n, round(arg_max(mean, place), 9) AS ewma FROM e GROUP BY 1
+""")
 def latency_ewma(spark, d):
-    return limits.smoothed(table(spark, d, "events"), "user_id", "event_id", "value")
+    return limits.smoothed(table(spark, d, "events"), "user_id", "event_id", "value").withColumn("ewma", F.round("ewma", 9))
 
 
 @query("SELECT c_custkey::VARCHAR AS org_uuid, c_name AS name, '' AS short_description, '' AS \"Long description\", c_mktsegment AS category_list, '' AS category_groups_list, '' AS founded_date, '' AS employee_count, '' AS total_funding_usd, '' AS homepage_url, '' AS website_alive FROM customer")

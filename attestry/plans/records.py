@@ -9,7 +9,7 @@ from attestry.functions import responses as R
 from attestry.functions import text, traces
 from attestry.operators import reports, scoring
 from attestry.plans.catalog import query
-from attestry.plans.tables import COMPANIES, SCORED, companies, journal, scored, table
+from attestry.plans.tables import COMPANIES, REPLAYED, SCORED, companies, journal, scored, table
 from attestry.streaming import journal as J
 
 _K = "(props->>'$.k')::INT"
@@ -225,7 +225,7 @@ def backfill_rows(spark, d):
     return reports.backfill(log, written, "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "event_id", "value")
 
 
-@query()
+@query(f"WITH {REPLAYED.replace('user_id AS company', '(event_id // 4) AS company')} SELECT company, error_line FROM replayed WHERE error_line IS NOT NULL AND error_retriable")
 def retry_requests(spark, d):
     # four events a company, so that some end in an error
     events = journal(spark, d).withColumn("company", F.floor(F.col("line_no") / 4))

@@ -73,3 +73,24 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the labelling journal of each user's company."""
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "pass_a", "click", "retry", "signup", "error", "purchase", "completed", "error", "error")]), F.col("event_type"))
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("company"), F.col("event_id").alias("line_no"), kind.alias("kind"), (F.col("event_id") % 3 != 0).alias("retriable"), "ts", "value")
+
+
+#: The journal's events in each company's order, every step of its state with the fault of the event, and the last state.
+REPLAYED = """
+RECURSIVE logged AS (
+  SELECT *, row_number() OVER (PARTITION BY company ORDER BY line_no) AS next_place
+  FROM (SELECT user_id AS company, event_id AS line_no, event_id % 3 <> 0 AS retriable, CASE event_type WHEN 'view' THEN 'pass_a' WHEN 'click' THEN 'retry' WHEN 'purchase' THEN 'completed' ELSE 'error' END AS kind FROM events)),
+steps AS (
+  SELECT DISTINCT company, 0::BIGINT AS place, NULL::BIGINT AS line_no, NULL::VARCHAR AS fault, NULL::BIGINT AS pass_a_line, NULL::BIGINT AS completed_line, NULL::BIGINT AS error_line, NULL::BOOLEAN AS error_retriable, 0::BIGINT AS n_retries, 0::BIGINT AS n_illegal FROM logged
+  UNION ALL
+  SELECT company, next_place, line, wrong, CASE WHEN wrong IS NULL AND kind = 'pass_a' THEN line ELSE pass_a_line END, CASE WHEN wrong IS NULL AND kind = 'completed' THEN line ELSE completed_line END,
+    CASE WHEN wrong IS NOT NULL THEN error_line WHEN kind = 'error' THEN line END, CASE WHEN wrong IS NOT NULL THEN error_retriable WHEN kind = 'error' THEN retriable END,
+    n_retries + (wrong IS NULL AND kind = 'retry')::BIGINT, n_illegal + (wrong IS NOT NULL)::BIGINT
+  FROM (
+    SELECT s.*, l.line_no AS line, l.kind, l.retriable, l.next_place,
+      CASE WHEN kind = 'pass_a' AND pass_a_line IS NOT NULL THEN 'first stage twice' WHEN kind = 'completed' AND pass_a_line IS NULL THEN 'completed before first stage'
+        WHEN kind = 'completed' AND completed_line IS NOT NULL THEN 'completed twice' WHEN kind = 'error' AND completed_line IS NOT NULL THEN 'failure after completion'
+        WHEN kind = 'retry' AND error_line IS NULL THEN 'retry without failure' WHEN kind = 'retry' AND NOT error_retriable THEN 'retry of terminal failure' END AS wrong
+    FROM steps s JOIN logged l ON l.company = s.company AND l.next_place = s.place + 1)),
+replayed AS (SELECT * FROM steps QUALIFY place = max(place) OVER (PARTITION BY company))
+"""

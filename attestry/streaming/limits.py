@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.folds import folded, smoothing
+
 
 def utilisation(df: DataFrame, ts: str, tokens: str, rpm: int, tpm: int, *by: str, seconds: int = 60) -> DataFrame:
     """Requests and tokens of the trailing window at each request, as shares of their limits, and the larger share."""
@@ -34,11 +36,9 @@ def adaptive_concurrency(df: DataFrame, key: str, line: str, outcome: str, start
     return df.select(key, line, outcome).groupBy(key).applyInPandas(run, f"{key} long, calls long, last_limit long, least_limit long")
 
 
-def smoothed(df: DataFrame, key: str, line: str, value: str, alpha: float = 0.2) -> DataFrame:
-    """Exponentially weighted mean after each key's last row, by a fold over its values in order."""
-    values = F.transform(F.sort_array(F.collect_list(F.struct(line, value))), lambda x: x[value].cast("double"))
-    fold = F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc + alpha * (x - acc), x))
-    return df.groupBy(key).agg(F.count("*").alias("n"), fold.alias("ewma"))
+def smoothed(df: DataFrame, key: str, line: str, value: str, alpha: float = 0.2, **sizes: int) -> DataFrame:
+    """Exponentially weighted mean after each key's last row; a key of any size, its runs of rows as affine steps."""
+    return folded(df, key, line, [value], smoothing(value, alpha), **sizes).select(key, "state.n", F.col("state.mean").alias("ewma"))
 
 
 def budget_stop(df: DataFrame, line: str, cost: str, budget: float, *by: str) -> DataFrame:
