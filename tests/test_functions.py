@@ -69,7 +69,7 @@ def test_wilson_and_buckets(spark):
     assert [one(spark, v, lambda c: numbers.bucket_of(c, FUNDING_BUCKETS), "double") for v in (None, -1.0, 0.5, 1.0, 1e6, 1e6 + 1, 2e8)] == ["unknown", "unknown", "unknown", "<$1M", "<$1M", "$1-10M", "$100M+"]
 
 
-def test_readers(spark, tmp_path):
+def test_lenient_csv_and_strict_json(spark, tmp_path):
     csv = tmp_path / "a.csv"
     csv.write_text('id,t\n1,"a, b"\n2,\n3,x,too,many\n4\n')
     assert sorted(map(tuple, files.csv_strings(spark, str(csv), ["id", "t"]).collect())) == [("1", "a, b"), ("2", ""), ("4", "")]
