@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from attestry.operators.ranks import checkpoint_folder
 
 _BLOCK = ["file", "block"]
+#: Rows of a table by block that every task may get (some 128 MB of text stand behind each).
+SENT = 100_000
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
@@ -24,10 +26,11 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A small table in the shared folder: its size is known, so that the planner sends it to all tasks or not."""
+    """A table by file or block in the shared folder, marked to be sent to all tasks if it has at most SENT rows."""
     place = f"{checkpoint_folder(df.sparkSession)}/blocks/{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    back = df.sparkSession.read.schema(df.schema).parquet(place)
+    return F.broadcast(back) if back.count() <= SENT else back
 
 
 def _before(blocks: DataFrame, *sums: str) -> DataFrame:
