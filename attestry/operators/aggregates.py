@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.numbers import edge_bin, normal_half_width, wilson
+from attestry.operators.quantiles import exact_quantiles
 
 
 def fixed_domain(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
@@ -76,9 +77,12 @@ def histogram(df: DataFrame, column: str, edges: list[float], *by: str) -> DataF
 
 
 def percentiles(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """Count, extremes, mean, median and 95th percentile by group."""
     x = F.col(column).cast("double")
-    p = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.count(column).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), p[0].alias("p50"), p[1].alias("p95"), F.max(x).alias("max"))
+    rest = df.groupBy(*by).agg(F.count(column).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    q = exact_quantiles(df, column, [0.5, 0.95], *by).select(*[F.col(b).alias(f"_{b}") for b in by], "q")
+    both = rest.join(q, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or F.lit(True), "left")
+    return both.select(*by, "n", "min", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "max")
 
 
 def rate_with_normal_interval(df: DataFrame, flag: Column, *by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.quantiles import exact_quantiles
 from attestry.operators.ranks import in_turn, placed
 
 
@@ -14,8 +15,8 @@ def hash_rank(seed: str, key: str):
 
 def terciles(df: DataFrame, size: str) -> DataFrame:
     """Rows with short, medium or long, by the thirds of all sizes."""
-    cuts = df.agg(F.percentile(F.col(size).cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cut"))
-    both = df.crossJoin(F.broadcast(cuts))  # one row
+    cuts = exact_quantiles(df, size, [1 / 3, 2 / 3]).select(F.col("q").alias("_cut"))
+    both = df.join(F.broadcast(cuts), F.lit(True), "left")  # one row
     return both.withColumn("tercile", F.when(F.col(size) <= F.col("_cut")[0], "short").when(F.col(size) <= F.col("_cut")[1], "medium").otherwise("long")).drop("_cut")
 
 

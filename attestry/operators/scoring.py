@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,29 +65,56 @@ def spread_summary(df: DataFrame, value: str, least: float) -> DataFrame:
     return rest.join(F.broadcast(middle), F.lit(True), "left").select("n", "least", "mean", "upper_median", "below_share")
 
 
-def bootstrap(df: DataFrame, values: list[str], key: str, resamples: int, seed: int) -> DataFrame:
-    """Means of resamples with replacement: each row counts in a resample as often as a Poisson draw by hash says.
+#: Neighbouring rows that one task draws from, and tasks that draw from few of them.
+RANGE, TASKS = 65_536, 64
 
-    A row's draws depend on its key, the resample and the seed alone, so rows never
-    meet: every task adds up its own and only sums are shuffled.
+
+def draws_of(n: int, size: int, at: int, seed: int, resamples: int) -> np.ndarray:
+    """How many of each resample's n draws fall in range `at` of the ranges of `size` rows.
+
+    The ranges are the leaves of a tree; the draws of a node go to its left half by a
+    binomial whose randomness is the node's own, so that every task finds the same.
     """
-    lanes = 4  # draws that one digest gives
-    # a row becomes thousands of draws, so few rows have to be spread over all cores first
-    spread = df.select(key, *values).repartition(df.sparkSession.sparkContext.defaultParallelism)
-    draws = spread.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // lanes))).alias("_part"))
-    digests = draws.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(str(seed)), "_part", key)))
-
-    # a draw is eight hexadecimal digits, of a number of 32 bits; digits compare as the numbers do
-    bounds, cumulative, term = [], 0.0, math.exp(-1)
-    for k in range(1, 9):
-        cumulative += term
-        term /= k
-        bounds.append(f"{math.ceil(cumulative * 2**32):08x}")
-    uniform = digests.select("_part", *values, *[F.substring("_digest", 1 + 8 * lane, 8).alias(f"_u{lane}") for lane in range(lanes)])
-    weighed = uniform.select("_part", *values, *[sum(((F.col(f"_u{lane}") >= b).cast("int") for b in bounds), F.lit(0)).alias(f"_w{lane}") for lane in range(lanes)])
-    sums = weighed.groupBy("_part").agg(*[F.struct(F.sum(f"_w{lane}").alias("w"), *[F.sum(F.col(f"_w{lane}") * F.col(v)).alias(v) for v in values]).alias(f"_l{lane}") for lane in range(lanes)])
-    each = sums.select("_part", F.posexplode(F.array(*[f"_l{lane}" for lane in range(lanes)])).alias("_lane", "_s"))
-    return each.select((F.col("_part") * lanes + F.col("_lane")).alias("resample"), *[(F.col(f"_s.{v}") / F.col("_s.w")).alias(v) for v in values]).filter(F.col("resample") < resamples)
+    low, high = 0, -(-n // size)
+    draws = np.full(resamples, n, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rows = lambda a, b: min(b * size, n) - a * size
+        left = np.random.Generator(np.random.Philox(key=[seed, (low << 32) | high])).binomial(draws, rows(low, middle) / rows(low, high))
+        draws, low, high = (left, low, middle) if at < middle else (draws - left, middle, high)
+    return draws
+
+
+def bootstrap(df: DataFrame, values: list[str], key: str, resamples: int, seed: int, size: int | None = None) -> DataFrame:
+    """Means of `values` in resamples with replacement, each of exactly as many draws as there are rows; `draws` counts them.
+
+    Rows in the order of `key` are cut into ranges. Each range knows how many draws of a
+    resample it has; the 32-bit words of digests of seed, resample, range and a counter
+    say which of its rows they are. Rows stay in their range, only sums are shuffled.
+    """
+    size = size or RANGE
+    ranked = placed(df.select(F.col(key).alias("_key"), *[F.col(v).cast("double").alias(v) for v in values]), "_key")
+    n = ranked.count()
+    shares = max(1, TASKS // max(1, -(-n // size)))
+    ranges = ranked.groupBy(F.floor(F.col("place") / size).alias("_range")).agg(F.sort_array(F.collect_list(F.struct("place", *values))).alias("_rows"))  # at most `size` rows
+    tasks = ranges.select("_range", *[F.col(f"_rows.{v}").alias(v) for v in values], F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
+    columns = "resample long, draws long, " + ", ".join(f"`{v}` double" for v in values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (at, share) in enumerate(zip(batch.column("_range").to_pylist(), batch.column("_share").to_pylist(), strict=True)):
+                rows = np.stack([batch.column(v)[i].values.to_numpy(zero_copy_only=False) for v in values])
+                draws = draws_of(n, size, at, seed, resamples)
+                mine = np.arange(share, resamples, shares)
+                sums = np.zeros((len(values), len(mine)))
+                for j, b in enumerate(mine.tolist()):
+                    words = b"".join(hashlib.md5(b"%d:%d:%d:%d" % (seed, b, at, w), usedforsecurity=False).digest() for w in range(-(-int(draws[b]) // 4)))
+                    drawn = (np.frombuffer(words, dtype=">u4")[: draws[b]].astype(np.uint64) * np.uint64(rows.shape[1])) >> np.uint64(32)
+                    sums[:, j] = rows[:, drawn.astype(np.int64)].sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(draws[mine]), *map(pa.array, sums)], names=["resample", "draws", *values])
+
+    parts = tasks.repartition(TASKS, "_range", "_share").mapInArrow(run, columns)
+    return parts.groupBy("resample").agg(F.sum("draws").alias("draws"), *[(F.sum(v) / F.sum("draws")).alias(v) for v in values])
 
 
 def interval(resamples: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -9,6 +9,7 @@ from attestry import contracts as C
 from attestry.functions import dates, numbers, text
 from attestry.operators import aggregates as A
 from attestry.operators import dedupe, joins, sampling, scoring, stats
+from attestry.operators.quantiles import exact_quantiles
 from attestry.plans.tables import COMPANIES, REPLAYED, SCORED, companies, journal, scored, table
 from attestry.sources import sinks
 from attestry.streaming import journal as J
@@ -338,8 +339,10 @@ def monthly_series(spark, d):
 
 @query(f"WITH {COMPANIES} SELECT source, count(*) AS n, avg(confidence) AS mean, median(confidence::DOUBLE) AS median, quantile_cont(confidence::DOUBLE, 0.25) AS q1, quantile_cont(confidence::DOUBLE, 0.75) AS q3, avg((confidence <= 2)::INT::DOUBLE) AS low_share FROM companies GROUP BY 1")
 def confidence_stats(spark, d):
-    p = F.percentile(F.col("confidence").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return companies(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), p[1].alias("median"), p[0].alias("q1"), p[2].alias("q3"), F.avg((F.col("confidence") <= 2).cast("double")).alias("low_share"))
+    rows = companies(spark, d).select("source", "confidence")
+    q = exact_quantiles(rows, "confidence", [0.25, 0.5, 0.75], "source").drop("n")
+    rest = rows.groupBy("source").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.avg((F.col("confidence") <= 2).cast("double")).alias("low_share"))
+    return rest.join(q, "source").select("source", "n", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low_share")
 
 
 @query(f"WITH {SCORED}, e AS (SELECT unnest({C.HISTOGRAM_EDGES[:-1]})::DOUBLE AS low, unnest({C.HISTOGRAM_EDGES[1:]})::DOUBLE AS high, unnest(range(8))::INT AS bin) SELECT bin, low, high, count(doc_id) AS n FROM e LEFT JOIN scored ON confidence >= low AND confidence < high GROUP BY ALL")
@@ -396,6 +399,27 @@ def logistic(spark, d):
     return stats.logistic(rows, "dead", ["ai", "log_funding", "genai_era"])
 
 
+@query()
+def logistic_models(spark, d):
+    f = companies(spark, d).filter("dead OR survivor")
+    group = F.when(F.col("subclass").isin("1A", "1B", "1C"), "core").otherwise("applied")
+    rows = f.select(F.col("dead").cast("int").alias("died"), "ai", numbers.log_funding(F.col("funding")).alias("log_funding"), "era", F.col("category").alias("vertical"), "rad", group.alias("grouped"))
+    return stats.death_models(rows, "died", "ai", "log_funding", "era", "vertical", "rad", "grouped", top=3)
+
+
+@query(f"""
+WITH {COMPANIES}, c AS (SELECT rad, sum(dead::INT)::DOUBLE AS a, sum((NOT dead)::INT)::DOUBLE AS b FROM companies WHERE dead OR survivor GROUP BY 1),
+base AS (SELECT a AS a0, b AS b0 FROM c WHERE rad = 'RAD-NA'), t AS (SELECT sum(a) AS na, sum(b) AS nb, sum(a * ln(a / (a + b)) + b * ln(b / (a + b))) AS ll FROM c)
+SELECT 'rad[' || rad || ']' AS term, round(ln(a * b0 / (b * a0)), 7) AS coefficient, round(sqrt(1 / a + 1 / b + 1 / a0 + 1 / b0), 7) AS std_error, round(1 - ll / (na * ln(na / (na + nb)) + nb * ln(nb / (na + nb))), 7) AS pseudo_r2
+FROM c CROSS JOIN base CROSS JOIN t WHERE rad <> 'RAD-NA'
+""")
+def logistic_by_level(spark, d):
+    """A model of one factor, whose coefficients have a closed form."""
+    f = companies(spark, d).filter("dead OR survivor").select(F.col("dead").cast("int").alias("died"), "rad")
+    fitted = stats.logit_models(f, "died", {"rad": stats.Design(F.lit(True), stats.treatment(f, "rad", "RAD-NA"))})
+    return fitted.filter("term <> 'intercept'").select("term", *[F.round(c, 7).alias(c) for c in ("coefficient", "std_error", "pseudo_r2")])
+
+
 # scoring
 
 
@@ -429,8 +453,13 @@ def selective_curve(spark, d):
     return scoring.selective_curve(scored(spark, d), "confidence", "correct", "doc_id")
 
 
-_BOOT_W = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253])
-_BOOT = f"WITH {SCORED}, u AS (SELECT resample, correct, confidence, ('0x' || substr(md5('20260705:' || (resample // 4) || ':' || doc_id), 1 + 8 * (resample % 4)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored CROSS JOIN (SELECT unnest(range(10000)) AS resample)), b AS (SELECT resample, sum(({_BOOT_W}) * correct::INT)::DOUBLE / sum({_BOOT_W}) AS hit, sum(({_BOOT_W}) * (correct::INT - (confidence >= 0.5)::INT))::DOUBLE / sum({_BOOT_W}) AS gap FROM u GROUP BY 1) "
+_BOOT = f"""
+WITH {SCORED}, ranked AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n, correct, confidence FROM scored),
+drawn AS (
+  SELECT resample, (('0x' || substr(md5('20260705:' || resample || ':0:' || (draw // 4)), 1 + 8 * (draw % 4)::INT, 8))::BIGINT * n) >> 32 AS place
+  FROM (SELECT count(*) AS n FROM scored), (SELECT unnest(range(10000)) AS resample), LATERAL (SELECT unnest(range(n)) AS draw)),
+b AS (SELECT resample, avg(correct::INT::DOUBLE) AS hit, avg((correct::INT - (confidence >= 0.5)::INT)::DOUBLE) AS gap FROM drawn JOIN ranked USING (place) GROUP BY 1)
+"""
 
 
 def _resamples(spark, d):
