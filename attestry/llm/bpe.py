@@ -8,11 +8,13 @@ vocabulary and puts a run together by an ordered aggregate. Both act on the
 distinct pieces only: a text's ids are its pieces' ids in order, and a text's
 bytes are its pieces' bytes in order.
 
-A piece over LONG bytes takes the same way with more in a step: its pairs of minimum
-rank are contracted all at once, from the left, as far as none makes a pair of a
-lower rank, which would be next. Its steps are then about as many as the ranks that
-it merges, and a query is cut off after so many that its rows stay in memory; the
-next goes on from there (100,000 random letters: 2,330 steps, half a minute).
+A piece over LONG bytes is first taken apart. Tokens only grow, so two neighbours that
+no token of the vocabulary has inside it, one after the other, never meet: the piece
+falls into segments there, each contracted by the recursive query as a word is. While a
+segment is too long for that, arrays of its tokens contract the pairs of the least rank
+from the left, as many at once as leave no pair of that rank or a lower one that would
+be next. Memory grows with the piece's bytes, not with its steps: what a query makes is
+bounded (see the README for times).
 
 Defined results: a null text counts as empty; an empty text has no ids and the
 digest of no bytes; repeated rows give repeated results; other columns are
@@ -36,8 +38,12 @@ from attestry.llm.common import arrow_rows, read_table
 REMEMBERED = 250_000
 #: Bytes of text that are gathered before a query runs.
 GATHERED = 12_000_000
-#: Bytes of pieces in one query, the least of a long piece, and rows that a query over long pieces makes.
-QUERIED, LONG, MADE = 800_000, 300, 1_500_000
+#: Bytes of pieces in one query, and the least of a long piece.
+QUERIED, LONG = 800_000, 300
+#: Tokens of a segment that a query contracts, rows that such a query makes, and steps between looks for segments.
+SEGMENT, MADE, STEPS = 64, 1_500_000, 16
+#: Rank of a pair that is no token.
+NONE = 1 << 40
 
 _ENCODE = """
 WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
@@ -58,32 +64,6 @@ SELECT w, pos, tok FROM live JOIN (SELECT w, max(step) AS step FROM live GROUP B
 """
 #: Both ways at once: token rows in order, and joined with the vocabulary, their letters in order.
 _ROUND = "SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.letters, '' ORDER BY pos) AS letters FROM (" + _ENCODE + ") JOIN vocabulary v ON v.id = tok GROUP BY w ORDER BY w"
-#: Steps over long pieces: all pairs of minimum rank, every other one of a run of twins, up to the first after which a lower rank is next.
-_CONTRACT = """
-WITH RECURSIVE live(w, pos, tok, nxt, npos, step) AS (
-    SELECT w, pos, tok, nxt, npos, 0 FROM start_rows
-  UNION ALL
-    SELECT w, pos, tok, coalesce(lead(tok) OVER o, -1)::INT, coalesce(lead(pos) OVER o, -1)::INT, step + 1 FROM (
-      WITH hits AS (
-        SELECT l.w, l.pos, l.npos, m.rank, l.tok = l.nxt AS twin FROM live l JOIN merges m ON m.pair = (l.tok::BIGINT << 32) | l.nxt
-        QUALIFY m.rank = min(m.rank) OVER (PARTITION BY l.w)),
-      runs AS (
-        SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth, sum((before IS DISTINCT FROM pos)::INT) OVER (PARTITION BY w ORDER BY pos) AS run
-        FROM (SELECT *, lag(npos) OVER (PARTITION BY w ORDER BY pos) AS before FROM hits)),
-      stops AS (SELECT w, min(pos) AS stop FROM (
-          SELECT h.w, h.pos FROM hits h JOIN live r ON r.w = h.w AND r.pos = h.npos JOIN lower_next d ON d.rank = h.rank AND NOT d.is_left AND d.partner = r.nxt
-        UNION ALL
-          SELECT h.w, h.pos FROM hits h JOIN live x ON x.w = h.w AND x.npos = h.pos JOIN lower_next d ON d.rank = h.rank AND d.is_left AND d.partner = x.tok) GROUP BY w),
-      picks AS (
-        SELECT w, pos AS lpos, npos AS rpos, rank FROM runs LEFT JOIN stops USING (w)
-        WHERE nth = 1 OR (rank NOT IN (SELECT rank FROM one_by_one) AND (stop IS NULL OR pos <= stop))
-        QUALIFY NOT twin OR row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1)
-      SELECT l.w, l.pos, coalesce(p.rank, l.tok)::INT AS tok, l.step
-      FROM live l LEFT JOIN picks p ON p.w = l.w AND p.lpos = l.pos
-      WHERE l.step < {steps} AND l.w IN (SELECT w FROM picks) AND NOT EXISTS (SELECT 1 FROM picks q WHERE q.w = l.w AND q.rpos = l.pos))
-    WINDOW o AS (PARTITION BY w ORDER BY pos))
-SELECT w, pos, tok, nxt, npos, step FROM live JOIN (SELECT w, max(step) AS step FROM live GROUP BY w) USING (w, step) ORDER BY w, pos
-"""
 _DECODE = """
 SELECT w, string_agg(v.letters, '' ORDER BY t.pos) AS letters
 FROM token_rows t JOIN vocabulary v ON v.id = t.tok GROUP BY w ORDER BY w
@@ -111,17 +91,15 @@ class BpeTables:
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         ]
-        # merged tokens after which a pair of a lower rank may come: (rank, whether the partner is on the left, partner)
-        lower = {(part, side, other) for pair, rank in found for part, side, other in ((pair >> 32, False, pair & 0xFFFFFFFF), (pair & 0xFFFFFFFF, True, pair >> 32)) if rank < part}
-        one_by_one = {rank for pair, rank in found if (rank, False, pair >> 32) in lower or (rank, False, rank) in lower or (rank, True, rank) in lower}
+        self.pairs, first = np.unique(np.array([p for p, _ in found], dtype=np.int64), return_index=True)
+        self.pair_ranks = np.array([r for _, r in found], dtype=np.int64)[first]
+        self.inside: set[bytes] = set()
         # rows are bounded, so nothing needs a folder of the machine
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs = pa.table({"pair": pa.array([p for p, _ in found], pa.int64()), "rank": pa.array([r for _, r in found], pa.int64())})
         # a byte is held as the character of its code point, since string_agg takes no blobs
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "letters": pa.array([t.decode("latin-1") for t in ranks])})
-        nexts = pa.table({"rank": pa.array([x for x, _, _ in lower], pa.int32()), "is_left": pa.array([x for _, x, _ in lower], pa.bool_()), "partner": pa.array([x for _, _, x in lower], pa.int32())})
-        singly = pa.table({"rank": pa.array(sorted(one_by_one), pa.int32())})
-        for name, table in (("merges", pairs), ("vocabulary", words), ("lower_next", nexts), ("one_by_one", singly)):
+        for name, table in (("merges", pairs), ("vocabulary", words)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
@@ -150,15 +128,76 @@ class BpeTables:
         self.con.unregister(name)
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, NONE where they are no token together."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NONE)
+
+    def _apart(self, tok: np.ndarray) -> np.ndarray:
+        """Whether each token and the next can never be in one: no token has their bytes inside it."""
+        if not self.inside:
+            self.inside = {t[i:j] for t in self.ranks for i in range(len(t) - 1) for j in range(i + 2, len(t) + 1)}
+        key, of = np.unique((tok[:-1] << 32) | tok[1:], return_inverse=True)
+        apart = [self.token_bytes[k >> 32] + self.token_bytes[k & 0xFFFFFFFF] not in self.inside for k in key.tolist()]
+        return np.array(apart, dtype=bool)[of]
+
+    def _contracted(self, tok: np.ndarray) -> tuple[np.ndarray, bool]:
+        """`tok` after some steps, and whether any pair is left. A step takes pairs of the least rank, in the order in which single merges would."""
+        rank = self._ranks(tok[:-1], tok[1:])
+        for _ in range(STEPS):
+            least = int(rank.min()) if len(rank) else NONE
+            if least == NONE:
+                return tok, False
+            hits = np.flatnonzero(rank == least)
+            # of hits that share tokens every other one is taken
+            run = np.flatnonzero(np.append(True, np.diff(hits) > 1))
+            hits = hits[(np.arange(len(hits)) - np.repeat(run, np.diff(np.append(run, len(hits))))) % 2 == 0]
+            before = np.where(hits > 0, tok[hits - 1], -1)
+            before[1:][hits[1:] == hits[:-1] + 2] = least  # the hit before is merged by then
+            after = np.where(hits + 2 < len(tok), tok[np.minimum(hits + 2, len(tok) - 1)], -1)
+            merged = np.full(len(hits), least)
+            early = np.minimum(np.where(before >= 0, self._ranks(before, merged), NONE), np.where(after >= 0, self._ranks(merged, after), NONE)) <= least
+            if early.any():
+                hits = hits[: int(early.argmax()) + 1]
+            keep = np.ones(len(tok), dtype=bool)
+            keep[hits + 1] = False
+            tok = tok.copy()
+            tok[hits] = least
+            tok, rank = tok[keep], np.append(rank, NONE)[keep]
+            at = hits - np.arange(len(hits))  # places of the new tokens
+            for near in (at - 1, at):
+                near = near[(near >= 0) & (near < len(tok) - 1)]
+                rank[near] = self._ranks(tok[near], tok[near + 1])
+            rank[-1] = NONE
+            rank = rank[:-1]
+        return tok, True
+
     def _encode_long(self, piece: bytes) -> list[int]:
         """Ids of one piece of any length."""
-        rows = self._rows([piece])
-        while True:
-            steps = max(8, MADE // rows.num_rows)
-            rows = self._over("start_rows", rows, _CONTRACT.format(steps=steps))
-            if rows["step"][0].as_py() < steps:
-                return rows["tok"].to_pylist()
-            rows = rows.drop_columns(["step"])
+        tok, more = self.byte_rank[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64), True
+        while more:
+            starts = np.append(0, np.flatnonzero(self._apart(tok)) + 1)
+            lengths = np.diff(np.append(starts, len(tok)))
+            if lengths.max() <= SEGMENT:
+                return self._segments(tok, starts, lengths)
+            tok, more = self._contracted(tok)
+        return tok.tolist()
+
+    def _segments(self, tok: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[int]:
+        """Ids of segments in order, so many in a query as make no more rows in all their steps than MADE."""
+        part = np.cumsum(lengths * lengths) // (2 * MADE)
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(part) > 0)), len(starts))
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = tok[starts[a] : starts[b] if b < len(starts) else len(tok)].astype(np.int32)
+            w = np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b])
+            nxt = np.append(mine[1:], np.int32(-1))
+            nxt[np.append(w[1:] != w[:-1], True)] = -1
+            pos = np.arange(len(mine), dtype=np.int32)
+            rows = pa.table({"w": w, "pos": pos, "tok": mine, "nxt": nxt, "npos": pos + 1})
+            out += self._over("start_rows", rows, _ENCODE + "ORDER BY w, pos")["tok"].to_pylist()
+        return out
 
     def round_trip(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Each piece's ids as little-endian bytes, and what those ids decode to; pieces are not empty."""
@@ -166,7 +205,8 @@ class BpeTables:
         for i, piece in enumerate(pieces):
             if len(piece) > LONG:
                 ids = self._encode_long(piece)
-                out[i] = (np.array(ids, dtype="<u4").tobytes(), self.decode([ids])[0])
+                parts = [self.decode([ids[at : at + QUERIED // 4]])[0] for at in range(0, len(ids), QUERIED // 4)]
+                out[i] = (np.array(ids, dtype="<u4").tobytes(), b"".join(parts))
         short, size, part = [i for i, done in enumerate(out) if done is None], 0, []
         for at, i in enumerate(short):
             part.append(i)
