@@ -81,7 +81,7 @@ class _Slots:
         bits = max(4, int(1.5 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, self.EMPTY, dtype=np.uint64)
-        self.rows = np.zeros((1 << bits, rows.shape[1]), dtype=np.float32)
+        self.rows = np.zeros((1 << bits, rows.shape[1]))
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == self.EMPTY
