@@ -223,6 +223,28 @@ def without_archive_chrome(c: Column) -> Column:
     return F.regexp_replace(inline, r"(https?):/([^/])", "$1://$2")
 
 
+def archived_evidence(pages: DataFrame, url: str, raw: str, html: bool = True, budget: int = BUDGET) -> DataFrame:
+    """`pages` of an archive as those of the live site: their own addresses, without the archive's lines and links, and `lines` cleaned as live ones are.
+
+    Text comes as HTML or as plain lines.
+    """
+    text = html_text(F.col(raw)) if html else F.col(raw)
+    rest = [c for c in pages.columns if c not in (url, raw, "lines")]
+    bare = pages.select(*rest, unwrapped(F.col(url)).alias(url), without_archive_chrome(text).alias(raw))
+    lines = bare.select(*rest, url, signal_lines(F.col(raw)).alias("lines"))
+    keyed = lines.select("*", line_keys(F.col("lines")).alias("keys of lines"))
+    once = keyed.select(*rest, url, first_seen(F.col("lines"), F.col("keys of lines")).alias("lines"))
+    return once.select(*rest, url, within_budget(F.col("lines"), budget).alias("lines"))
+
+
+def parity(a: DataFrame, b: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of two versions that differ in a column or that one of them lacks: the key, which, and both values as JSON."""
+    shown = lambda side, c: F.to_json(F.struct(F.col(f"{side}.{c}").alias("v")), {"ignoreNullFields": "false"})
+    both = a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    said = F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.struct(F.lit(c).alias("column"), shown("a", c).alias("first"), shown("b", c).alias("second"))) for c in columns])
+    return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(said)).alias("d")).select(key, "d.*")
+
+
 def scope_pattern(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"([.\-+])", r"\\$1")
     return F.when(host != "", F.concat(F.lit(r"/web/\d+[a-z_]*/https?:/+(?:www\.)?"), host, F.lit(".*"))).otherwise("")

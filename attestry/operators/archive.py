@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators.ranks import placed
+from attestry.operators.ranks import placed, running
 
 
 def union_sources(*sources: tuple[str, DataFrame]) -> DataFrame:
@@ -135,9 +135,10 @@ def outage_waits(failures: DataFrame, key: str, line: str, first: float = 60.0,
 
 def heartbeats(log: DataFrame, by: str, ts: str, line: str, every: int) -> DataFrame:
     """After every so many rows of a job: rows done, rows a minute since its start, and minutes to go at that rate."""
-    w = Window.partitionBy(by).orderBy(line)
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    rows = log.withColumns({"done": F.row_number().over(w), "_s": seconds, "_first": F.min(seconds).over(w), "_all": F.count("*").over(Window.partitionBy(by))})
+    placed_rows = running(log.withColumn("_s", seconds), by, line, F.col("_s"), "done", "_first")
+    sizes = log.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_all"))
+    rows = placed_rows.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
     rate = F.try_divide(F.col("done") * 60.0, F.col("_s") - F.col("_first"))
     return rows.filter((F.col("done") % every == 0) | (F.col("done") == F.col("_all"))).select(by, F.col("done").cast("long").alias("done"), rate.alias("per_minute"), F.try_divide(F.col("_all") - F.col("done"), rate).alias("minutes_left"))
 

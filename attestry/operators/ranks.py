@@ -57,6 +57,22 @@ def placed_by(df: DataFrame, group: str, *order: Column | str, name: str = "plac
     return rows.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_group", "_first")
 
 
+def running(df: DataFrame, group: str, order: str, value: Column, place: str = "place", least: str = "least") -> DataFrame:
+    """`df` with each row's place in its group's order, from 1, and the least value up to it; a group may hold any share of the rows.
+
+    What the ranges before have of a group is added to the row's own range.
+    """
+    ranges = df.withColumn("_value", value).repartitionByRange(_width(df.sparkSession), F.col(group), order)
+    held = checkpointed(ranges.withColumn("_range", F.spark_partition_id()))
+    parts = held.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_part")).agg(F.count("*").alias("_n"), F.min("_value").alias("_m"))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = parts.select("_group", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.min("_m").over(earlier).alias("_m"))
+    here = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = held.withColumns({place: F.count("*").over(here), least: F.min("_value").over(here)})
+    both = own.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_part")))
+    return both.withColumns({place: F.col(place) + F.col("_n"), least: F.least(least, "_m")}).drop("_value", "_range", "_group", "_part", "_n", "_m")
+
+
 def summed_to(df: DataFrame, place: str, value: Column, cuts: DataFrame, cut: str) -> DataFrame:
     """`cuts` (a few rows) with the sum of `value` over the rows whose place is under each cut, as `total`.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.folds import folded, smoothing
@@ -11,9 +11,29 @@ from attestry.operators.folds import folded, smoothing
 
 def utilisation(df: DataFrame, ts: str, tokens: str, rpm: int, tpm: int, *by: str, seconds: int = 60) -> DataFrame:
     """Requests and tokens of the trailing window at each request, as shares of their limits, and the larger share."""
-    w = Window.partitionBy(*by).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-(seconds - 1), 0)
-    r, t = F.count("*").over(w) / rpm, F.sum(tokens).over(w) / tpm
-    return df.withColumn("rpm_share", r).withColumn("tpm_share", t).withColumn("utilisation", F.greatest("rpm_share", "tpm_share"))
+    marked = df.withColumn("_second", F.unix_seconds(F.col(ts).cast("timestamp")))
+    counted = trailing(marked, "_second", seconds, {"_calls": F.count("*"), "_tokens": F.sum(tokens)}, *by)
+    shares = counted.withColumn("rpm_share", F.col("_calls") / rpm).withColumn("tpm_share", F.col("_tokens") / tpm).withColumn("utilisation", F.greatest("rpm_share", "tpm_share"))
+    return shares.drop("_second", "_calls", "_tokens")
+
+
+def trailing(df: DataFrame, second: str, seconds: int, sums: dict[str, Column], *by: str, windows: int = 4) -> DataFrame:
+    """`df` with aggregates over the rows of the last `seconds` seconds up to each row's own, of the same `by`.
+
+    Time is cut into spells of a few windows. A row in the last window's length of a
+    spell is copied to the next one, where it counts but is no result, so that a spell is
+    worked out by itself and a group of any size is spread over as many tasks as it has
+    spells. Rows of a null time have null aggregates.
+    """
+    spell = seconds * windows
+    own = F.floor(F.col(second) / spell)
+    late = F.pmod(F.col(second), F.lit(spell)) >= spell - (seconds - 1)
+    spells = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    copied = df.filter(F.col(second).isNotNull()).select("*", own.alias("_own"), F.explode(spells).alias("_spell"))
+    w = Window.partitionBy(*by, "_spell").orderBy(second).rangeBetween(-(seconds - 1), 0)
+    found = copied.withColumns({name: c.over(w) for name, c in sums.items()}).filter(F.col("_own") == F.col("_spell")).drop("_own", "_spell")
+    rest = df.filter(F.col(second).isNull()).withColumns({name: F.lit(None) for name in sums})
+    return found.unionByName(rest)
 
 
 def adaptive_concurrency(df: DataFrame, key: str, line: str, outcome: str, start: int = 128, most: int = 1024) -> DataFrame:
