@@ -101,9 +101,9 @@ def request_json(model: str, effort: str, instructions: Column, message: Column)
     return F.to_json(F.struct(F.lit(model).alias("model"), F.struct(F.lit(effort).alias("effort")).alias("reasoning"), F.array(turn("system", instructions), turn("user", message)).alias("input")))
 
 
-def request_fingerprint(settings: dict[str, str]) -> Column:
-    """SHA-256 of settings by name, as compact JSON, whatever their order."""
-    pairs = F.array(*[F.array(F.lit(k), F.lit(settings[k])) for k in sorted(settings)])
+def request_fingerprint(settings: dict[str, str | Column]) -> Column:
+    """SHA-256 of settings by name, texts or columns, as compact JSON, whatever their order."""
+    pairs = F.array(*[F.array(F.lit(k), settings[k] if isinstance(settings[k], Column) else F.lit(settings[k])) for k in sorted(settings)])
     return F.sha2(F.to_json(pairs), 256)
 
 

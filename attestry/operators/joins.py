@@ -66,6 +66,14 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     return both.filter("_side = 1").select("_row.*", F.col("_found").alias(value))
 
 
+def require_ids(df: DataFrame, ids: list, key: str) -> None:
+    """Fails if the table lacks any of a few ids, naming them."""
+    there = {r[0] for r in df.select(key).filter(F.col(key).isin(ids)).distinct().collect()}  # at most as many as asked for
+    lost = [i for i in ids if i not in there]
+    if lost:
+        raise ValueError(f"missing {key}: {lost}")
+
+
 def in_order(df: DataFrame, ids: list, key: str) -> DataFrame:
     """Rows of the ids asked for, with their place in the list."""
     asked = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"place int, {key} {df.schema[key].dataType.simpleString()}")

@@ -22,6 +22,21 @@ def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(gold).alias("gold"), F.coalesce(F.col(pred), F.lit("__missing__")).alias("pred")).agg(F.count("*").alias("n"))
 
 
+def paired(gold: DataFrame, run: DataFrame, baseline: DataFrame, key: str, label: str, pred: str) -> DataFrame:
+    """(key, run, baseline): whether each of two runs has each gold row right; a row that one of them lacks fails, as does one that is there twice."""
+    one = lambda df, name: df.groupBy(F.col(key).alias(f"_{name}")).agg(F.count("*").alias(f"_n_{name}"), F.first(pred).alias(name))
+    both = gold.join(one(run, "run"), F.col(key) == F.col("_run"), "left").join(one(baseline, "baseline"), F.col(key) == F.col("_baseline"), "left")
+    bad = (F.coalesce("_n_run", F.lit(0)) != 1) | (F.coalesce("_n_baseline", F.lit(0)) != 1)
+    right = lambda c: F.when(bad, F.raise_error(F.concat(F.lit("runs are not paired at "), F.col(key).cast("string")))).otherwise(F.coalesce(F.col(c) == F.col(label), F.lit(False)))
+    return both.select(key, right("run").alias("run"), right("baseline").alias("baseline"))
+
+
+def paired_accuracy(pairs: DataFrame) -> DataFrame:
+    """Accuracies of paired runs, their difference, and the rows that only one of them has right."""
+    a, b = F.col("run").cast("double"), F.col("baseline").cast("double")
+    return pairs.agg(F.count("*").alias("n"), F.avg(a).alias("run"), F.avg(b).alias("baseline"), F.avg(a - b).alias("delta"), F.count_if(F.col("run") & ~F.col("baseline")).alias("only_run"), F.count_if(F.col("baseline") & ~F.col("run")).alias("only_baseline"))
+
+
 def class_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """F1 of every label of gold or prediction, from the confusion counts."""
     c = confusion(df, gold, pred)

@@ -108,11 +108,11 @@ def repeat_rows(spark, d):
     return R.with_repeats(rows, "cell", "value", "run")
 
 
-@query("""SELECT doc_id, concat_ws(':', doc_id, 'pass_a', md5(text)) AS request_key, '{"model":"small","reasoning":{"effort":"low"},"input":[{"role":"system","content":[{"type":"input_text","text":"Classify."}]},{"role":"user","content":[{"type":"input_text","text":"' || lang || '"}]}]}' AS request, sha256('[["effort","low"],["model","small"],["prompt","Classify."]]') AS fingerprint FROM documents""")
+@query("""SELECT doc_id, concat_ws(':', doc_id, 'pass_a', md5(text)) AS request_key, '{"model":"small","reasoning":{"effort":"low"},"input":[{"role":"system","content":[{"type":"input_text","text":"Classify."}]},{"role":"user","content":[{"type":"input_text","text":"' || lang || '"}]}]}' AS request, sha256('[["effort","low"],["model","small"],["prompt","Classify."],["schema","' || md5(source) || '"]]') AS fingerprint FROM documents""")
 def requests(spark, d):
     docs = table(spark, d, "documents")
     key = R.idempotency_key(F.col("doc_id").cast("string"), F.lit("pass_a"), F.md5("text"))
-    settings = {"model": "small", "effort": "low", "prompt": "Classify."}
+    settings = {"schema": F.md5("source"), "model": "small", "effort": "low", "prompt": "Classify."}
     return docs.select("doc_id", key.alias("request_key"), R.request_json("small", "low", F.lit("Classify."), F.col("lang")).alias("request"), R.request_fingerprint(settings).alias("fingerprint"))
 
 
@@ -137,11 +137,11 @@ def combined_cost(spark, d):
     return R.cell_cost(rows, "event_type", "first", "second", "is_banked")
 
 
-@query("SELECT user_id, arg_max(strftime(ts, '%Y-%m-%d'), event_id) AS live_date, arg_min(strftime(ts, '%Y-%m-%d'), event_id) AS archive_date FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+@query("SELECT user_id, arg_max(strftime(ts, '%Y-%m-%d'), event_id) FILTER (event_type <> 'error') AS live_date, arg_min(strftime(ts, '%Y-%m-%d'), event_id) AS archive_date FROM events WHERE event_id % 4 <> 0 GROUP BY 1 HAVING bool_or(event_type <> 'error')")
 def snapshot_dates(spark, d):
     e = table(spark, d, "events").filter("event_id % 4 <> 0")
-    rows = e.select("user_id", "event_id", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("fetched"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
-    live = files.snapshot_dates(rows, "user_id", F.lit(True), "fetched", "event_id").withColumnRenamed("snapshot_date", "live_date")
+    rows = e.select("user_id", "event_id", "event_type", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("fetched"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
+    live = files.snapshot_dates(rows, "user_id", F.col("event_type") != "error", "fetched", "event_id").withColumnRenamed("snapshot_date", "live_date")
     return live.join(files.archive_dates(rows, "user_id", "stamp", "event_id").withColumnRenamed("snapshot_date", "archive_date"), "user_id")
 
 

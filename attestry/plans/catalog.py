@@ -109,10 +109,9 @@ def cohort_assignment(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.cohort_of(shown, "1998-03-14").alias("cohort"), dates.founded_month(shown).alias("founded"))
 
 
-@query("SELECT CASE WHEN year(o_orderdate) <= 1996 THEN '<=1996' ELSE year(o_orderdate)::VARCHAR END AS bucket, count(*) AS n, avg((o_orderstatus = 'F')::INT::DOUBLE) AS rate, 1.96 * sqrt(avg((o_orderstatus = 'F')::INT::DOUBLE) * (1 - avg((o_orderstatus = 'F')::INT::DOUBLE)) / count(*)) AS half_width FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN year(o_orderdate) <= 1995 THEN '<=2018' WHEN year(o_orderdate) >= 2001 THEN '2024+' ELSE (year(o_orderdate) + 23)::VARCHAR END AS bucket, count(*) AS n, avg((o_orderstatus = 'F')::INT::DOUBLE) AS rate, 1.96 * sqrt(avg((o_orderstatus = 'F')::INT::DOUBLE) * (1 - avg((o_orderstatus = 'F')::INT::DOUBLE)) / count(*)) AS half_width FROM orders GROUP BY 1")
 def founded_bucket_counts(spark, d):
-    y = F.year("o_orderdate")
-    rows = table(spark, d, "orders").withColumn("bucket", F.when(y <= 1996, "<=1996").otherwise(y.cast("string")))
+    rows = table(spark, d, "orders").withColumn("bucket", dates.founded_bucket(F.add_months("o_orderdate", 12 * 23)))  # orders play companies founded 23 years later
     return A.rate_with_normal_interval(rows, F.col("o_orderstatus") == "F", "bucket")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import text, validated
+from attestry.operators import scoring
 from attestry.plans.catalog import query
-from attestry.plans.tables import REPLAYED, journal, table
-from attestry.sources import publication
+from attestry.plans.tables import REPLAYED, SCORED, journal, scored, table
+from attestry.sources import gates, publication
 from attestry.streaming import journal as J
 
 #: Contract of an event's properties.
@@ -54,3 +55,36 @@ FROM customer LEFT JOIN replayed ON company = c_custkey WHERE completed_line IS
 def run_failures(spark, d):
     """What a run still lacks, company by company."""
     return publication.failures(table(spark, d, "customer").select(F.col("c_custkey").alias("company")), J.replay(journal(spark, d)), "company")
+
+
+_FINISHED = "bool_or(event_type = 'purchase') AS succeeded, arg_max(event_type = 'error', event_id) AS again"
+
+
+@query(f"SELECT user_id, succeeded FROM (SELECT user_id, {_FINISHED} FROM events WHERE event_id % 3 = 0 GROUP BY 1) WHERE succeeded OR NOT again")
+def finished_ids(spark, d):
+    """Users whose log needs no further call."""
+    log = table(spark, d, "events").filter("event_id % 3 = 0")
+    return gates.finished_ids(log, "user_id", "event_id", F.col("event_type") == "purchase", F.col("event_type") == "error")
+
+
+@query("""
+WITH s AS (SELECT user_id, arg_min(event_type, event_id) AS kind, arg_max(event_type, event_id) AS kind_now, arg_min(props->>'$.k', event_id) AS k, arg_max(props->>'$.k', event_id) AS k_now FROM events GROUP BY 1)
+SELECT user_id, 'kind' AS field, kind AS was, kind_now AS now FROM s WHERE kind <> kind_now UNION ALL SELECT user_id, 'k', k, k_now FROM s WHERE k <> k_now
+""")
+def resume_audit(spark, d):
+    """Settings that changed between a user's first and last event."""
+    e = table(spark, d, "events")
+    settings = F.map_from_arrays(F.array(F.lit("kind"), F.lit("k"), F.lit("noise")), F.array("event_type", F.get_json_object("props", "$.k"), F.col("event_id").cast("string")))
+    both = e.groupBy("user_id").agg(F.min_by(settings, "event_id").alias("was"), F.max_by(settings, "event_id").alias("now"))
+    return gates.changed_settings(both, "was", "now", ["kind", "k", "absent"], "user_id")
+
+
+@query(f"""
+WITH {SCORED}, p AS (SELECT doc_id, gold = (n_chars >= 600)::INT::VARCHAR AS a, gold = (n_chars >= 300)::INT::VARCHAR AS b FROM scored)
+SELECT count(*) AS n, avg(a::INT::DOUBLE) AS run, avg(b::INT::DOUBLE) AS baseline, avg(a::INT::DOUBLE - b::INT::DOUBLE) AS delta, count(*) FILTER (a AND NOT b) AS only_run, count(*) FILTER (b AND NOT a) AS only_baseline FROM p
+""")
+def paired_runs(spark, d):
+    """Two runs over the same gold rows: their accuracies, and the rows that only one has right."""
+    rows = scored(spark, d)
+    run = lambda least: rows.select("doc_id", (F.col("n_chars") >= least).cast("int").cast("string").alias("pred"))
+    return scoring.paired_accuracy(scoring.paired(rows.select("doc_id", "gold"), run(600), run(300), "doc_id", "gold", "pred"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -81,6 +83,20 @@ def replace_folder(rows: DataFrame, path: str) -> None:
     store.delete(place(old), True)
 
 
+def archive_run(spark: SparkSession, run: str, archive: str) -> int:
+    """Copies a run's folder under the next number of an archive and tells it; the copy shows under its number only once it is whole."""
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    conf = spark._jsc.hadoopConfiguration()
+    store = place(archive).getFileSystem(conf)
+    store.mkdirs(place(archive))
+    taken = [int(f.getPath().getName()) for f in store.listStatus(place(archive)) if f.getPath().getName().isdigit()]
+    number, beside = max(taken, default=0) + 1, place(f"{archive}/.{uuid.uuid4().hex}")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(place(run).getFileSystem(conf), place(run), store, beside, False, conf)
+    if store.exists(place(f"{archive}/{number}")) or not store.rename(beside, place(f"{archive}/{number}")):
+        raise OSError(f"{archive}/{number} is there already")
+    return number
+
+
 def publish_run(rows: DataFrame, expected: int, folder: str) -> bool:
     """Writes `in_progress` always and `final` only when every expected row is complete; else a final of before goes."""
     replace_folder(rows, f"{folder}/in_progress")
