@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch, arrow_rows, read_table
 
-#: Characters of text that are gathered before a query runs, chunks that a worker remembers between them, and token rows in one query.
-GATHERED, REMEMBERED, QUERIED = 6_000_000, 500_000, 300_000
+#: Characters of text that are gathered before chunks are learned, chunks that a worker remembers, and token rows in one query.
+GATHERED, REMEMBERED, QUERIED = 3_000_000, 400_000, 150_000
+#: Chunks that are encoded and aligned together; a tokenizer's result takes some hundreds of bytes a token.
+TOGETHER = 30_000
 
 #: White space that starts a chunk, and other characters that some tokenizer may take for white space or join to what is before them.
 _CUT, _UNSURE = " \n\t", "\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿"
@@ -103,8 +105,16 @@ class Aligner:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(new), TOGETHER):
+            self._learn(new[at : at + TOGETHER])
+        if new:
+            counts, pairs, sizes = zip(*self.parts, strict=True)
+            self.counts = np.concatenate([self.counts, *counts])
+            self.pairs = np.concatenate([self.pairs, *pairs])
+            self.pairs_at = np.concatenate([self.pairs_at, self.pairs_at[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _learn(self, new: list[str]) -> None:
         a = self._first_ids(new)
         # the tokenizer puts a space before what it is given, unless that is empty: the chunk's own, or one that a line end keeps apart
         spaced = [len(c) > 1 and c[0] == " " for c in new]
@@ -122,9 +132,7 @@ class Aligner:
         self.known.update((c, at + i) for i, c in enumerate(new))
         texts = iter(groups)
         self.groups += [next(texts) if ok else "" for ok in whole]
-        self.counts = np.concatenate([self.counts, counts])
-        self.pairs = np.concatenate([self.pairs, *pairs])
-        self.pairs_at = np.concatenate([self.pairs_at, self.pairs_at[-1] + np.cumsum(sizes)])
+        self.parts.append((counts, np.concatenate([np.zeros(0, dtype=np.int64), *pairs]), sizes))
 
     def _first_ids(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk under the first vocabulary; those that end in no white space are encoded as one text."""
