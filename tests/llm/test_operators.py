@@ -162,6 +162,25 @@ def test_licenses_equal_sql(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_tags_and_published_headers(spark):
+    """Expressions of tags, texts on one line, and headers with version numbers after a full stop."""
+    gnu = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+    cases = [
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND ISC\nMore", "MIT,GPL-2.0,ISC"), ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0"),
+        ("SPDX-License-Identifier: LGPL-3.0+ and of course more", "LGPL-3.0"), ("SPDX-License-Identifier: Nobody-1.0", ""), ("SPDX-License-Identifier: MIT", "MIT"), ("spdx-license-identifier: cc0-1.0.", "CC0-1.0"), ("SPDX-License-Identifier:", ""),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MPL-2.0", "MIT,MPL-2.0"), (mit, "MIT"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("Copyright (c) 2004 X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        (gnu.format("library", "Lesser", "2.1"), "LGPL-2.1"), (gnu.format("program", "Lesser", "3"), "LGPL-3.0"), (gnu.format("program", "Affero", "3"), "AGPL-3.0"), (gnu.format("program", "", "3"), "GPL-3.0"),
+        ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "CC0-1.0"),
+        ("Released under the MIT License. 3 apples", "MIT"), ("No licence here: none.", ""),
+    ]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [(t, got[i].licenses) for i, (t, _) in enumerate(cases)] == cases
+    assert got[9].sentence_ids == "mit.grant mit.notice" and got[10].sentence_ids == "mpl.head mpl.copy"
+
+
 def test_whole_wrapped_licenses(spark):
     mit = """Copyright (c) 2020 Someone
 
