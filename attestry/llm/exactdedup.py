@@ -3,9 +3,9 @@
 Each task normalises its rows, chains equal texts by comparing bytes and writes
 one index page row per document to the shared folder; only the first row of a
 text in a task, its head, carries the bytes, with the count and the best member
-of its chain. A histogram of leading key bits lays out the directory: a bucket
-over capacity is split by one more bit, doubling the directory where its depth
-was reached. Owner tasks take whole buckets (key ranges), chain heads whose
+of its chain. Heads are counted by leading key bits, and the directory is grown from
+these counts: a bucket over capacity is split by one more bit, doubling the directory's
+array where its depth was reached. Owner tasks take whole buckets (key ranges), chain heads whose
 64-bit keys collide and compare their bytes, and return what stays for each
 head. Members find their head's result by its id, so a text with a third of all
 rows costs one head per task and no task meets its members.
@@ -36,22 +36,65 @@ CAPACITY = 2048
 _PAGE = "doc_id long, head_id long, prefix int, key long, text_sha256 string, body binary, members long, best_chars long, best_id long"
 
 
+class Directory:
+    """An extendible-hash directory: an array with a place for each value of the leading `depth` bits, and the bucket that each place leads to.
+
+    Several places lead to one bucket while that needs fewer bits. A bucket over
+    capacity is split by its next bit; if it has as many bits as the array, the array
+    doubles first. Buckets hold counts of heads by cell, a cell being MAX_DEPTH bits;
+    one cell is never split.
+    """
+
+    def __init__(self, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH):
+        self.capacity, self.max_depth = capacity, max_depth
+        self.depth, self.places = 0, [0]
+        self.depths: list[int] = [0]
+        self.cells: list[dict[int, int]] = [{}]
+        self.sizes: list[int] = [0]
+
+    def insert(self, cell: int, heads: int) -> None:
+        bucket = self.places[cell >> (self.max_depth - self.depth)]
+        self.cells[bucket][cell] = self.cells[bucket].get(cell, 0) + heads
+        self.sizes[bucket] += heads
+        # a bucket was within capacity before, so only the half with this cell can be over it
+        while self.sizes[bucket] > self.capacity and self.depths[bucket] < self.max_depth:
+            self._split(bucket, cell)
+            bucket = self.places[cell >> (self.max_depth - self.depth)]
+
+    def _split(self, bucket: int, cell: int) -> None:
+        if self.depths[bucket] == self.depth:
+            self.places = [p for p in self.places for _ in range(2)]
+            self.depth += 1
+        self.depths[bucket] += 1
+        bit = self.max_depth - self.depths[bucket]
+        moved = {c: n for c, n in self.cells[bucket].items() if c >> bit & 1}
+        self.cells[bucket] = {c: n for c, n in self.cells[bucket].items() if not c >> bit & 1}
+        self.sizes[bucket] = sum(self.cells[bucket].values())
+        self.depths.append(self.depths[bucket])
+        self.cells.append(moved)
+        self.sizes.append(sum(moved.values()))
+        # the upper half of the places that led to the bucket
+        low = cell >> (bit + 1) << (bit + 1)
+        first, last = low + (1 << bit) >> (self.max_depth - self.depth), low + (2 << bit) - 1 >> (self.max_depth - self.depth)
+        self.places[first : last + 1] = [len(self.depths) - 1] * (last + 1 - first)
+
+    def buckets(self) -> list[tuple[int, int, int]]:
+        """(first cell, last cell, depth) of each bucket, in order."""
+        out, at = [], 0
+        while at < len(self.places):
+            depth = self.depths[self.places[at]]
+            span = 1 << (self.depth - depth)
+            out.append((at << (self.max_depth - self.depth), (at + span << (self.max_depth - self.depth)) - 1, depth))
+            at += span
+        return out
+
+
 def build_directory(histogram: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
-    """Buckets (first prefix, last prefix, depth), from counts by max_depth leading bits."""
-    counts = [0] * ((1 << max_depth) + 1)
-    for prefix, n in histogram.items():
-        counts[prefix + 1] += n
-    for i in range(1, len(counts)):
-        counts[i] += counts[i - 1]
-    done, open_ = [], [(0, 0)]
-    while open_:
-        bits, depth = open_.pop()
-        first, last = bits << (max_depth - depth), ((bits + 1) << (max_depth - depth)) - 1
-        if counts[last + 1] - counts[first] > capacity and depth < max_depth:
-            open_ += [(bits * 2, depth + 1), (bits * 2 + 1, depth + 1)]
-        else:
-            done.append((first, last, depth))
-    return sorted(done)
+    """Buckets (first cell, last cell, depth) of a directory after all heads, counted by cell, have gone in."""
+    directory = Directory(capacity, max_depth)
+    for cell, heads in histogram.items():
+        directory.insert(cell, heads)
+    return directory.buckets()
 
 
 def _before(chars: int, doc_id: int | None, best_chars: int, best_id: int | None) -> bool:

@@ -452,6 +452,28 @@ def test_exact_groups_equal_sql(spark, docs, empty):
     assert directory[0][0] == 0 and directory[-1][1] == 65535 and all(b[0] == a[1] + 1 for a, b in itertools.pairwise(directory))
 
 
+def test_directory_doubles_and_buckets_split():
+    """Every bucket is within capacity or a single cell, its sibling would not fit with it, and the array leads to it from all of its cells."""
+    r = random.Random(12)
+    for capacity, cells in ((60, {0: 50, 1: 50, 60000: 5}), (10, {i: 3 for i in range(64)}), (25, {r.randrange(256): r.randint(1, 30) for _ in range(120)}), (5, {7: 1000}), (5, {})):
+        depth = 8 if max(cells, default=0) < 256 else 16
+        directory = exactdedup.Directory(capacity, depth)
+        for cell, n in cells.items():
+            directory.insert(cell, n)
+        buckets = directory.buckets()
+        assert buckets[0][0] == 0 and buckets[-1][1] == (1 << depth) - 1 and all(b[0] == a[1] + 1 for a, b in itertools.pairwise(buckets))
+        assert len(directory.places) == 1 << directory.depth and directory.depth == max(d for _, _, d in buckets)
+        inside = lambda a, b, cells=cells: sum(n for c, n in cells.items() if a <= c <= b)
+        for first, last, d in buckets:
+            assert last - first + 1 == 1 << (depth - d) and (inside(first, last) <= capacity or d == depth)
+            if d:
+                span = 1 << (depth - d + 1)
+                assert inside(first // span * span, first // span * span + span - 1) > capacity
+            for cell in range(first, min(last, first + 5) + 1):
+                bucket = directory.places[cell >> (depth - directory.depth)]
+                assert directory.depths[bucket] == d and directory.sizes[bucket] == inside(first, last)
+
+
 def slow_ppm(learned: list[bytes], text: bytes, order: int = 5) -> float:
     """log10 P of a text: one symbol at a time, contexts longest first, with sets of excluded symbols."""
     seen: dict[tuple, Counter] = {}
