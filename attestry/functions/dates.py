@@ -46,6 +46,15 @@ def stamp14(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("yyyyMMddHHmmss"))
 
 
+def iso_time(c: Column) -> Column:
+    """An ISO date and time; one without an offset is UTC, whatever the session's zone; null for anything else."""
+    s = F.trim(c)
+    shaped = F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?([Zz]|[+-]\d{2}:?\d{2})?$"))
+    zoned = F.when(F.regexp_like(s, F.lit(r"([Zz]|[+-]\d{2}:?\d{2})$")), F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(s, F.lit("Z")))
+    seconds = F.regexp_replace(F.upper(zoned), r"([T ]\d{2}:\d{2})(?=[Z+-])", "$1:00")
+    return F.when(shaped, seconds.try_cast("timestamp"))
+
+
 def day_gap(a: Column, b: Column) -> Column:
     """Absolute value of the whole days from b to a, rounded down first."""
     return F.abs(F.floor((F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400))

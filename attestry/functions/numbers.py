@@ -68,5 +68,11 @@ def canonical_digest(names: list[str], columns: list[Column]) -> Column:
     return F.sha2(F.to_json(pairs), 256)
 
 
+def confidence_text(c: Column) -> Column:
+    """A confidence as text, blank for null; fails outside 0 to 1."""
+    bad = F.raise_error(F.concat(F.lit("confidence "), c.cast("string")))
+    return F.when(c.isNull(), "").when(F.isnan(c) | ~c.between(0.0, 1.0), bad).otherwise(c.cast("string"))
+
+
 def short_identity(*parts: Column, size: int = 12) -> Column:
     return F.substring(F.sha1(F.concat_ws("\u001f", *parts).cast("binary")), 1, size)

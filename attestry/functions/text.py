@@ -245,6 +245,13 @@ def parity(a: DataFrame, b: DataFrame, key: str, *columns: str) -> DataFrame:
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(said)).alias("d")).select(key, "d.*")
 
 
+def prompt(template: str, block: str, placeholder: str = "{family_block}") -> str:
+    """A template with its one placeholder filled; fails if it has none or several."""
+    if template.count(placeholder) != 1:
+        raise ValueError(f"the template has {template.count(placeholder)} of {placeholder}")
+    return template.replace(placeholder, block)
+
+
 def scope_pattern(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"([.\-+])", r"\\$1")
     return F.when(host != "", F.concat(F.lit(r"/web/\d+[a-z_]*/https?:/+(?:www\.)?"), host, F.lit(".*"))).otherwise("")

@@ -73,6 +73,18 @@ def running(df: DataFrame, group: str, order: str, value: Column, place: str = "
     return both.withColumns({place: F.col(place) + F.col("_n"), least: F.least(least, "_m")}).drop("_value", "_range", "_group", "_part", "_n", "_m")
 
 
+def summed_before(df: DataFrame, order: str, value: Column, place: str = "place", total: str = "total") -> DataFrame:
+    """`df` with each row's place in the order of the whole table, from 0, and the sum of `value` over the rows before it (0 for none, nulls count as 0)."""
+    held = checkpointed(df.withColumn("_value", F.coalesce(value, F.lit(0))).repartitionByRange(_width(df.sparkSession), order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy(F.col("_range").alias("_part")).agg(F.count("*").alias("_n"), F.sum("_value").alias("_s"))
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))  # one row a range
+    here = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = held.withColumns({place: F.count("*").over(here), total: F.coalesce(F.sum("_value").over(here), F.lit(0))})
+    both = own.join(F.broadcast(parts), F.col("_range") == F.col("_part"))
+    return both.withColumns({place: F.col(place) + F.col("_n"), total: F.col(total) + F.col("_s")}).drop("_value", "_range", "_part", "_n", "_s")
+
+
 def summed_to(df: DataFrame, place: str, value: Column, cuts: DataFrame, cut: str) -> DataFrame:
     """`cuts` (a few rows) with the sum of `value` over the rows whose place is under each cut, as `total`.
 

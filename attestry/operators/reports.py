@@ -158,6 +158,11 @@ def first_of_route(events: DataFrame, route: str, line: str) -> DataFrame:
     return events.groupBy(route).agg(F.min(line).alias("first_line"), F.count("*").alias("calls"))
 
 
+def first_blocks(runs: DataFrame, model: str, ordinal: str, block: str) -> DataFrame:
+    """The first recorded block of each model; runs without one do not count."""
+    return runs.filter(F.col(block).isNotNull()).groupBy(model).agg(F.min_by(block, ordinal).alias(block))
+
+
 def next_number(registry: DataFrame, files: DataFrame, number: str) -> DataFrame:
     """One more than any number in the registry or on disk; 1 if there is none."""
     return registry.select(number).unionByName(files.select(number)).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))

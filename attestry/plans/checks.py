@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.functions import text, validated
-from attestry.operators import scoring
+from attestry.functions import dates, text, validated
+from attestry.operators import reports, scoring
 from attestry.plans.catalog import query
 from attestry.plans.tables import REPLAYED, SCORED, journal, scored, table
 from attestry.sources import gates, publication
 from attestry.streaming import journal as J
+from attestry.streaming import limits
 
 #: Contract of an event's properties.
 PROPS = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 90}}}
@@ -57,6 +58,32 @@ def run_failures(spark, d):
     return publication.failures(table(spark, d, "customer").select(F.col("c_custkey").alias("company")), J.replay(journal(spark, d)), "company")
 
 
+@query("""
+WITH t AS (SELECT event_id, value, count(*) OVER w AS place, coalesce(sum((value * 100)::BIGINT) OVER w, 0) AS spent FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT min(place) AS stop FROM t WHERE spent + CASE WHEN place > 0 THEN spent::DOUBLE / place ELSE 0 END > (SELECT sum((value * 100)::BIGINT) / 3.0::DOUBLE FROM events))
+SELECT event_id FROM t, o WHERE stop IS NULL OR place < stop
+""")
+def credit_gate(spark, d):
+    """Events that a budget of a third of all their credits lets through, over the whole log."""
+    rows = table(spark, d, "events").select("event_id", F.rint(F.col("value") * 100).cast("long").alias("credits"))
+    return limits.credit_gate(rows, "event_id", "credits", rows.agg(F.sum("credits") / 3).first()[0]).select("event_id")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events WHERE event_type <> 'view' GROUP BY 1")
+def first_blocks(spark, d):
+    """Each user's first event that is no view."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"))
+    return reports.first_blocks(rows, "user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN epoch_us(date_trunc('second', ts)) END AS micros FROM events")
+def iso_times(spark, d):
+    """Times as UTC, with offsets, without any, and damaged, read back."""
+    way, shown = F.col("event_id") % 5, lambda shift: F.date_format(F.col("ts") + F.expr(f"interval {shift} minutes"), "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(way == 0, F.concat(shown(0), F.lit("Z"))).when(way == 1, F.concat(shown(120), F.lit("+02:00"))).when(way == 2, F.concat(shown(-330), F.lit("-0530"))).when(way == 3, shown(0)).otherwise(F.concat(shown(0), F.lit("?")))
+    return table(spark, d, "events").select("event_id", F.unix_micros(dates.iso_time(said)).alias("micros"))
+
+
 _FINISHED = "bool_or(event_type = 'purchase') AS succeeded, arg_max(event_type = 'error', event_id) AS again"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.folds import folded, smoothing
+from attestry.operators.ranks import summed_before
 
 
 def utilisation(df: DataFrame, ts: str, tokens: str, rpm: int, tpm: int, *by: str, seconds: int = 60) -> DataFrame:
@@ -61,6 +62,14 @@ def smoothed(df: DataFrame, key: str, line: str, value: str, alpha: float = 0.2,
     return folded(df, key, line, [value], smoothing(value, alpha), **sizes).select(key, "state.n", F.col("state.mean").alias("ewma"))
 
 
+def credit_gate(df: DataFrame, line: str, credits: str, budget: float) -> DataFrame:
+    """Rows of a run's whole log that were started: none from the first at which the credits spent and the mean of a row no longer fit the budget."""
+    spent = summed_before(df, line, F.col(credits), "_place", "_spent")
+    mean = F.coalesce(F.try_divide(F.col("_spent"), F.col("_place")), F.lit(0))
+    stop = spent.filter(F.col("_spent") + mean > budget).agg(F.min("_place").alias("_stop"))  # one row
+    return spent.join(F.broadcast(stop), F.lit(True)).filter(F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))).drop("_place", "_spent", "_stop")
+
+
 def budget_stop(df: DataFrame, line: str, cost: str, budget: float, *by: str) -> DataFrame:
     """Rows of a replay that ran before the next would have overrun: spent so far and the mean row fit the budget."""
     w = Window.partitionBy(*by).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)

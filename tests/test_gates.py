@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import archive, joins, scoring
+from attestry.functions import dates, numbers, text
+from attestry.operators import archive, joins, ranks, scoring
 from attestry.sources import gates, sinks
+from attestry.streaming import limits
 
 
 def test_settings_may_not_change(spark, tmp_path):
@@ -82,3 +84,47 @@ def test_fingerprints_of_columns(spark):
     one = [r[0] for r in rows.select(archive.request_fingerprint({"z": "1", "v": F.col("v")})).collect()]
     other = [r[0] for r in rows.select(archive.request_fingerprint({"v": F.col("v"), "z": "1"})).collect()]
     assert one == other and one[0] != one[1]
+
+
+def test_sums_before_and_the_credit_gate(spark):
+    rows = [(i, None if i % 11 == 3 else i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "at long, cost long").repartition(6)
+    got = {r.at: (r.place, r.total) for r in ranks.summed_before(df, "at", F.col("cost")).collect()}
+    total = 0
+    for i, v in rows:
+        assert got[i] == (i, total)
+        total += v or 0
+    for budget in (-1, 0, 5, 200, 10_000):
+        spent, started = 0, []
+        for n, (i, v) in enumerate(rows):
+            if spent + (spent / n if n else 0) > budget:
+                break
+            started.append(i)
+            spent += v or 0
+        assert sorted(r.at for r in limits.credit_gate(df, "at", "cost", budget).collect()) == started
+    assert limits.credit_gate(df.limit(0), "at", "cost", 1).count() == 0
+
+
+def test_iso_times_in_any_session(spark):
+    said = ["2024-03-01T12:00:00Z", "2024-03-01T12:00:00+02:00", "2024-03-01T12:00:00-0530", "2024-03-01 12:00:00.25", "2024-03-01T12:00", "2024-03-01", "12:00", "x", "", None, "2024-02-30T00:00:00Z"]
+    want = [1709294400.0, 1709287200.0, 1709314200.0, 1709294400.25, 1709294400.0, *[None] * 6]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for place in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", place)
+            got = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", (F.unix_micros(dates.iso_time(F.col("s"))) / 1e6).alias("t")).orderBy("i").collect()
+            assert [r.t for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_prompts_and_confidence_texts(spark):
+    assert text.prompt("a {family_block} b", "x") == "a x b"
+    for bad in ("a b", "{family_block} {family_block}"):
+        with pytest.raises(ValueError, match="template"):
+            text.prompt(bad, "x")
+    rows = spark.createDataFrame([(0.5,), (None,), (1.0,)], "c double")
+    assert [r[0] for r in rows.select(numbers.confidence_text(F.col("c"))).collect()] == ["0.5", "", "1.0"]
+    for bad in (1.01, float("nan"), -0.1):
+        with pytest.raises(Exception, match="confidence"):
+            spark.createDataFrame([(bad,)], "c double").select(numbers.confidence_text(F.col("c"))).collect()
