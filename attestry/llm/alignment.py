@@ -22,6 +22,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch, arrow_rows, read_table
 
 #: Characters of text that are gathered before chunks are learned, chunks that a worker remembers, and token rows in one query.
-GATHERED, REMEMBERED, QUERIED = 3_000_000, 400_000, 150_000
+GATHERED, REMEMBERED, QUERIED = 4_000_000, 400_000, 300_000
 #: Chunks that are encoded and aligned together; a tokenizer's result takes some hundreds of bytes a token.
-TOGETHER = 30_000
+TOGETHER = 40_000
 
 #: White space that starts a chunk, and other characters that some tokenizer may take for white space or join to what is before them.
 _CUT, _UNSURE = " \n\t", "\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿"
@@ -65,12 +66,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _spelt(runs: list[list[int]], of: list[bytes] | dict[int, bytes], raw: list[bytes]) -> list[bool]:
-    """Whether each run of ids spells its bytes."""
-    parts = [b"".join(map(of.__getitem__, ids)) for ids in runs]
-    return [True] * len(raw) if parts == raw else [x == y for x, y in zip(parts, raw, strict=True)]
-
-
 class Aligner:
     """Two tokenizers, the bytes of their tokens, and the aligned chunks that are remembered."""
 
@@ -99,7 +94,7 @@ class Aligner:
         self.known.clear()
         self.groups: list[str] = []
         self.counts = np.zeros((0, 3), dtype=np.int64)
-        self.pairs, self.pairs_at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.pairs, self.pairs_at, self.pair_of = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -111,82 +106,109 @@ class Aligner:
         if new:
             counts, pairs, sizes = zip(*self.parts, strict=True)
             self.counts = np.concatenate([self.counts, *counts])
-            self.pairs = np.concatenate([self.pairs, *pairs])
+            # pairs are few: each has a number, which the chunks hold
+            fresh = np.concatenate(pairs)
+            self.pair_of = np.union1d(old := self.pair_of, fresh)
+            self.pairs = np.concatenate([np.searchsorted(self.pair_of, old)[self.pairs], np.searchsorted(self.pair_of, fresh)])
             self.pairs_at = np.concatenate([self.pairs_at, self.pairs_at[-1] + np.cumsum(np.concatenate(sizes))])
 
     def _learn(self, new: list[str]) -> None:
-        a = self._first_ids(new)
+        """Align some chunks; ids of all are flat arrays, each chunk's from one place to the next."""
+        raw = [c.encode() for c in new]
+        a, a_at = self._first_ids(new, np.array([len(r) for r in raw]))
         # the tokenizer puts a space before what it is given, unless that is empty: the chunk's own, or one that a line end keeps apart
         spaced = [len(c) > 1 and c[0] == " " for c in new]
-        b = self.second.encode([c[1:] if own else "\n" + c for c, own in zip(new, spaced, strict=True)], num_threads=1)
-        b = [ids if own else ids[2:] for ids, own in zip(b, spaced, strict=True)]
-        raw = [c.encode() for c in new]
-        whole = [x and y for x, y in zip(_spelt(a, self.first_bytes, raw), _spelt(b, self.second_bytes, raw), strict=True)]
-        groups, pairs = self._aligned([x for x, ok in zip(a, whole, strict=True) if ok], [y for y, ok in zip(b, whole, strict=True) if ok])
-        counts = np.full((len(new), 3), -1, dtype=np.int64)
+        runs = self.second.encode([c[1:] if own else "\n" + c for c, own in zip(new, spaced, strict=True)], num_threads=1)
+        runs = [ids if own else ids[2:] for ids, own in zip(runs, spaced, strict=True)]
+        b, b_at = _flat(runs)
+        whole = self._spelt(a, a_at, self.first_bytes, raw) & self._spelt(b, b_at, self.second_bytes, raw)
         good = np.flatnonzero(whole)
+        if len(good) < len(new):
+            (a, a_at), (b, b_at) = (_some(x, at, good) for x, at in ((a, a_at), (b, b_at)))
+        texts, pairs, n_groups = self._aligned(a, a_at, b, b_at)
+        counts = np.full((len(new), 3), -1, dtype=np.int64)
+        counts[good] = np.stack([np.diff(a_at), np.diff(b_at), n_groups], axis=1)
         sizes = np.zeros(len(new), dtype=np.int64)
-        sizes[good] = [len(p) for p in pairs]
-        counts[good] = np.stack([[len(a[i]) for i in good], [len(b[i]) for i in good], sizes[good]], axis=1)
+        sizes[good] = n_groups
         at = len(self.groups)
-        self.known.update((c, at + i) for i, c in enumerate(new))
-        texts = iter(groups)
-        self.groups += [next(texts) if ok else "" for ok in whole]
-        self.parts.append((counts, np.concatenate([np.zeros(0, dtype=np.int64), *pairs]), sizes))
-
-    def _first_ids(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk under the first vocabulary; those that end in no white space are encoded as one text."""
-        joint = [c for c in chunks if not c[-1] in _SPACES]
-        ids = self.first.encode("".join(joint), add_special_tokens=False).ids
-        ends = np.cumsum(self.first_lengths[np.array(ids, dtype=np.int64)])
-        stops = [0, *(np.searchsorted(ends, np.cumsum([len(c.encode()) for c in joint])) + 1).tolist()]
-        found = dict(zip(joint, map(slice, stops[:-1], stops[1:]), strict=True))
-        return [ids[found[c]] if c in found else self.first.encode(c, add_special_tokens=False).ids for c in chunks]
-
-    def _aligned(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], list[np.ndarray]]:
-        """Of each chunk the groups as text and the linked pairs; long ones are cut where tokens end together."""
-        parts: list[tuple[int, list[int], list[int]]] = []
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            if len(x) + len(y) <= QUERIED:
-                parts.append((i, x, y))
-                continue
-            x_ends, y_ends = np.cumsum(self.first_lengths[x]), np.cumsum(self.second_lengths[y])
-            _, x_at, y_at = np.intersect1d(x_ends, y_ends, assume_unique=True, return_indices=True)
-            cuts = [(0, 0)]
-            for p, q in zip((x_at + 1).tolist(), (y_at + 1).tolist(), strict=True):
-                if p - cuts[-1][0] + q - cuts[-1][1] >= QUERIED // 2 or p == len(x):
-                    cuts.append((p, q))
-            parts += [(i, x[p:q], y[r:s]) for (p, r), (q, s) in zip(cuts[:-1], cuts[1:], strict=True)]
-        groups: list[list[str]] = [[] for _ in a]
-        pairs: list[list[np.ndarray]] = [[] for _ in a]
-        held, size = [], 0
-        for at, part in enumerate(parts):
-            held.append(part)
-            size += len(part[1]) + len(part[2])
-            if size >= QUERIED or at == len(parts) - 1:
-                texts, linked, stops = self._query([x for _, x, _ in held], [y for _, _, y in held])
-                for (i, _, _), text, p, q in zip(held, texts, stops[:-1], stops[1:], strict=True):
-                    groups[i].append(text)
-                    pairs[i].append(linked[p:q])
-                held, size = [], 0
-        return [";".join(g) for g in groups], [p[0] if len(p) == 1 else np.concatenate(p) for p in pairs]
-
-    def _query(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        left = iter(texts)
+        self.groups += texts if len(good) == len(new) else [next(left) if ok else "" for ok in whole.tolist()]
+        self.parts.append((counts, pairs, sizes))
+
+    def _first_ids(self, chunks: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks under the first vocabulary; those that end in no white space are encoded as one text and cut at their bytes."""
+        joins = np.array([c[-1] not in _SPACES for c in chunks], dtype=bool)
+        ids = np.array(self.first.encode("".join(c for c, j in zip(chunks, joins.tolist(), strict=True) if j), add_special_tokens=False).ids, dtype=np.int64)
+        stops = np.searchsorted(np.cumsum(self.first_lengths[ids]), np.cumsum(lengths[joins])) + 1
+        if joins.all():
+            return ids, np.append(0, stops)
+        cut = iter(np.split(ids, stops)[:-1])
+        return _flat([next(cut).tolist() if j else self.first.encode(c, add_special_tokens=False).ids for c, j in zip(chunks, joins.tolist(), strict=True)])
+
+    @staticmethod
+    def _spelt(ids: np.ndarray, at: np.ndarray, of: list[bytes] | dict[int, bytes], raw: list[bytes]) -> np.ndarray:
+        """Whether each chunk's ids spell its bytes."""
+        parts = list(map(of.__getitem__, ids.tolist()))
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        ends = np.append(0, np.cumsum(lengths))[at]
+        if (np.diff(ends) == np.array([len(r) for r in raw])).all() and b"".join(parts) == b"".join(raw):
+            return np.ones(len(raw), dtype=bool)
+        return np.array([b"".join(parts[p:q]) == r for p, q, r in zip(at[:-1].tolist(), at[1:].tolist(), raw, strict=True)], dtype=bool)
+
+    def _aligned(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each chunk the groups as text, the linked pairs of all in order, and how many each has; long ones are cut where tokens end together."""
+        size, n = np.diff(a_at) + np.diff(b_at), len(a_at) - 1
+        of = np.arange(n)
+        if n and size.max() > QUERIED:
+            x_ends, y_ends = np.cumsum(self.first_lengths[a]), np.cumsum(self.second_lengths[b])
+            _, x, y = np.intersect1d(x_ends, y_ends, assume_unique=True, return_indices=True)
+            # every end of a chunk, and of the others one in each stretch of so many tokens
+            starts = np.append(True, np.diff((x + y) // (QUERIED // 2)) > 0) | np.isin(x + 1, a_at)
+            of = np.searchsorted(a_at, x[starts], side="right") - 1
+            a_at, b_at = np.append(0, x[starts] + 1), np.append(0, y[starts] + 1)
+        texts, pairs, counts = [], [np.zeros(0, dtype=np.int64)], []
+        batch = (a_at[1:] + b_at[1:]) // QUERIED
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(batch) > 0)), len(of)) if len(of) else np.zeros(1, dtype=np.int64)
+        for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            text, linked, stops = self._query(a[a_at[p] : a_at[q]], a_at[p : q + 1] - a_at[p], b[b_at[p] : b_at[q]], b_at[p : q + 1] - b_at[p])
+            texts += text
+            pairs.append(linked)
+            counts.append(np.diff(stops))
+        made = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
+        if len(of) > n:
+            whole: list[list[str]] = [[] for _ in range(n)]
+            for i, text in zip(of.tolist(), texts, strict=True):
+                whole[i].append(text)
+            texts, made = [";".join(w) for w in whole], np.bincount(of, weights=made, minlength=n).astype(np.int64)
+        return texts, np.concatenate(pairs), made
+
+    def _query(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Groups of each run of tokens as text; linked pairs of all, and where each run's begin."""
-        for name, runs, of in (("a_tokens", a, self.first_lengths), ("b_tokens", b, self.second_lengths)):
-            ids = np.array([t for r in runs for t in r], dtype=np.int32)
+        for name, ids, at, of in (("a_tokens", a, a_at, self.first_lengths), ("b_tokens", b, b_at, self.second_lengths)):
             stop = np.cumsum(of[ids])
             start = np.concatenate([[0], stop[:-1]])
-            w = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            self.con.register(name, pa.table({"w": w, "pos": np.arange(len(ids)), "id": ids, "start": start, "stop": stop}))
+            w = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            self.con.register(name, pa.table({"w": w, "pos": np.arange(len(ids)), "id": ids.astype(np.int32), "start": start, "stop": stop}))
         found = self.con.sql(_ALIGN).to_arrow_table().combine_chunks()
-        w, runs = found["w"].to_numpy(), np.arange(len(a) + 1)
-        at = np.searchsorted(w, runs).astype(np.int32)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), found["text"].combine_chunks()), "")
+        w, runs = found["w"].to_numpy(), np.arange(len(a_at))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(w, runs).astype(np.int32)), found["text"].combine_chunks()), "")
         linked = found["pair"].is_valid().to_numpy()
         return pc.utf8_rtrim(texts, ";").to_pylist(), found["pair"].drop_null().to_numpy(), np.searchsorted(w[linked], runs)
 
 
+def _flat(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs one after the other, and where each begins."""
+    at = np.append(0, np.cumsum(np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))))
+    return np.fromiter(chain.from_iterable(runs), dtype=np.int64, count=int(at[-1])), at
+
+
+def _some(flat: np.ndarray, at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only these runs."""
+    places, lengths = _expanded(at, runs)
+    return flat[places], np.append(0, np.cumsum(lengths))
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -234,30 +256,29 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
             aligner.learn(set().union(*cut))
             lengths = np.array([len(c) for c in cut])
-            chunk = np.fromiter((aligner.known[c] for cs in cut for c in cs), dtype=np.int64, count=int(lengths.sum()))
+            numbers = [list(map(aligner.known.__getitem__, cs)) for cs in cut]
+            chunk = np.fromiter(chain.from_iterable(numbers), dtype=np.int64, count=int(lengths.sum()))
             doc = np.repeat(np.arange(len(texts)), lengths)
             bad = np.zeros(len(texts), dtype=bool)
             bad[doc[aligner.counts[chunk, 0] < 0]] = True
             chunk, doc = chunk[~bad[doc]], doc[~bad[doc]]
             sums = [np.bincount(doc, weights=aligner.counts[chunk, i], minlength=len(texts)).astype(np.int64) for i in range(3)]
             digests, groups = [], aligner.groups
-            for cs, wrong in zip(cut, bad, strict=True):
-                text = "" if wrong else ";".join([groups[aligner.known[c]] for c in cs])
+            for mine, wrong in zip(numbers, bad.tolist(), strict=True):
+                text = "" if wrong else ";".join(map(groups.__getitem__, mine))
                 digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            # each document's distinct chunks with how often they are, then its distinct pairs
-            key, times = np.unique(doc * len(groups) + chunk, return_counts=True)
-            places, n = _expanded(aligner.pairs_at, key % len(groups))
-            order = np.lexsort((aligner.pairs[places], np.repeat(key // len(groups), n)))
-            pair, of, often = aligner.pairs[places][order], np.repeat(key // len(groups), n)[order], np.repeat(times, n)[order]
-            new = np.ones(len(pair), dtype=bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-            starts = np.flatnonzero(new)
-            often = np.add.reduceat(often, starts) if len(starts) else often
-            stops = np.searchsorted(of[starts], np.arange(len(texts) + 1)).astype(np.int32)
+            # each document's pairs in order, and how often each is there
+            places, n = _expanded(aligner.pairs_at, chunk)
+            key = np.repeat(doc, n) * len(aligner.pair_of) + aligner.pairs[places]
+            key.sort()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+            often, key = np.diff(np.append(starts, len(key))), key[starts]
+            pair, of = (aligner.pair_of[key % len(aligner.pair_of)], key // len(aligner.pair_of)) if len(key) else (key, key)
+            stops = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(stops), values)
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[2],
-                "groups_sha256": digests, "pairs": lists(pa.array(pair[starts])), "times": lists(pa.array(often.astype(np.int32))),
+                "groups_sha256": digests, "pairs": lists(pa.array(pair)), "times": lists(pa.array(often.astype(np.int32))),
             })
         gc.enable()
 

@@ -222,7 +222,7 @@ def test_alignment_equals_brute_force(spark, monkeypatch, gathered, queried, rem
             if expected is None:
                 assert (aligner.counts[at, 0] < 0).any()
                 continue
-            pairs = [(int(p) >> 32, int(p) & 0xFFFFFFFF) for i in at for p in aligner.pairs[aligner.pairs_at[i] : aligner.pairs_at[i + 1]]]
+            pairs = [(int(p) >> 32, int(p) & 0xFFFFFFFF) for i in at for p in aligner.pair_of[aligner.pairs[aligner.pairs_at[i] : aligner.pairs_at[i + 1]]]]
             assert (*aligner.counts[at].sum(axis=0)[:2], ";".join(aligner.groups[i] for i in at), pairs) == expected, repr(t)
 
 
