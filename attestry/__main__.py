@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from attestry.plans import archive, checks, records  # noqa: F401  adds its queries to the catalogue
+from attestry.plans import archive, checks, exchange, records  # noqa: F401  adds its queries to the catalogue
 from attestry.plans.catalog import ORACLES, QUERIES
 
 

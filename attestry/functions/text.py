@@ -253,10 +253,36 @@ def prompt(template: str, block: str, placeholder: str = "{family_block}") -> st
 
 
 def scope_pattern(url: Column) -> Column:
-    host = F.regexp_replace(host_of(url), r"([.\-+])", r"\\$1")
+    host = F.regexp_replace(host_of(url), r"([.\-+*?|&~#$^(){}\[\]\\])", r"\\$1")
     return F.when(host != "", F.concat(F.lit(r"/web/\d+[a-z_]*/https?:/+(?:www\.)?"), host, F.lit(".*"))).otherwise("")
 
 
+# Efforts as tokens of a run's name, in the order in which they are looked for.
+EFFORTS = ["none", "low", "medium", "high", "minimal"]
+
+
+def run_effort(run_id: Column) -> Column:
+    """The effort among the tokens of a run's name, or null."""
+    tokens = F.split(F.lower(run_id), "_")
+    return F.coalesce(*[F.when(F.array_contains(tokens, e), e) for e in EFFORTS])
+
+
+def run_repeat(run_id: Column) -> Column:
+    """The number of a last token such as r2, or null."""
+    return F.nullif(F.regexp_extract(run_id, r"(?:^|_)r([0-9]+)$", 1), F.lit("")).try_cast("int")
+
+
+def run_model(run_id: Column, known: list[str]) -> Column:
+    """The first of the known models that a run's name holds, or blank."""
+    return F.coalesce(*[F.when(F.contains(run_id, F.lit(m)), m) for m in known], F.lit(""))
+
+
+def custom_id(key: Column, prefix: str) -> Column:
+    """The name of a request for a key, each space inside as a hyphen; fails on a blank key."""
+    clean = F.replace(cleaned(key), F.lit(" "), F.lit("-"))
+    return F.when(clean == "", F.raise_error(F.lit("no identifier for a blank key"))).otherwise(F.concat(F.lit(prefix), clean))
+
+
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
 

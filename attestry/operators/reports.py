@@ -9,6 +9,7 @@ from attestry import contracts as C
 from attestry.functions.numbers import list_cost
 from attestry.functions.text import word_count
 from attestry.operators.joins import unfinished
+from attestry.operators.ranks import checkpointed
 from attestry.operators.scoring import macro_f1
 
 
@@ -118,6 +119,67 @@ def run_counters(df: DataFrame, status: str) -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(status))
 
 
+def run_report(planned: DataFrame, done: DataFrame, outcomes: DataFrame, key: str, valid: Column, status: str, credits: str) -> DataFrame:
+    """One row on a run: what was attempted, completed, failed, found empty or skipped, and its credits.
+
+    `planned` rows are skipped where `done` has their key or they are not `valid`; an
+    outcome that is neither a success nor empty is a failure.
+    """
+    marked = planned.select(key, F.coalesce(valid, F.lit(False)).alias("_valid")).join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    plans = marked.agg(_count(F.col("_done")).alias("skipped_existing"), _count(F.col("_done").isNull() & ~F.col("_valid")).alias("skipped_invalid"))
+    good, empty = F.col(status).isin("success", "success_fallback"), F.col(status).isin("empty_results", "thin")
+    sums = outcomes.agg(F.count("*").alias("attempted"), _count(good).alias("completed"), _count(empty).alias("empty_results"), _count(~F.coalesce(good | empty, F.lit(False))).alias("failed"), F.coalesce(F.sum(credits), F.lit(0.0)).alias("credits"))
+    return sums.join(F.broadcast(plans), F.lit(True))  # one row each
+
+
+def resume_tallies(log: DataFrame, key: str, ok: str, retryable: str, status: str) -> DataFrame:
+    """One row on a log: successes, empty results, failures, and the keys that need no further call."""
+    good, bad = F.col(ok).eqNullSafe(F.lit(True)), F.col(ok).eqNullSafe(F.lit(False))
+    ended = (good | F.col(retryable).eqNullSafe(F.lit(False))) & (F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "")
+    return log.agg(
+        _count(good & (F.col(status) == "success")).alias("successful"),
+        _count(good & F.col(status).isin("empty_results", "thin_evidence")).alias("empty"),
+        _count(bad).alias("failed"),
+        F.countDistinct(F.when(ended, F.col(key))).alias("completed_ids"),
+    )
+
+
+def dashboard(df: DataFrame, subclass: tuple[str, list[str]], level: tuple[str, list[str]], era: tuple[str, list[str]], yes: str, confidence: str, low: int = 2) -> DataFrame:
+    """(metric, first, second, value): the counts, rates and quantiles of a table of labels, every value of the fixed domains among them.
+
+    One scan counts the combinations of labels, of which there are few; all else comes
+    from those counts.
+    """
+    names = [subclass[0], level[0], era[0]]
+    cells = df.groupBy(*[F.col(c).alias(a) for c, a in zip(names, "sle", strict=True)], F.coalesce(F.col(yes), F.lit(False)).alias("y"), F.col(confidence).cast("double").alias("c")).agg(F.count("*").alias("n"))
+    held = checkpointed(cells)
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("double")
+    share = lambda a, b: F.when(b > 0, 100 * a / b)
+    s, lv, e, y, everything = F.col("s"), F.col("l"), F.col("e"), F.col("y"), F.lit(True)
+    listed = [("rows", "", "", of(everything)), ("yes", "", "", of(y)), ("yes_pct", "", "", share(of(y), of(everything))), ("low_confidence", "", "", of(F.col("c") <= low)), ("low_confidence_pct", "", "", share(of(F.col("c") <= low), of(everything)))]
+    listed += [("subclass", x, "", of(s == x)) for x in subclass[1]] + [("level", x, "", of(lv == x)) for x in level[1]]
+    for x in era[1]:
+        listed += [("era", x, "", of(e == x)), ("era_pct", x, "", share(of(e == x), of(everything))), ("yes_pct_by_era", x, "", share(of((e == x) & y), of(e == x)))]
+        listed += [("subclass_by_era", x, z, of((e == x) & (s == z))) for z in subclass[1]] + [("level_by_era", x, z, of((e == x) & (lv == z))) for z in level[1]]
+    listed += [("heatmap", x, z, of((s == x) & (lv == z))) for x in subclass[1] for z in level[1]]
+    one = held.agg(*[v.alias(f"v{i}") for i, (*_, v) in enumerate(listed)])
+    counts = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"v{i}").alias("value")) for i, (m, a, b, _) in enumerate(listed)])).alias("r")).select("r.*")
+
+    known = held.filter(F.col("c").isNotNull())
+    histogram = known.groupBy("c").agg(F.sum("n").cast("double").alias("value")).select(F.lit("confidence").alias("metric"), F.col("c").cast("int").cast("string").alias("first"), F.lit("").alias("second"), "value")
+    both = known.select("s", "c", "n").filter(F.col("s").isin(*subclass[1])).unionByName(known.select(F.lit("").alias("s"), "c", "n"))
+    by = both.groupBy("s").agg(F.sum("n").alias("n"), (F.sum(F.col("c") * F.col("n")) / F.sum("n")).alias("mean"))
+    up_to = both.groupBy("s", "c").agg(F.sum("n").alias("m")).withColumn("up_to", F.sum("m").over(Window.partitionBy("s").orderBy("c")))  # one row a confidence
+    at = lambda rank: F.min(F.when(F.col("up_to") > rank, F.col("c")))
+    place = {name: (F.col("n") - 1) * p for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    ranked = up_to.join(by, "s").groupBy("s", "n", "mean").agg(*[at(g(r)).alias(f"{name}_{end}") for name, r in place.items() for g, end in ((F.floor, "a"), (F.ceil, "b"))])
+    between = lambda name: F.col(f"{name}_a") + (place[name] - F.floor(place[name])) * (F.col(f"{name}_b") - F.col(f"{name}_a"))
+    values = [("count", F.col("n").cast("double")), ("mean", F.col("mean")), *[(name, between(name)) for name in place]]
+    stats = ranked.select("s", F.explode(F.array(*[F.struct(F.lit(k).alias("second"), v.alias("value")) for k, v in values])).alias("r"))
+    quantiles = stats.select(F.lit("confidence_by_subclass").alias("metric"), F.col("s").alias("first"), "r.*")
+    return counts.unionByName(histogram).unionByName(quantiles)
+
+
 def cost_range(plan: DataFrame, first: str, if_zero: str, if_one: str, family: str, price: tuple[float, float, float], outputs: tuple[int, int]) -> DataFrame:
     """Cost of a plan under either verdict of the rows whose family is unknown.
 

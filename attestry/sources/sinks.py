@@ -17,8 +17,12 @@ def contract(df: DataFrame, columns: list[str], fill: bool = True) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
+#: Cells as they are: quotes doubled, white space kept.
+_AS_IS = {"header": True, "emptyValue": "", "lineSep": "\n", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    contract(df, columns, fill=False).write.mode("errorifexists").csv(path, header=True, emptyValue="", lineSep="\n")
+    contract(df, columns, fill=False).write.mode("errorifexists").csv(path, **_AS_IS)
 
 
 def rows_digest(df: DataFrame, digest: str, order: str) -> str:
@@ -57,7 +61,7 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def append_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    contract(df, columns).write.mode("append").csv(path, header=True, emptyValue="", lineSep="\n")
+    contract(df, columns).write.mode("append").csv(path, **_AS_IS)
 
 
 def journal_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

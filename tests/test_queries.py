@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from attestry.plans import archive, checks, records  # noqa: F401
+from attestry.plans import archive, checks, exchange, records  # noqa: F401
 from attestry.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
