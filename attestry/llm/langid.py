@@ -34,10 +34,14 @@ MARGIN_SCALE = 12.0
 SHARPNESS = 8.0
 #: Gap of loss to the second language below which a text is ambiguous.
 AMBIGUOUS_GAP = 0.05
+#: Losses no further apart are equal.
+TIED = 1e-9
 #: An ambiguous text is rejected below so many times the score of chance.
 NO_BETTER = 1.5
 #: Codewords are exhaustive up to so many languages, random and longer beyond.
 EXHAUSTIVE = 5
+#: Bytes of a text whose trigrams are held at once.
+PART = 1 << 20
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -61,11 +65,22 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
-def trigram_buckets(text: str) -> np.ndarray:
-    """Bucket of every byte trigram of the lower-cased text, non-letters as spaces."""
-    a = np.frombuffer(b" " + text.lower().encode().translate(_LETTERS) + b" ", dtype=np.uint8).astype(np.uint32)
-    mixed = a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)
-    return (mixed ^ (mixed >> np.uint32(15))) % np.uint32(BUCKETS)
+def trigram_buckets(text: str, part: int = PART) -> Iterator[np.ndarray]:
+    """Buckets of all byte trigrams of the lower-cased text, non-letters as spaces, at most `part` at once."""
+    shown = b" " + text.lower().encode().translate(_LETTERS) + b" "
+    for at in range(0, max(len(shown) - 2, 1), part):
+        a = np.frombuffer(shown[at : at + part + 2], dtype=np.uint8).astype(np.uint32)
+        mixed = a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)
+        yield (mixed ^ (mixed >> np.uint32(15))) % np.uint32(BUCKETS)
+
+
+def mean_weights(text: str, weights: np.ndarray, part: int = PART) -> np.ndarray:
+    """Mean over the text's trigrams of each bit's weight."""
+    total, n = np.zeros(weights.shape[1]), 0
+    for buckets in trigram_buckets(text, part):
+        total += weights[buckets].sum(axis=0, dtype=np.float64)
+        n += len(buckets)
+    return total / max(n, 1)
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -78,7 +93,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in seen:
                     seen[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                seen[lang] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
+                for buckets in trigram_buckets(text):
+                    seen[lang] += np.bincount(buckets, minlength=BUCKETS)
         for lang, counts in seen.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "bucket": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
@@ -112,7 +128,7 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
     order = np.sort(loss, axis=1)
     chance = np.exp(-SHARPNESS * (loss - order[:, :1]))
     chance /= chance.sum(axis=1, keepdims=True)
-    best = loss.argmin(axis=1)
+    best = (loss <= order[:, :1] + TIED).argmax(axis=1)  # the first of equal ones
     gap = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
     return best, chance[np.arange(len(best)), best], gap < AMBIGUOUS_GAP
 
@@ -139,7 +155,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", names: tuple[s
             rejected = np.ones(len(texts), bool)
             at = np.flatnonzero(known)
             if len(at):
-                margins = np.stack([m["weights"][trigram_buckets(texts[i])].mean(axis=0, dtype=np.float64) for i in at]) * MARGIN_SCALE
+                margins = np.stack([mean_weights(texts[i], m["weights"]) for i in at]) * MARGIN_SCALE
                 best, chance, close = decode(margins, m)
                 for i, k in zip(at, best, strict=True):
                     langs[i] = m["langs"][k]
