@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,45 @@ SYMBOLS, BITS = 257, 9
 ORDER = 5
 #: Most tokens and most cells that every worker holds; all others are joined.
 HELD_TOKENS, HELD_CELLS = 150_000, 1_000_000
+#: Symbols that are worked on at once: texts together while they are short, a longer one in parts.
+PART = 1_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
 
 
+def token_parts(text: str | None, size: int = PART) -> Iterator[list[bytes]]:
+    """The tokens of a text, in one list, or those of a longer text by some `size` bytes, cut at white space."""
+    if len(text or "") < size // 4:
+        yield tokens_of(text)
+        return
+    data = (text or "").encode().lower().translate(bytes(32 if 9 <= b <= 13 else b for b in range(256)))
+    at = 0
+    while at < len(data):
+        cut = data.rfind(b" ", at, at + size) if at + size < len(data) else len(data)
+        if cut < at:
+            cut = data.find(b" ", at + size)
+            cut = len(data) if cut < 0 else cut
+        yield data[at:cut].split()
+        at = cut + 1
+
+
+def modelled(text: str | None) -> bytes:
+    """The tokens joined by one space."""
+    return b" ".join(b" ".join(part) for part in token_parts(text) if part)
+
+
+def _numbers(s: np.ndarray, order: int) -> np.ndarray:
+    """Every symbol from the place `order` on with the `order` symbols before it."""
+    n = len(s) - order
+    cell = s[:n].copy()
+    for i in range(1, order + 1):
+        cell <<= np.uint64(BITS)
+        cell |= s[i : i + n]
+    return cell
+
+
 def cells_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     """For every symbol of each text and its end, its context and itself as one number, the symbol in the last bits."""
     # ends stand between the texts, `order` of them, so that contexts do not cross; only the first is coded
@@ -58,13 +91,9 @@ def cells_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     for i in range(order):
         s[begins - 1 - i] = 0
     s[-1] = 0
-    n = len(s) - order
-    cell = s[:n].copy()
-    for i in range(1, order + 1):
-        cell <<= np.uint64(BITS)
-        cell |= s[i : i + n]
+    cell = _numbers(s, order)
     if len(texts) > 1 and order > 1:
-        keep = np.ones(n, dtype=bool)
+        keep = np.ones(len(cell), dtype=bool)
         ends = begins[:-1] + lengths[:-1] - order
         for i in range(1, order):
             keep[ends + i] = False
@@ -72,6 +101,35 @@ def cells_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     return cell
 
 
+def _cells_from(text: bytes, at: int, n: int, order: int) -> np.ndarray:
+    """Cells of `n` symbols of a text and its end, from the place `at` on."""
+    known = min(at, order)
+    some = np.frombuffer(text[at - known : at + n], dtype=np.uint8)
+    s = np.zeros(order + n, dtype=np.uint64)
+    s[order - known : order - known + len(some)] = some
+    s[order - known : order - known + len(some)] += np.uint64(1)
+    return _numbers(s, order)
+
+
+def in_parts(texts: Iterable[bytes], order: int = ORDER, size: int = PART) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """(place of a text, symbols of it and of those after it, their cells), some `size` symbols at once."""
+    held, first, n = [], 0, 0
+    for i, text in enumerate(texts):
+        if held and n + len(text) >= size:
+            yield first, [len(t) + 1 for t in held], cells_of(held, order)
+            held, n = [], 0
+        if len(text) >= size:
+            for at in range(0, len(text) + 1, size):
+                some = min(size, len(text) + 1 - at)
+                yield i, [some], _cells_from(text, at, some, order)
+            continue
+        first = first if held else i
+        held.append(text)
+        n += len(text) + 1
+    if held:
+        yield first, [len(t) + 1 for t in held], cells_of(held, order)
+
+
 class _Slots:
     """An open-addressing table from numbers to rows of floats, looked up for whole arrays."""
 
@@ -120,11 +178,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            words.update(tokens_of(text))
+            for tokens in token_parts(text):
+                words.update(tokens)
+                if len(words) > 500_000:
+                    yield packed()
+                    words.clear()
             words[b" end"] += 1
-        if len(words) > 500_000:
-            yield packed()
-            words.clear()
     yield packed()
 
 
@@ -155,19 +214,19 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for batch in batches:
-        flags = batch.column("learn").to_pylist()
-        texts = [b" ".join(tokens_of(t)) for t in batch.column("text").to_pylist()]
+        flags = [bool(f) for f in batch.column("learn").to_pylist()]
+        texts = batch.column("text")
         for is_learned in (True, False):
-            some = [t for t, f in zip(texts, flags, strict=True) if bool(f) is is_learned]
-            if some:
-                fresh[is_learned].append(cells_of(some))
-                size += len(fresh[is_learned][-1])
-        if size > 6_000_000:
-            merged()
-            size = 0
-            if len(cells) > 4_000_000:
-                yield packed()
-                cells, learned, uses = cells[:0], learned[:0], uses[:0]
+            some = (modelled(t.as_py()) for t, f in zip(texts, flags, strict=True) if f is is_learned)
+            for _, _, found in in_parts(some):
+                fresh[is_learned].append(found)
+                size += len(found)
+                if size > 6_000_000:
+                    merged()
+                    size = 0
+                    if len(cells) > 4_000_000:
+                        yield packed()
+                        cells, learned, uses = cells[:0], learned[:0], uses[:0]
     merged()
     yield packed()
 
@@ -273,53 +332,50 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         end_log = float(np.log10((ends + 0.5) / scale))
         kinds = (("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()))
 
-        def looked_up(split: list[list[bytes]], first: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-            """log10 P of some texts as far as held cells go, and the rows of their other cells; some millions of symbols at once."""
-            at = 0
-            while at < len(split):
-                joined, size, begin = [], 0, at
-                while at < len(split) and size < 1_000_000:
-                    joined.append(b" ".join(split[at]))
-                    size += len(joined[-1]) + 1
-                    at += 1
-                cells = cells_of(joined)
-                slot = slots.find(cells)
-                there = slot >= 0
-                sums = np.add.reduceat(np.where(there, slots.rows[slot, 0], 0.0), np.cumsum([0, *(len(j) + 1 for j in joined[:-1])]))
-                of = np.repeat(np.arange(len(joined)), [len(j) + 1 for j in joined])[~there]
-                rest = cells[~there]
-                order = np.lexsort((rest, of))
-                of, rest = of[order], rest[order]
-                start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (rest[1:] != rest[:-1]))) if len(rest) else np.zeros(0, np.int64)
-                n = len(start)
-                # a key of a space, a letter and the cell's number: no token
-                keys = np.empty((n, 10), dtype=np.uint8)
-                keys[:, 0], keys[:, 1] = 32, 99
-                keys[:, 2:] = rest[start].astype(">u8").view(np.uint8).reshape(n, 8)
-                columns = {"row": pa.array(of[start] + (first + begin)), "doc_id": pa.nulls(n, pa.int64()), "key": pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), n, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()), "times": pa.array(np.diff(np.append(start, len(rest)))), "known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()), "bits": pa.nulls(n, pa.float64())}
-                yield sums, pa.RecordBatch.from_pydict(columns)
+        def other_cells(rest: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+            """Rows of cells that are not held here, of the rows `of`."""
+            order = np.lexsort((rest, of))
+            of, rest = of[order], rest[order]
+            start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (rest[1:] != rest[:-1])))
+            n = len(start)
+            # a key of a space, a letter and the cell's number: no token
+            keys = np.empty((n, 10), dtype=np.uint8)
+            keys[:, 0], keys[:, 1] = 32, 99
+            keys[:, 2:] = rest[start].astype(">u8").view(np.uint8).reshape(n, 8)
+            columns = {"row": pa.array(of[start]), "doc_id": pa.nulls(n, pa.int64()), "key": pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), n, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()), "times": pa.array(np.diff(np.append(start, len(rest)))), "known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()), "bits": pa.nulls(n, pa.float64())}
+            return pa.RecordBatch.from_pydict(columns)
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
         for batch in batches:
-            split = [tokens_of(t) for t in batch.column("text").to_pylist()]
-            bits = []
-            for sums, rows in looked_up(split, row):
-                bits += sums.tolist()
-                if rows.num_rows:
-                    yield rows
+            texts = batch.column("text")
+            bits = np.zeros(len(texts))
+            for first, lengths, cells in in_parts(modelled(t.as_py()) for t in texts):
+                slot = slots.find(cells)
+                there = slot >= 0
+                bits[first : first + len(lengths)] += np.add.reduceat(np.where(there, slots.rows[slot, 0], 0.0), np.cumsum([0, *lengths[:-1]]))
+                if not there.all():
+                    yield other_cells(cells[~there], np.repeat(np.arange(row + first, row + first + len(lengths)), lengths)[~there])
             out = []
-            for doc_id, tokens, log in zip(batch.column("doc_id").to_pylist(), split, bits, strict=True):
-                known, base = int(ends > 0), end_log
-                for token, n in Counter(tokens).items():
-                    value = logs.get(token)
-                    if value is None:
-                        out.append((row, None, token, n, None, None, None))
-                    else:
-                        known += n
-                        base += n * value
+            for doc_id, text, log in zip(batch.column("doc_id").to_pylist(), texts, bits.tolist(), strict=True):
+                known, base, length = int(ends > 0), end_log, 1
+                for tokens in token_parts(text.as_py()):
+                    length += len(tokens)
+                    for token, n in Counter(tokens).items():
+                        value = logs.get(token)
+                        if value is None:
+                            out.append((row, None, token, n, None, None, None))
+                        else:
+                            known += n
+                            base += n * value
+                    if len(out) > 200_000:
+                        yield packed(out)
+                        out = []
                 # a space and the row's number: no token, so it joins nothing and goes to no common place
-                out.append((row, doc_id, b" %d" % row, len(tokens) + 1, known, base, log))
+                out.append((row, doc_id, b" %d" % row, length, known, base, log))
                 row += 1
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
+            yield packed(out)
 
     parts = given.mapInArrow(run, "row long, doc_id long, key binary, times long, known long, base double, bits double")
     rare_words = model["words"].filter(F.floor(F.log2("n")) < model["least"]).select(F.col("token").alias("key"), "n", F.lit(None).cast("double").alias("log"))
