@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators.draws import digest_words
 from attestry.operators.ranks import placed, summed_to
 
 
@@ -119,14 +119,21 @@ def bootstrap(df: DataFrame, values: list[str], key: str, resamples: int, seed:
         for batch in batches:
             for i, (at, share) in enumerate(zip(batch.column("_range").to_pylist(), batch.column("_share").to_pylist(), strict=True)):
                 rows = np.stack([batch.column(v)[i].values.to_numpy(zero_copy_only=False) for v in values])
-                draws = draws_of(n, size, at, seed, resamples)
+                held = np.concatenate([rows, np.zeros((len(values), 1))], axis=1)  # the last for words that are no draws
                 mine = np.arange(share, resamples, shares)
+                draws = draws_of(n, size, at, seed, resamples)[mine]
                 sums = np.zeros((len(values), len(mine)))
-                for j, b in enumerate(mine.tolist()):
-                    words = b"".join(hashlib.md5(b"%d:%d:%d:%d" % (seed, b, at, w), usedforsecurity=False).digest() for w in range(-(-int(draws[b]) // 4)))
-                    drawn = (np.frombuffer(words, dtype=">u4")[: draws[b]].astype(np.uint64) * np.uint64(rows.shape[1])) >> np.uint64(32)
-                    sums[:, j] = rows[:, drawn.astype(np.int64)].sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(draws[mine]), *map(pa.array, sums)], names=["resample", "draws", *values])
+                for some, words in digest_words(seed, mine, at, draws):
+                    for k, word in enumerate(words):
+                        drawn = word.astype(np.uint64)
+                        drawn *= np.uint64(rows.shape[1])
+                        drawn >>= np.uint64(32)
+                        counts = (draws[some] + 3 - k) // 4
+                        least = int(counts.min())
+                        drawn[:, least:][np.arange(least, drawn.shape[1]) >= counts[:, None]] = rows.shape[1]
+                        for total, v in zip(sums, held, strict=True):
+                            total[some] += v.take(drawn.view(np.int64), mode="clip").sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(draws), *map(pa.array, sums)], names=["resample", "draws", *values])
 
     parts = tasks.repartition(TASKS, "_range", "_share").mapInArrow(run, columns)
     return parts.groupBy("resample").agg(F.sum("draws").alias("draws"), *[(F.sum(v) / F.sum("draws")).alias(v) for v in values])

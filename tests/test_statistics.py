@@ -1,13 +1,15 @@
 """Quantiles, resamples and models against numpy and closed forms."""
 
+import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import aggregates, sampling, scoring, stats
+from attestry.operators import aggregates, draws, sampling, scoring, stats
 from attestry.operators.quantiles import exact_quantiles
 
 
@@ -80,6 +82,48 @@ def test_draws_of_ranges_are_binomial():
         assert 0.9 < part.var() / (n * share * (1 - share)) < 1.1
 
 
+def digests(seed, b, at, n):
+    """n words of digests in turn, one text at a time."""
+    words = b"".join(hashlib.md5(b"%d:%d:%d:%d" % (seed, b, at, w), usedforsecurity=False).digest() for w in range(-(-n // 4)))
+    return np.frombuffer(words, dtype=">u4")[:n]
+
+
+@pytest.mark.parametrize(("seed", "at", "most", "resamples"), [(20260705, 0, 399, range(0, 1300, 7)), (3, 12, 41, range(5)), (2**63, 10**8 + 7, 1003, range(99_998, 100_003)), (5, 1, 1, range(30)), (7, 2, 66_100, range(8, 12))])
+def test_words_are_those_of_the_digests(seed, at, most, resamples):
+    resamples, seen = np.array(resamples), []
+    counts = np.random.default_rng(1).integers(max(0, most - 200), most + 1, len(resamples))
+    for some, words in draws.digest_words(seed, resamples, at, counts):
+        got = np.stack(words, axis=2).reshape(len(words[0]), -1)
+        for row, b, n in zip(got, resamples[some], counts[some], strict=True):
+            assert (row[:n] == digests(seed, int(b), at, int(n))).all()
+            seen.append(b)
+    assert seen == list(resamples)
+
+
+def test_words_cost_a_fraction_of_single_digests():
+    start = time.thread_time()
+    for b in range(1000, 1010):
+        digests(20260705, b, 3, 65_536)
+    single, start = time.thread_time() - start, time.thread_time()
+    for _ in draws.digest_words(20260705, np.arange(1000, 1010), 3, np.full(10, 65_536)):
+        pass
+    assert time.thread_time() - start < single / 2
+
+
+def test_resamples_of_ranges_equal_plain_draws(spark):
+    """Draws that differ between resamples and ranges, counted out one digest at a time."""
+    n, size, resamples = 230, 40, 30
+    rows = [(i * 3, float(i * i % 17), float(i % 2)) for i in range(n)]
+    got = {x.resample: (x.v, x.w) for x in scoring.bootstrap(spark.createDataFrame(rows, "id long, v double, w double").repartition(3), ["v", "w"], "id", resamples, 11, size=size).collect()}
+    parts = [scoring.draws_of(n, size, at, 11, resamples) for at in range(-(-n // size))]
+    for b in range(resamples):
+        drawn = []
+        for at, part in enumerate(parts):
+            own = rows[at * size : (at + 1) * size]
+            drawn += [own[int(w) * len(own) >> 32] for w in digests(11, b, at, int(part[b]))]
+        assert len(drawn) == n and got[b] == (sum(x[1] for x in drawn) / n, sum(x[2] for x in drawn) / n)
+
+
 def test_degenerate_resamples(spark):
     one = spark.createDataFrame([(1, 1.0)], "id long, v double")
     assert [(x.v, x.draws) for x in scoring.bootstrap(one, ["v"], "id", 5, 1).collect()] == [(1.0, 1)] * 5
