@@ -461,19 +461,19 @@ b AS (SELECT resample, avg(correct::INT::DOUBLE) AS hit, avg((correct::INT - (co
 """
 
 
-def _resamples(spark, d):
+def _resamples(spark, d, value):
     rows = scored(spark, d).select("doc_id", F.col("correct").cast("int").alias("hit"), (F.col("correct").cast("int") - (F.col("confidence") >= 0.5).cast("int")).alias("gap"))
-    return scoring.bootstrap(rows, ["hit", "gap"], "doc_id", 10_000, 20260705)
+    return scoring.bootstrap(rows, [value], "doc_id", 10_000, 20260705)
 
 
 @query(_BOOT + "SELECT avg(hit) AS mean, quantile_cont(hit, 0.025) AS low, quantile_cont(hit, 0.975) AS high FROM b")
 def bootstrap_ci(spark, d):
-    return scoring.interval(_resamples(spark, d), "hit")
+    return scoring.interval(_resamples(spark, d, "hit"), "hit")
 
 
 @query(_BOOT + "SELECT avg(gap) AS mean, quantile_cont(gap, 0.025) AS low, quantile_cont(gap, 0.975) AS high, quantile_cont(gap, 0.025) > 0 OR quantile_cont(gap, 0.975) < 0 AS significant FROM b")
 def paired_bootstrap(spark, d):
-    return scoring.interval(_resamples(spark, d), "gap").withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+    return scoring.interval(_resamples(spark, d, "gap"), "gap").withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS n, min(confidence) AS least, avg(confidence) AS mean, list_sort(list(confidence))[(count(*) // 2 + 1)::INT] AS upper_median, avg((confidence < 0.9)::INT::DOUBLE) AS below_share FROM scored")

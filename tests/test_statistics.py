@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import aggregates, draws, sampling, scoring, stats
 from attestry.operators.quantiles import exact_quantiles
+from attestry.plans.catalog import QUERIES
 
 
 @pytest.mark.parametrize("bins", [1024, 128])
@@ -124,6 +125,13 @@ def test_resamples_of_ranges_equal_plain_draws(spark):
         assert len(drawn) == n and got[b] == (sum(x[1] for x in drawn) / n, sum(x[2] for x in drawn) / n)
 
 
+def test_each_interval_draws_its_own_value(spark, monkeypatch):
+    drawn, bootstrap = [], scoring.bootstrap
+    monkeypatch.setattr(scoring, "bootstrap", lambda df, values, *a: drawn.append(values) or bootstrap(df, values, *a))
+    rows = [QUERIES[q](spark, "/root/testdata/sf0.001").collect() for q in ("bootstrap_ci", "paired_bootstrap")]
+    assert drawn == [["hit"], ["gap"]] and [len(r) for r in rows] == [1, 1]
+
+
 def test_degenerate_resamples(spark):
     one = spark.createDataFrame([(1, 1.0)], "id long, v double")
     assert [(x.v, x.draws) for x in scoring.bootstrap(one, ["v"], "id", 5, 1).collect()] == [(1.0, 1)] * 5
