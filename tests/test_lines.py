@@ -95,3 +95,39 @@ def test_numbers_of_filtered_rows(small_blocks, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"{i}\n\n" for i in range(300)))
     got = lines.quoted_records(small_blocks, f"{tmp_path}/a.txt").filter(F.col("record_no") != F.col("value").cast("long")).count()
     assert got == 0
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_across_blocks_and_batches(small_blocks, tmp_path, end, batch):
+    """Records within a block, over the border of two and over many, one that begins or ends where a block does, and an open one."""
+    r = random.Random(5)
+    kinds = ["a", "", 'q"q', "two\nlines", "\n\n", "end\r\nof", "é日", "x" * 200, "\n".join("y" * 30 for _ in range(30)), '"\n' * 30]
+    want = {}
+    for name in ("a.csv", "c.csv"):
+        rows = [[str(i), r.choice(kinds), r.choice(kinds)] for i in range(30)]
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end)
+        for i, row in enumerate(rows):
+            writer.writerow(row)
+            out.write(end * (i % 7 == 0))
+        (tmp_path / name).write_bytes(out.getvalue().encode() + (b'30,"open\n\n1' if name == "c.csv" else b""))
+        want[name] = [*rows, ["30", "open\n\n1"]] if name == "c.csv" else rows
+    small_blocks.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    got: dict = {}
+    try:
+        for row in lines.quoted_records(small_blocks, f"{tmp_path}/*.csv").orderBy("record_no").collect():
+            got.setdefault(row.file.rsplit("/", 1)[1], []).append(row)
+    finally:
+        small_blocks.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, rows in want.items():
+        assert [x.record_no for x in got[name]] == list(range(len(rows)))
+        assert [next(csv.reader(io.StringIO(x.value, newline=""))) for x in got[name]] == rows
+        assert [x.is_whole for x in got[name]] == [True] * 30 + [False] * (len(rows) - 30)
+
+
+def test_texts_of_records_are_not_shuffled(small_blocks, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f'{i},"two\nlines"\n' for i in range(60)))
+    records = lines.quoted_records(small_blocks, f"{tmp_path}/a.csv")
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert records.count() == 60 and "hashpartitioning" not in plan and "Window" not in plan and "SortMergeJoin" not in plan
